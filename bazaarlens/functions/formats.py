@@ -38,6 +38,11 @@ def grouped(col: Column, digits: int) -> Column:
     return F.format_number(F.round(col.cast("decimal(38,10)"), digits), digits)
 
 
+def is_whole(col: Column) -> Column:
+    # Comparing with floor() would widen both decimals past 38 digits and lose the cents.
+    return col % 1 == 0
+
+
 def grouped_by_value(col: Column) -> Column:
     """No decimals for a whole number, two otherwise."""
-    return F.when(col == F.floor(col), grouped(col, 0)).otherwise(grouped(col, 2))
+    return F.when(is_whole(col), grouped(col, 0)).otherwise(grouped(col, 2))

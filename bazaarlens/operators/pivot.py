@@ -26,13 +26,16 @@ def pivot_months(long: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     to no column, but its store still gets a row.
     """
     labels = [month_label(m) for m in months_in(start, end)]
-    zero = F.lit(0).cast(long.schema["value"].dataType)
+    zero_type = long.schema["value"].dataType
+    zero = F.lit(0).cast(zero_type)
     wide = (
         long.select(F.col("store_id").alias("Store ID"), short_month(F.col("sale_month")).alias("label"), "value")
         .groupBy("Store ID")
         .pivot("label", labels)
         .agg(F.sum("value"))
     )
-    cells = [F.coalesce(F.col(f"`{name}`"), zero).alias(name) for name in labels]
-    total = reduce(add, [F.coalesce(F.col(f"`{name}`"), zero) for name in labels], zero)
-    return wide.select("Store ID", *cells, total.alias("Total")).orderBy(F.asc_nulls_last("Store ID"))
+    cells = [F.coalesce(F.col(f"`{name}`"), zero) for name in labels]
+    kind = wide.schema[labels[0]].dataType if labels else zero_type
+    total = reduce(add, cells, zero).cast(kind)
+    named = [cell.alias(name) for cell, name in zip(cells, labels)]
+    return wide.select("Store ID", *named, total.alias("Total")).orderBy(F.asc_nulls_last("Store ID"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bazaarlens.functions.formats import grouped, grouped_by_value
+from bazaarlens.functions.formats import grouped, grouped_by_value, is_whole
 from bazaarlens.operators.pivot import MONTH_NAMES
 from bazaarlens.plans.investor import FACTS, store_month_pivot
 from bazaarlens.plans.kpi import buyers_kpi, sellers_kpi
@@ -126,7 +126,7 @@ def column_widths(sheet: DataFrame, decimals: Mapping[str, int] | None, pad: flo
         text_length = F.length(F.coalesce(cell.cast("string"), F.lit("")))
         if _is_number(field.dataType) or named:
             number = _as_number(cell, field.dataType)
-            with_decimals = F.lit(decimals.get(field.name, 0) == 2) if decimals is not None else number != F.floor(number)
+            with_decimals = F.lit(decimals.get(field.name, 0) == 2) if decimals is not None else ~is_whole(number)
             length = F.coalesce(_number_length(number, with_decimals), text_length)
         else:
             length = text_length

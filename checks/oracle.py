@@ -223,15 +223,15 @@ def new_signups(a: Args) -> str:
 def _churn_views(a: Args) -> dict[str, str]:
     t = (f"SELECT {ts(a.as_of)} - to_days({a.churn_days - 1}) AS cur, {ts(a.as_of)} - to_days({2 * a.churn_days - 1}) AS old")
     events = """
-      SELECT store_id, CASE WHEN bought THEN 'b' ELSE 's' END AS kind, invoice_id AS id, signed AS at
+      SELECT store_id, CASE WHEN bought THEN 'b' ELSE 's' END AS kind, invoice_id AS id, signed AS moment
       FROM legs WHERE status = 'COMPLETED'
       UNION ALL SELECT seller, 'p', post_id, created FROM posts"""
     kinds = ", ".join(
-        f"coalesce(bool_or(kind = '{k}' AND at < cur), false) AS past_{k}, "
-        f"count(DISTINCT id) FILTER (kind = '{k}' AND at >= cur) AS now_{k}"
+        f"coalesce(bool_or(kind = '{k}' AND moment < cur), false) AS past_{k}, "
+        f"count(DISTINCT id) FILTER (kind = '{k}' AND moment >= cur) AS now_{k}"
         for k in "bsp"
     )
-    return {"t": t, "ev": events, "flags": f"SELECT store_id, {kinds} FROM ev, t WHERE at >= old GROUP BY store_id"}
+    return {"t": t, "ev": events, "flags": f"SELECT store_id, {kinds} FROM ev, t WHERE moment >= old GROUP BY store_id"}
 
 
 def churn_rates(a: Args) -> str:
@@ -301,11 +301,9 @@ def mtd_total_invoices(a: Args) -> str:
 def mtd_aov(a: Args) -> str:
     body = f"""
     SELECT {rnd("n", 2)} AS aov_current, {rnd("p", 2)} AS aov_last_month, {rnd(zdiv("n - p", "p"), 4)} AS growth_pct
-    FROM (SELECT coalesce(avg(CAST(subtotal AS DOUBLE)) FILTER (false), 0) AS unused,
-      coalesce({div(f"sum(subtotal) FILTER ({FULL_DAY_NOW})", f"count(*) FILTER ({FULL_DAY_NOW})")}, 0) AS n,
+    FROM (SELECT coalesce({div(f"sum(subtotal) FILTER ({FULL_DAY_NOW})", f"count(*) FILTER ({FULL_DAY_NOW})")}, 0) AS n,
       coalesce({div(f"sum(subtotal) FILTER ({FULL_DAY_BEFORE})", f"count(*) FILTER ({FULL_DAY_BEFORE})")}, 0) AS p
       FROM booked, t)"""
-    body = body.replace("coalesce(avg(CAST(subtotal AS DOUBLE)) FILTER (false), 0) AS unused,\n      ", "")
     return with_views(a, body, "booked", extra={"t": bounds(a.as_of)})
 
 
@@ -458,13 +456,13 @@ LENIENT = "CASE WHEN qty IS NULL THEN package_price ELSE qty * unit_price END -
 
 
 def buyer_stores(a: Args) -> str:
-    lines = f"""SELECT s.buyer, {STRICT} AS gain, coalesce(s.signed, s.created) AS at
+    lines = f"""SELECT s.buyer, {STRICT} AS gain, coalesce(s.signed, s.created) AS moment
       FROM sold s JOIN posts USING (post_id) JOIN drugs USING (ndc) WHERE price IS NOT NULL
       AND coalesce(s.signed, s.created) BETWEEN {ts(a.start)} AND {ts(a.end)}"""
-    months = "epoch(max(at) - min(at)) / (86400 * 30.44::DOUBLE)"
+    months = "epoch(max(moment) - min(moment)) / (86400 * 30.44::DOUBLE)"
     body = f"""SELECT buyer AS "Buyer ID", any_value(name) AS "Store Name", any_value(state) AS "State",
       count(*) AS "Posts Bought", {rnd(div("sum(gain)", "count(*)"), 2)} AS "Avg Savings Per Post",
-      {dbl("round(sum(gain), 2)")} AS "Total Savings", min(at) AS "First Purchase", max(at) AS "Last Purchase",
+      {dbl("round(sum(gain), 2)")} AS "Total Savings", min(moment) AS "First Purchase", max(moment) AS "Last Purchase",
       {rnd(div("sum(gain)", months), 2)} AS "Avg Monthly Savings"
     FROM ({lines}) JOIN stores ON store_id = buyer GROUP BY buyer HAVING count(*) >= {a.min_sales}"""
     return with_views(a, body, "sold", "posts", "drugs", "stores")
@@ -727,6 +725,22 @@ def m_first_in_range(a: Args) -> str:
     return with_views(a, body, "booked")
 
 
+def m_distinct(a: Args) -> str:
+    body = f"""SELECT count(DISTINCT store_id) FILTER ({FULL_DAY_NOW}) AS keys_now,
+      count(DISTINCT store_id) FILTER ({FULL_DAY_BEFORE}) AS keys_before
+    FROM legs, t WHERE status <> 'NOT_STARTED'"""
+    return with_views(a, body, "legs", extra={"t": bounds(a.as_of)})
+
+
+def m_days_spine(a: Args) -> str:
+    body = """SELECT CAST(date_trunc('month', created) AS DATE) AS month, count(*) AS posts FROM posts GROUP BY 1"""
+    full = f"""SELECT c.m AS month, coalesce(posts, 0) AS posts
+      FROM (SELECT CAST(unnest(range(lo, hi + INTERVAL 1 DAY, INTERVAL 1 MONTH)) AS DATE) AS m FROM
+        (SELECT date_trunc('month', min(created)) AS lo, date_trunc('month', max(created)) AS hi FROM posts)) c
+      LEFT JOIN ({body}) x ON x.month = c.m"""
+    return with_views(a, full, "posts")
+
+
 def m_split(a: Args) -> str:
     body = f"""SELECT m AS month, {dbl("coalesce(sum(subtotal) FILTER (f = m), 0)")} AS new_gmv,
       {dbl("coalesce(sum(subtotal) FILTER (f < m), 0)")} AS existing_gmv
@@ -760,9 +774,10 @@ def m_sold_items(a: Args) -> str:
 
 
 def m_sell_through(a: Args) -> str:
-    body = f"""SELECT seller AS seller_id, buyer AS buyer_id, count(*) AS made, count(signed) AS sold,
-      CAST(coalesce(sum(days), 0) AS BIGINT) AS days, {dbl("coalesce(sum(subtotal), 0)")} AS subtotal FROM lines GROUP BY 1, 2"""
-    return with_views(a, body, "lines")
+    body = f"""SELECT seller AS seller_id, state AS buyer_state, count(*) AS made, count(signed) AS sold,
+      CAST(coalesce(sum(days), 0) AS BIGINT) AS days, {dbl("coalesce(sum(subtotal), 0)")} AS subtotal
+    FROM lines LEFT JOIN stores ON store_id = buyer GROUP BY 1, 2"""
+    return with_views(a, body, "lines", "stores")
 
 
 def m_savings(value: str, guard: str) -> Callable[[Args], str]:
@@ -863,6 +878,7 @@ ORACLES: dict[str, Callable[[Args], str]] = {
     "m02_mtd_full_day": m_period(FULL_DAY_NOW, FULL_DAY_BEFORE),
     "m03_calendar_month": m_period("signed >= m0 AND signed < m2", "signed >= m1 AND signed < m0"),
     "m04_trailing_pair": m_trailing,
+    "m05_distinct_in_periods": m_distinct,
     "m06_store_activity": m_store_activity,
     "m07_first_activity": m_first,
     "m08_first_activity_in_range": m_first_in_range,
@@ -879,5 +895,6 @@ ORACLES: dict[str, Callable[[Args], str]] = {
     "m19_avg_order_value": m_order_value,
     "m20_days_to_sale": m_days,
     "m21_monthly_rate": m_monthly_rate,
+    "m22_month_spine": m_days_spine,
     "m23_spine_fill": m_spine_fill,
 }
