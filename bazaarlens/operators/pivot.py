@@ -19,18 +19,21 @@ def month_label(month: dt.date) -> str:
     return f"{MONTH_NAMES[month.month - 1]} {month.year:04d}"
 
 
-def pivot_months(long: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
+def pivot_months(long: DataFrame, start: dt.date, end: dt.date, *sheet_keys: str) -> DataFrame:
     """`Store ID`, one zero-filled column per month of the range, and their Total.
 
     The labels come from the range, so no job runs to find them. A month outside the range adds
-    to no column, but its store still gets a row.
+    to no column, but its store still gets a row. With sheet_keys, several facts pivot at once.
     """
     labels = [month_label(m) for m in months_in(start, end)]
     zero_type = long.schema["value"].dataType
     zero = F.lit(0).cast(zero_type)
+    keys = [*sheet_keys, "Store ID"]
     wide = (
-        long.select(F.col("store_id").alias("Store ID"), short_month(F.col("sale_month")).alias("label"), "value")
-        .groupBy("Store ID")
+        long.select(
+            *sheet_keys, F.col("store_id").alias("Store ID"), short_month(F.col("sale_month")).alias("label"), "value"
+        )
+        .groupBy(*keys)
         .pivot("label", labels)
         .agg(F.sum("value"))
     )
@@ -38,4 +41,4 @@ def pivot_months(long: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     kind = wide.schema[labels[0]].dataType if labels else zero_type
     total = reduce(add, cells, zero).cast(kind)
     named = [cell.alias(name) for cell, name in zip(cells, labels)]
-    return wide.select("Store ID", *named, total.alias("Total")).orderBy(F.asc_nulls_last("Store ID"))
+    return wide.select(*keys, *named, total.alias("Total")).orderBy(*[F.asc_nulls_last(k) for k in keys])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,53 +16,52 @@ def with_previous_month(monthly: DataFrame, key: str, month: str = "month") -> D
     return monthly.withColumn("retained", F.coalesce(retained, F.lit(False)))
 
 
-def gmv_retention(seller_months: DataFrame, key: str = "seller_id", value: str = "gmv") -> DataFrame:
-    """(month, retained_gmv, previous_gmv) from one row per seller and month.
+def with_month_before(totals: DataFrame, value: str, name: str, month: str = "month") -> DataFrame:
+    """Put the value of the calendar month before next to each month, as `name`.
 
-    Retained: this month's GMV of sellers active in the month before. Previous: all GMV of the
-    month before. Only months with some retained seller appear, as an inner join would give.
+    The input has one row per month. Each row hands its value to the next month, which takes one
+    pass, where a self-join would compute everything below it twice. A month that only got a
+    value handed over has NULL measures.
     """
-    totals = (
-        with_previous_month(seller_months, key)
-        .groupBy("month")
-        .agg(F.sum(F.when(F.col("retained"), F.col(value))).alias("retained_gmv"),
-             F.max("retained").alias("any_retained"),
-             F.sum(value).alias("month_gmv"))
+    others = [c for c in totals.columns if c != month]
+    kind = {f.name: f.dataType for f in totals.schema.fields}
+
+    def empty(column: str) -> Column:
+        return F.lit(None).cast(kind[column])
+
+    own = F.struct(month, *others, empty(value).alias(name))
+    next_month = F.add_months(F.col(month), 1).alias(month)
+    handed = F.struct(next_month, *[empty(c).alias(c) for c in others], F.col(value).alias(name))
+    rows = totals.select(F.explode(F.array(own, handed)).alias("r")).select("r.*")
+    return (
+        rows.where(F.col(month).isNotNull())
+        .groupBy(month)
+        .agg(*[F.max(c).alias(c) for c in [*others, name]])
     )
-    return retention_by_month(totals)
 
 
-def retention_by_month(totals: DataFrame) -> DataFrame:
-    """Put the month before next to each month; the input has one row per month.
+def retained_sum(value: Column) -> Column:
+    """Sum over the keys that were also active the month before; NULL when there is none."""
+    return F.sum(F.when(F.col("retained"), value))
+
 
-    Each month hands its total to the next one, so no join is needed.
+def gmv_retention(seller_months: DataFrame, key: str = "seller_id", value: str = "gmv") -> DataFrame:
+    """(month, retained_gmv, previous_gmv) from one row per seller and month.
+
+    Retained: this month's GMV of sellers active in the month before. Previous: all GMV of the
+    month before. Only months with some retained seller appear.
     """
-    rows = totals.select(
-        F.explode(
-            F.array(
-                F.struct(
-                    F.col("month").alias("month"),
-                    F.col("retained_gmv").alias("retained_gmv"),
-                    F.col("any_retained").alias("any_retained"),
-                    F.lit(None).cast(totals.schema["month_gmv"].dataType).alias("previous_gmv"),
-                ),
-                F.struct(
-                    F.add_months("month", 1).alias("month"),
-                    F.lit(None).cast(totals.schema["retained_gmv"].dataType).alias("retained_gmv"),
-                    F.lit(False).alias("any_retained"),
-                    F.col("month_gmv").alias("previous_gmv"),
-                ),
-            )
-        ).alias("r")
-    ).select("r.*")
-    return (
-        rows.where("month IS NOT NULL")
+    totals = (
+        with_previous_month(seller_months, key)
         .groupBy("month")
         .agg(
-            F.max("retained_gmv").alias("retained_gmv"),
-            F.max("any_retained").alias("any_retained"),
-            F.max("previous_gmv").alias("previous_gmv"),
+            retained_sum(F.col(value)).alias("retained_gmv"),
+            F.max("retained").alias("any_retained"),
+            F.sum(value).alias("month_gmv"),
         )
+    )
+    return (
+        with_month_before(totals, "month_gmv", "previous_gmv")
         .where("any_retained")
-        .drop("any_retained")
+        .select("month", "retained_gmv", "previous_gmv")
     )

@@ -54,7 +54,9 @@ def sold_items(mk: Marketplace, *sale_columns: str) -> DataFrame:
 def listed_posts(mk: Marketplace, start: dt.date, end: dt.date, *columns: str) -> DataFrame:
     """Posts of any published status created in the range (both ends at midnight)."""
     posts = mk.table("posts", "post_id", "status", "created_at", *columns)
-    return posts.where(F.col("status").isin(*LISTED) & between(F.col("created_at"), start, end)).drop("status")
+    listed = F.col("status").isin(*LISTED) & between(F.col("created_at"), start, end)
+    # A join on the key would ask for it anyway; said here, its other readers share the scan.
+    return posts.where(listed & F.col("post_id").isNotNull()).drop("status")
 
 
 def store_states(mk: Marketplace, store: str, state: str) -> DataFrame:
@@ -125,6 +127,14 @@ def sell_through(
     ).where(F.col("made") > 0)
 
 
+PARTS = ("made", "sold", "days", "days_known", "revenue", "revenue_known", "subtotal", "subtotal_known")
+
+
+def regroup(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add the parts of sell_through up to coarser keys."""
+    return parts.groupBy(*keys).agg(*[F.sum(p).alias(p) for p in PARTS])
+
+
 def sell_through_rates() -> dict[str, Column]:
     """The shared report columns from the parts of sell_through."""
     return {

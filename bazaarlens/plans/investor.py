@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bazaarlens.functions.dates import between, month_of
 from bazaarlens.functions.formats import short_month
+from bazaarlens.operators.activity import both_roles
 from bazaarlens.operators.pivot import pivot_months
 from bazaarlens.operators.sell_through import booked_sales, with_included_items
 from bazaarlens.operators.spines import month_spine, months_covering
@@ -67,5 +68,31 @@ def store_month_fact(mk: Marketplace, fact: str, start: dt.date, end: dt.date) -
 
 
 def store_month_pivot(mk: Marketplace, fact: str, start: dt.date, end: dt.date) -> DataFrame:
-    # The pivot sorts its own, smaller output.
     return pivot_months(store_month_fact(mk, fact, start, end), start, end)
+
+
+def all_facts(mk: Marketplace, start: dt.date, end: dt.date) -> DataFrame:
+    """(position, sheet, store_id, sale_month, value): all six facts from one pass over the sales."""
+    sales = booked_sales(mk, "invoice_id", "buyer_id", "seller_id", "subtotal", "fee_percent", SIGNED).where(
+        between(F.col(SIGNED), start, end)
+    )
+    legs = both_roles(with_included_items(sales, mk), "subtotal", "fee_percent", SIGNED)
+    per_store = legs.groupBy("store_id", month_of(F.col(SIGNED)).alias("sale_month"), "bought").agg(
+        *[_measure(m).cast(MONEY).alias(m) for m in ("revenue", "spend", "count")]
+    )
+    sheets = [
+        F.struct(
+            F.lit(position).alias("position"),
+            F.lit(sheet).alias("sheet"),
+            F.col(measure).alias("value"),
+            (F.col("bought") == F.lit(role == "buyer_id")).alias("ours"),
+        )
+        for position, (sheet, role, measure) in enumerate(FACTS.values(), start=1)
+    ]
+    rows = per_store.select("store_id", "sale_month", F.explode(F.array(*sheets)).alias("f"))
+    return rows.where("f.ours").select("f.position", "f.sheet", "store_id", "sale_month", "f.value")
+
+
+def all_sheets(mk: Marketplace, start: dt.date, end: dt.date) -> DataFrame:
+    """The six pivots in one frame, told apart by position and sheet."""
+    return pivot_months(all_facts(mk, start, end), start, end, "position", "sheet")

@@ -18,7 +18,7 @@ from bazaarlens.functions.ratios import (
 )
 from bazaarlens.operators.activity import split_new_existing, store_months, with_first_month
 from bazaarlens.operators.cohorts import onboarded
-from bazaarlens.operators.retention import retention_by_month, with_previous_month
+from bazaarlens.operators.retention import retained_sum, with_month_before, with_previous_month
 from bazaarlens.operators.sell_through import booked_sales, days_to_sale, included_items
 from bazaarlens.operators.spines import fill_spine, month_spine
 from bazaarlens.sources.marketplace import Marketplace
@@ -57,38 +57,36 @@ def marketplace_report(mk: Marketplace, start: dt.date, end: dt.date) -> DataFra
     return filled.orderBy("month").select(year_month(F.col("month")).alias("Month"), *measures)
 
 
-def seller_month_revenue(mk: Marketplace, end: dt.date) -> DataFrame:
-    """(seller_id, month, gmv, points, rows, first_month, retained) over all months up to end's.
-
-    Identical sale rows count once in the money and each in `rows`. The per-row shuffle is the
-    one on the whole invoice; all further steps see one row per seller and month.
-    """
-    sellers = _distinct_invoices(mk, end).groupBy("seller_id", "month").agg(
-        F.sum("subtotal").alias("gmv"),
-        F.sum(F.col("subtotal") * F.col("fee_percent")).alias("points"),
-        F.sum("copies").alias("rows"),
-    )
-    return with_previous_month(with_first_month(sellers, "seller_id"), "seller_id")
-
-
 def _distinct_invoices(mk: Marketplace, end: dt.date) -> DataFrame:
+    """Sale rows with identical ones folded into one that knows its number of `copies`."""
     # First months and retention look back over all history, never past the last month shown.
     sales = booked_sales(mk, "invoice_id", "seller_id", "fee_percent", "subtotal", SIGNED).where(
         F.col(SIGNED) < timestamp(first_of_month(end, 1))
     )
-    return sales.groupBy(
-        "invoice_id", "seller_id", "fee_percent", month_of(F.col(SIGNED)).alias("month"), "subtotal"
-    ).agg(F.count(F.lit(1)).alias("copies"))
+    folded = sales.select(
+        "invoice_id", "seller_id", "fee_percent", "subtotal", month_of(F.col(SIGNED)).alias("month")
+    ).where("month IS NOT NULL")
+    # `copies` is always positive. Asking for it, and for the month above, gives both readers of
+    # this frame the same shuffle, so Spark runs it once and reuses it.
+    return (
+        folded.groupBy(*folded.columns).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 0)
+    )
 
 
 def revenue_report(mk: Marketplace, start: dt.date, end: dt.date) -> DataFrame:
     """GMV, revenue, take rate, new and existing sellers, retention and order value per month.
 
-    A fee that is not known adds to GMV but not to revenue. Money comes out as text.
+    A fee that is not known adds to GMV but not to revenue. Money comes out as text. The windows
+    see one row per seller and month.
     """
+    sellers = _distinct_invoices(mk, end).groupBy("seller_id", "month").agg(
+        F.sum("subtotal").alias("gmv"),
+        F.sum(F.col("subtotal") * F.col("fee_percent")).alias("points"),
+        F.sum("copies").alias("rows"),
+    )
     new_points, existing_points = split_new_existing(F.col("points"), "seller_id")
     months = (
-        seller_month_revenue(mk, end)
+        with_first_month(with_previous_month(sellers, "seller_id"), "seller_id")
         .groupBy("month")
         .agg(
             F.sum("gmv").alias("month_gmv"),
@@ -96,21 +94,12 @@ def revenue_report(mk: Marketplace, start: dt.date, end: dt.date) -> DataFrame:
             F.sum("rows").alias("total_invoices"),
             new_points.alias("new_points"),
             existing_points.alias("existing_points"),
-            F.sum(F.when(F.col("retained"), F.col("gmv"))).alias("retained_gmv"),
-            F.max("retained").alias("any_retained"),
+            retained_sum(F.col("gmv")).alias("retained_gmv"),
         )
     )
-    # `copies` is always positive; asking for it gives this arm the same shuffle as the seller
-    # arm, so Spark runs it once and reuses it.
-    orders = (
-        _distinct_invoices(mk, end)
-        .where(F.col("copies") > 0)
-        .groupBy("month")
-        .agg(F.count_distinct("invoice_id").alias("orders"))
-    )
+    orders = _distinct_invoices(mk, end).groupBy("month").agg(F.count_distinct("invoice_id").alias("orders"))
     spine = month_spine(mk.spark, start, end)
-    retention = retention_by_month(months.select("month", "month_gmv", "retained_gmv", "any_retained"))
-    rows = fill_spine(spine, "month", months.drop("retained_gmv", "any_retained"), orders, retention)
+    rows = fill_spine(spine, "month", with_month_before(months, "month_gmv", "previous_gmv"), orders)
 
     def money(value: Column) -> Column:
         return plain_money(F.coalesce(value, F.lit(0)))

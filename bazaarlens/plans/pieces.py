@@ -44,9 +44,9 @@ from bazaarlens.operators.sell_through import (
     store_states,
 )
 from bazaarlens.operators.spines import fill_spine, month_spine, months_covering
-from bazaarlens.plans.investor import store_month_fact
+from bazaarlens.plans.investor import all_sheets, store_month_fact
 from bazaarlens.plans.revenue import fee_points
-from bazaarlens.sinks.workbook import investor_sheets, report_name_column
+from bazaarlens.sinks.workbook import report_name_column
 from bazaarlens.sources.marketplace import Marketplace
 
 SIGNED = "seller_signed_on"
@@ -219,13 +219,9 @@ def labelled_spend(
 
 def report_set(mk: Marketplace, start: dt.date, end: dt.date) -> DataFrame:
     """The investor sheets in order, with their number of stores and their grand total."""
-    rows = None
-    for position, (name, sheet) in enumerate(investor_sheets(mk, start, end).items(), start=1):
-        row = sheet.agg(F.count("Store ID").alias("stores"), F.sum("Total").alias("total")).select(
-            F.lit(position).alias("position"), F.lit(name).alias("sheet"), "stores", "total"
-        )
-        rows = row if rows is None else rows.unionByName(row)
-    return rows
+    return all_sheets(mk, start, end).groupBy("position", "sheet").agg(
+        F.count("Store ID").alias("stores"), F.sum("Total").alias("total")
+    )
 
 
 def report_name_of_sales(mk: Marketplace) -> DataFrame:

@@ -19,6 +19,7 @@ from bazaarlens.operators.sell_through import (
     booked_sales,
     included_items,
     listed_posts,
+    regroup,
     sell_through,
     sell_through_rates,
     sold_items,
@@ -34,18 +35,17 @@ def benchmark_markets(
 ) -> DataFrame:
     """State and product markets that sell well. Total Posts counts a listing once per sale."""
     market = ["seller_state", "drug_group", "ndc"]
+    listed = listed_posts(mk, start, end, "ndc", "seller_id").drop("created_at")
+    states = store_states(mk, "seller_id", "seller_state")
     groups = mk.table("drugs", "ndc_upc_hri", "drug_group").withColumnRenamed("ndc_upc_hri", "ndc")
-    posts = (
-        listed_posts(mk, start, end, "ndc", "seller_id")
-        .join(store_states(mk, "seller_id", "seller_state"), "seller_id")
-        .join(groups, "ndc")
-        .select("post_id", "seller_id", *market)
-    )
+
+    def in_market(rows: DataFrame) -> DataFrame:
+        return rows.join(states, "seller_id").join(groups, "ndc")
+
     sold = sold_items(mk, "buyer_id").join(store_states(mk, "buyer_id", "buyer_state"), "buyer_id", "left")
     same_state = F.when(F.col("buyer_state") == F.col("seller_state"), F.col("buyer_id"))
     traded = (
-        posts.drop("seller_id")
-        .join(sold, "post_id")
+        in_market(listed.join(sold, "post_id"))
         .groupBy(*market)
         .agg(
             F.count(F.lit(1)).alias("lines"),
@@ -53,13 +53,16 @@ def benchmark_markets(
             F.count_distinct(same_state).alias("buyers"),
         )
     )
-    listed = posts.groupBy(*market).agg(
-        F.count(F.lit(1)).alias("posts"), F.count_distinct("seller_id").alias("sellers")
+    # One row per seller and product before the joins; its rows are the distinct sellers.
+    listings = (
+        in_market(listed.groupBy("seller_id", "ndc").agg(F.count(F.lit(1)).alias("posts")))
+        .groupBy(*market)
+        .agg(F.sum("posts").alias("posts"), F.count("seller_id").alias("sellers"))
     )
     # Adding up two partial frames instead of joining them keeps groups with a NULL key.
     parts = ("lines", "sold", "buyers", "posts", "sellers")
     merged = (
-        traded.unionByName(listed, allowMissingColumns=True)
+        traded.unionByName(listings, allowMissingColumns=True)
         .groupBy(*market)
         .agg(*[F.coalesce(F.sum(p), F.lit(0)).alias(p) for p in parts])
         .withColumn("total", F.col("lines") + F.col("posts") - F.col("sold"))
@@ -227,16 +230,15 @@ def seller_stores(mk: Marketplace, start: dt.date, end: dt.date, min_sales: int)
 def state_analysis(mk: Marketplace, start: dt.date, end: dt.date, min_sales: int) -> DataFrame:
     """Sell-through per product group and pair of states. Unsold posts have no buyer state."""
     groups = mk.table("drugs", "ndc_upc_hri", "drug_group").withColumnRenamed("ndc_upc_hri", "ndc")
-    posts = (
-        listed_posts(mk, start, end, "ndc", "seller_id")
-        .join(store_states(mk, "seller_id", "seller_state"), "seller_id")
-        .join(groups, "ndc")
-        .select("post_id", "created_at", "drug_group", "seller_state")
-    )
     sold = sold_items(mk, "buyer_id", SIGNED, "subtotal").join(
         store_states(mk, "buyer_id", "buyer_state"), "buyer_id", "left"
     )
-    found = sell_through(posts, sold, ["drug_group", "seller_state"], ["buyer_state"])
+    posts = listed_posts(mk, start, end, "ndc", "seller_id").join(groups, "ndc").drop("ndc")
+    # The parts add up, so the sellers' states join one row per seller and group, not the posts.
+    by_seller = sell_through(posts, sold, ["seller_id", "drug_group"], ["buyer_state"]).join(
+        store_states(mk, "seller_id", "seller_state"), "seller_id"
+    )
+    found = regroup(by_seller, ["drug_group", "seller_state", "buyer_state"])
     return (
         found.where(F.col("sold") >= min_sales)
         .select(

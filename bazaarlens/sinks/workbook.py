@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from bazaarlens.functions.formats import grouped, grouped_by_value, is_whole
 from bazaarlens.operators.pivot import MONTH_NAMES
-from bazaarlens.plans.investor import FACTS, store_month_pivot
+from bazaarlens.plans.investor import FACTS, all_sheets
 from bazaarlens.plans.kpi import buyers_kpi, sellers_kpi
 from bazaarlens.sources.marketplace import Marketplace
 
@@ -44,7 +44,10 @@ def kpi_sheets(mk: Marketplace, start: dt.date, end: dt.date) -> dict[str, DataF
 
 
 def investor_sheets(mk: Marketplace, start: dt.date, end: dt.date) -> dict[str, DataFrame]:
-    return {sheet: store_month_pivot(mk, fact, start, end) for fact, (sheet, _, _) in FACTS.items()}
+    wide = all_sheets(mk, start, end)
+    return {
+        sheet: wide.where(F.col("sheet") == sheet).drop("position", "sheet") for sheet, _, _ in FACTS.values()
+    }
 
 
 def report_name(stem: str, start: dt.date | None, end: dt.date | None) -> str:
@@ -77,6 +80,15 @@ def write_sheets(
     return paths
 
 
+def write_investor_report(
+    mk: Marketplace, folder: str, start: dt.date, end: dt.date, file_format: str = "parquet", mode: str = "errorifexists"
+) -> str:
+    """All six sheets in one job and one pass over the sales, as folder/name/position=1/sheet=..."""
+    path = f"{folder}/{report_name('Investor_Report_Monthly', start, end)}"
+    all_sheets(mk, start, end).write.mode(mode).format(file_format).partitionBy("position", "sheet").save(path)
+    return path
+
+
 def _is_number(kind: T.DataType) -> bool:
     return isinstance(kind, T.NumericType)
 
@@ -122,14 +134,14 @@ def column_widths(sheet: DataFrame, decimals: Mapping[str, int] | None, pad: flo
     longest = []
     for field in sheet.schema.fields:
         cell = F.col(f"`{field.name}`")
-        named = decimals is not None and field.name in decimals
-        text_length = F.length(F.coalesce(cell.cast("string"), F.lit("")))
-        if _is_number(field.dataType) or named:
-            number = _as_number(cell, field.dataType)
-            with_decimals = F.lit(decimals.get(field.name, 0) == 2) if decimals is not None else ~is_whole(number)
-            length = F.coalesce(_number_length(number, with_decimals), text_length)
+        number = _as_number(cell, field.dataType)
+        if decimals is None:
+            length = _number_length(number, ~is_whole(number))
         else:
-            length = text_length
+            length = _number_length(number, F.lit(decimals.get(field.name) == 2))
+        if not _is_number(field.dataType):
+            text = F.length(cell.cast("string"))
+            length = F.coalesce(length, text) if field.name in (decimals or {}) else text
         longest.append(F.max(length).cast("int").alias(field.name))
     widths = sheet.agg(*longest)
     rows = F.array(
