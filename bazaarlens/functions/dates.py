@@ -75,6 +75,11 @@ def span_months(first: Column, last: Column) -> Column:
     return seconds.cast("double") / F.lit(SECONDS_PER_MONTH)
 
 
+def today(zone: str) -> dt.date:
+    """The day it is now in a zone, for reports run as of today."""
+    return local_date(dt.datetime.now(dt.timezone.utc), zone)
+
+
 def local_date(instant: dt.datetime, zone: str) -> dt.date:
     """Calendar day of an instant (UTC when naive) in a zone."""
     if instant.tzinfo is None:

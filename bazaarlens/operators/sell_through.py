@@ -18,6 +18,7 @@ from bazaarlens.functions.dates import between, whole_days
 from bazaarlens.functions.ratios import average, filled, percent_or_null, rounded
 from bazaarlens.sources.marketplace import Marketplace
 
+# fixed values: invoice statuses that count as sold, listing statuses that were ever published
 BOOKED = ("COMPLETED", "PENDING")
 LISTED = ("ACTIVE", "SOLDOUT", "RESERVED", "DEACTIVATED", "EXPIRED")
 

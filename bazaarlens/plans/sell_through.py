@@ -1,4 +1,7 @@
-"""Sell-through rate by product, state, store and market."""
+"""Sell-through rate by product, state, store and market.
+
+Every sort ends in the key of the rows, so that equal rates do not all land in one sort range.
+"""
 
 from __future__ import annotations
 
@@ -81,7 +84,7 @@ def benchmark_markets(
             F.col("buyers").alias("Buyer Stores (Same State)"),
             rounded(ratio_or_null(F.col("sellers"), F.col("buyers")), 2).alias("Seller:Buyer Ratio"),
         )
-        .orderBy(F.desc_nulls_first("STR (%)"), F.desc_nulls_first("Total Posts"))
+        .orderBy(F.desc_nulls_first("STR (%)"), F.desc_nulls_first("Total Posts"), "NDC", "State")
     )
 
 
@@ -100,7 +103,7 @@ def _by_state(lines: DataFrame, mk: Marketplace, store: str, names: tuple[str, s
             F.count(store).alias(unique),
             F.round(F.sum("subtotal"), 2).alias(revenue),
         )
-        .orderBy(F.desc_nulls_first(count))
+        .orderBy(F.desc_nulls_first(count), state)
     )
 
 
@@ -155,7 +158,7 @@ def buyer_stores(mk: Marketplace, start: dt.date, end: dt.date, min_sales: int)
     return (
         buyers.join(stores, "buyer_id")
         .join(mk.table("addresses", "address_id", "state"), "address_id", "left")
-        .orderBy(F.desc_nulls_first("saved"))
+        .orderBy(F.desc_nulls_first("saved"), "buyer_id")
         .select(
             F.col("buyer_id").alias("Buyer ID"),
             F.col("doing_business_as").alias("Store Name"),
@@ -190,7 +193,7 @@ def drug_analysis(mk: Marketplace, start: dt.date, end: dt.date, min_sales: int)
             F.round("revenue", 2).alias("Total Revenue"),
             rounded(average(F.col("revenue"), F.col("revenue_known")), 2).alias("Avg Revenue Per Sale"),
         )
-        .orderBy(F.desc_nulls_first("STR (%)"), F.desc_nulls_first("Posts Sold"))
+        .orderBy(F.desc_nulls_first("STR (%)"), F.desc_nulls_first("Posts Sold"), "NDC")
     )
 
 
@@ -223,7 +226,7 @@ def seller_stores(mk: Marketplace, start: dt.date, end: dt.date, min_sales: int)
             F.col("first_post").alias("First Post Date"),
             F.col("last_post").alias("Last Post Date"),
         )
-        .orderBy(F.desc_nulls_first("STR (%)"), F.desc_nulls_first("Posts Sold"))
+        .orderBy(F.desc_nulls_first("STR (%)"), F.desc_nulls_first("Posts Sold"), "Seller ID")
     )
 
 
@@ -249,5 +252,7 @@ def state_analysis(mk: Marketplace, start: dt.date, end: dt.date, min_sales: int
             F.round("revenue", 2).alias("Total Revenue"),
             rounded(average(F.col("revenue"), F.col("revenue_known")), 2).alias("Avg Revenue Per Sale"),
         )
-        .orderBy(F.desc_nulls_first("STR (%)"), F.desc_nulls_first("Posts Sold"))
+        .orderBy(
+            F.desc_nulls_first("STR (%)"), F.desc_nulls_first("Posts Sold"), "Drug Category", "Seller State", "Buyer State"
+        )
     )

@@ -76,6 +76,45 @@ def test_sell_through_equals_the_outer_join(spark, facts):
     } == dict(expected)
 
 
+def test_a_hot_post_is_split(spark):
+    """Half of all sales are of one post: its join partition is read in pieces."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        ids = spark.range(0, 40000, 1, 8)
+        day = F.lit("1998-02-01 00:00:00").cast("timestamp_ntz")
+        lines = ids.select(
+            F.when(F.col("id") % 2 == 0, F.lit(1)).otherwise(F.col("id")).alias("post_id"),
+            F.when(F.col("id") % 3 > 0, day).alias("seller_signed_on"),
+            (F.col("id") % 100).cast("decimal(18,2)").alias("subtotal"),
+        )
+        listed = ids.select(
+            F.col("id").alias("post_id"), (F.col("id") % 7).alias("seller_id"),
+            F.lit("1998-01-01 00:00:00").cast("timestamp_ntz").alias("created_at"),
+        )
+        found = sell_through(listed, lines, ["seller_id"])
+        got = {r["seller_id"]: (r["made"], r["sold"]) for r in rows(found)}
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    made, sold = Counter(i % 7 for i in range(0, 40000, 2)), Counter()
+    for i in range(40000):
+        seller = 1 if i % 2 == 0 else i % 7
+        made[seller] += 1
+        sold[seller] += i % 3 > 0
+    assert got == {s: (made[s], sold[s]) for s in made}
+
+
 def test_churn_flags_equal_distinct_counts(spark, facts):
     sales, _, posts = facts
     as_of, days = dt.date(1998, 3, 31), 30
