@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
-from operator import add
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +23,6 @@ def pivot_months(long: DataFrame, start: dt.date, end: dt.date, *sheet_keys: str
     to no column, but its store still gets a row. With sheet_keys, several facts pivot at once.
     """
     labels = [month_label(m) for m in months_in(start, end)]
-    zero_type = long.schema["value"].dataType
-    zero = F.lit(0).cast(zero_type)
     keys = [*sheet_keys, "Store ID"]
     wide = (
         long.select(
@@ -36,9 +31,7 @@ def pivot_months(long: DataFrame, start: dt.date, end: dt.date, *sheet_keys: str
         .groupBy(*keys)
         .pivot("label", labels)
         .agg(F.sum("value"))
+        .na.fill(0, labels)
     )
-    cells = [F.coalesce(F.col(f"`{name}`"), zero) for name in labels]
-    kind = wide.schema[labels[0]].dataType if labels else zero_type
-    total = reduce(add, cells, zero).cast(kind)
-    named = [cell.alias(name) for cell, name in zip(cells, labels)]
-    return wide.select(*keys, *named, total.alias("Total")).orderBy(*[F.asc_nulls_last(k) for k in keys])
+    total = F.expr(" + ".join(f"`{name}`" for name in labels) or "0").cast("decimal(28,2)")
+    return wide.select("*", total.alias("Total")).orderBy(*[F.asc_nulls_last(k) for k in keys])
