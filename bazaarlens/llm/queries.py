@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backtracking_bpe, blocks_of_ids, packing
+from . import backtracking_bpe, blocks_of_ids, packing, quality_rules, secret_scans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,10 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"), end_id=2, size=4096)
 
 
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.quality(_table(spark, folder, "documents"))
+
+
 def op7_token_blocks(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents")
     return blocks_of_ids.read_ids(blocks_of_ids.write_ids(documents, tokenizer("byte_bpe_50k.json"), end_id=0))
@@ -34,10 +38,16 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return backtracking_bpe.encode_decode(_table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scans.secrets(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op4_packing": op4_packing,
+    "op5_quality_rules": op5_quality_rules,
     "op7_token_blocks": op7_token_blocks,
     "op9_bpe": op9_bpe,
+    "op10_secret_scans": op10_secret_scans,
 }
 
 ORACLES: dict[str, str] = {}
