@@ -89,9 +89,10 @@ SECRETS = [
     "", None, "nothing here", "password=abc", "password=abcdef", 'API_KEY : "abc.def=/+" token=token:abcdefgh',
     "🙂é SECRET='x1y2z3' AKIA" + "Z9" * 8 + " 🙂 " + "0123456789abcdef" * 2, "AKIAAKIA12 AKIA" + "A" * 16,
     "token=secret=abcdef password = password = abcdef", "passwd:   \"abcdefg\" apikey=1", "deadbeef" * 3 + "g" + "f" * 23,
-    "tokentoken=aaaaaaa token==abcdef", "key q7Zx2LpV9mTr4Kw8Bn3Yd6Hc end", "ordinaryidentifier " * 40 + "counter_of_rows_in_table2",
+    "tokentoken=aaaaaaa token==abcdef", "key q7zx2lpv9mtrx4kwj8bnq3ydz6hcv end", "ordinaryidentifier " * 40 + "counter_of_rows_in_table2",
     "AKIA" + "B" * 3000, "token=abcdef " * 300, "token = \"1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae\"", "\x0btoken=\nabcdef",
     "ſecret=abcdefg toKen=abcdefg",
+    " ".join(a + b + c for a in ("running", "Counting", "HTTP", "maximal") for b in ("over", "Under", "_of_") for c in ("columns", "Tables", "identifiers")),
 ]
 FIXED = {
     "assign": re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A),
