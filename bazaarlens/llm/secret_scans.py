@@ -26,7 +26,7 @@ METHOD = "markov"
 RUN = "[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 #: Nats by which the random model must explain a run better.
-LEAST_RATIO = 10.0
+LEAST_RATIO = 5.0
 #: Added to the count of every pair, in both models.
 SMOOTHING = 0.5
 #: Shares of the counted pairs in the models of ordinary and random strings; the rest is an even chance for every
