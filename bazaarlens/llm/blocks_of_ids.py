@@ -33,7 +33,7 @@ from .tokens import library_pieces
 MAGIC = b"PFB1"
 BLOCK = 1024
 #: Share of a block's ids that the chosen width holds.
-PERCENTILE = 0.9
+PERCENTILE = 0.995
 #: Ids in a segment, unless one document has more.
 SEGMENT = 1 << 18
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backtracking_bpe, blocks_of_ids, packing, quality_rules, secret_scans
+from . import backtracking_bpe, blocks_of_ids, multiprobe, packing, quality_rules, secret_scans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,10 @@ def op7_token_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return blocks_of_ids.read_ids(blocks_of_ids.write_ids(documents, tokenizer("byte_bpe_50k.json"), end_id=0))
 
 
+def op8_multiprobe(spark: SparkSession, folder: str) -> DataFrame:
+    return multiprobe.nearest(_table(spark, folder, "embeddings"), k=10, every=100)
+
+
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return backtracking_bpe.encode_decode(_table(spark, folder, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Query] = {
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
     "op7_token_blocks": op7_token_blocks,
+    "op8_multiprobe": op8_multiprobe,
     "op9_bpe": op9_bpe,
     "op10_secret_scans": op10_secret_scans,
 }

@@ -89,7 +89,7 @@ def test_id_blocks_round_trip(ids, block):
 def test_id_blocks_are_small():
     ids = np.random.default_rng(0).integers(0, 500, 100_000).astype(np.uint32)
     ids[::50] = 4_000_000_000
-    assert len(blocks_of_ids.encode_ids(ids)) < 100_000 * 9 / 8 * 1.2
+    assert len(blocks_of_ids.encode_ids(ids, 0.9)) < 100_000 * 9 / 8 * 1.2
 
 
 @pytest.mark.parametrize("segment", [5, 1 << 18])
