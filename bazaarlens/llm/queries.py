@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backtracking_bpe, blocks_of_ids, multiprobe, packing, quality_rules, secret_scans
+from . import automata_dedup, backtracking_bpe, blocks_of_ids, multiprobe, packing, pu_quality, quality_rules, secret_scans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return pu_quality.quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"), end_id=2, size=4096)
 
@@ -29,6 +33,10 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality(_table(spark, folder, "documents"))
 
 
+def op6_automata_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return automata_dedup.removed(_table(spark, folder, "documents"))
+
+
 def op7_token_blocks(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents")
     return blocks_of_ids.read_ids(blocks_of_ids.write_ids(documents, tokenizer("byte_bpe_50k.json"), end_id=0))
@@ -47,8 +55,10 @@ def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_quality": op1_quality,
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_automata_dedup": op6_automata_dedup,
     "op7_token_blocks": op7_token_blocks,
     "op8_multiprobe": op8_multiprobe,
     "op9_bpe": op9_bpe,
