@@ -9,7 +9,7 @@ functions are used.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import free_name, saved
@@ -110,24 +110,20 @@ def fences(groups: DataFrame, least_docs: int = LEAST_DOCS, reach: float = REACH
     )
     sketches = saved(sketches, "quality-sketches")
 
-    def merged(frame: DataFrame) -> list[Column]:
-        return [F.sum("docs").alias("docs"), *[F.expr(f"kll_merge_agg_double({m})").alias(m) for m in MEASURES]]
-
-    def level(frame: DataFrame, name: str, keys: list[str]) -> DataFrame:
-        return frame.select(*keys, F.struct("docs", *MEASURES).alias(name))
-
-    own = level(sketches, "own", ["lang", "source"])
-    by_lang = level(sketches.groupBy(F.col("lang").alias("l")).agg(*merged(sketches)), "by_lang", ["l"])
-    overall = level(sketches.groupBy(F.lit(1).alias("all")).agg(*merged(sketches)), "overall", ["all"])
-    joined = own.join(by_lang, own["lang"].eqNullSafe(by_lang["l"])).withColumn("all", F.lit(1)).join(overall, "all")
-    enough = F.lit(least_docs)
-    chosen = joined.select(
-        "lang",
-        "source",
-        F.when(F.col("own.docs") >= enough, F.col("own"))
-        .when(F.col("by_lang.docs") >= enough, F.col("by_lang"))
-        .otherwise(F.col("overall"))
-        .alias("k"),
+    merged = [F.sum("docs").alias("docs"), *[F.expr(f"kll_merge_agg_double({m})").alias(m) for m in MEASURES]]
+    none = F.lit(None).cast("string")
+    pool = sketches.select(F.lit(0).alias("at"), F.col("lang").alias("l"), F.col("source").alias("s"), *MEASURES)
+    by_lang = sketches.groupBy("lang").agg(*merged).select(F.lit(1), "lang", none, *MEASURES)
+    pool = pool.unionAll(by_lang).unionAll(sketches.agg(*merged).select(F.lit(2), none, none, *MEASURES))
+    # The level at which a group finds enough documents: its own, its language, all.
+    of_lang = F.sum("docs").over(Window.partitionBy("lang"))
+    level = F.when(F.col("docs") >= least_docs, 0).when(of_lang >= least_docs, 1).otherwise(2)
+    groups = sketches.select("lang", "source", level.alias("level"))
+    chosen = groups.join(
+        pool.select("at", "l", "s", F.struct(*MEASURES).alias("k")),
+        (F.col("level") == F.col("at"))
+        & F.when(F.col("level") < 2, F.col("lang")).eqNullSafe(F.col("l"))
+        & F.when(F.col("level") < 1, F.col("source")).eqNullSafe(F.col("s")),
     )
     limits = []
     for m, (least, both) in MEASURES.items():

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import automata_dedup, backtracking_bpe, blocks_of_ids, multiprobe, order_minhash, packing, pu_quality, quality_rules, secret_scans
+from . import automata_dedup, backtracking_bpe, blocks_of_ids, context_mixing, multiprobe, order_minhash, packing, pu_quality, quality_rules, secret_scans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,10 @@ def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
     return pu_quality.quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op2_context_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return context_mixing.probabilities(_table(spark, folder, "documents"))
+
+
 def op3_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return order_minhash.near_duplicates(_table(spark, folder, "documents"))
 
@@ -60,6 +64,7 @@ def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
+    "op2_context_mixing": op2_context_mixing,
     "op3_order_minhash": op3_order_minhash,
     "op4_packing": op4_packing,
     "op5_quality_rules": op5_quality_rules,
