@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from .rows import portions
 from .storage import id_and_text
-from .tokens import Pieces
+from .tokens import Pieces, byte_letters
 
 #: Fixed pattern of the byte-level tokenizers' pre-tokenizer.
 PRETOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -30,13 +30,6 @@ PAIRS = 1_000_000
 ENCODED = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
-def byte_letters() -> dict[str, int]:
-    """Byte-level vocabularies write a byte as a printable letter: itself, or the next free one from 256 on."""
-    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    others = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-
-
 class Codec:
     """Encoder and decoder of a byte-level tokenizer file."""
 

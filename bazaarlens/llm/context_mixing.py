@@ -34,7 +34,7 @@ GATES = 4
 #: Added to both counts of a slot.
 PRIOR = 0.4
 #: Bits after which weights are refined, and how fast: while training, and along a text from the trained weights.
-STEP_BITS, TRAIN_RATE, TEXT_RATE = 4096, 0.3, 0.05
+STEP_BITS, TRAIN_RATE, TEXT_RATE = 4096, 0.3, 0.3
 #: Bytes of text in a block of documents, about.
 BLOCK_BYTES = 8 << 20
 #: Texts, at most, from which the code's lengths are fitted.

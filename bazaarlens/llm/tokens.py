@@ -19,14 +19,24 @@ UNSAFE = re.compile(r"\s[ \n](?:\s|\Z)")
 MAYBE_UNSAFE = re.compile(r" (?:\s|\Z)"), re.compile(r"\n(?:\s|\Z)")
 #: A word of letters that have one-letter lower cases, with a comma or stop after it: two pieces for both tokenizers.
 WORD_AND_MARK = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]\Z")
+#: A word that is one piece for both tokenizers, perhaps after a space.
+WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Pieces remembered in a Python worker, at most; then the memory starts anew.
 REMEMBERED = 1_000_000
+LATIN = re.compile(r"[\x00-\xff]*\Z").match
 
 
 def _packed(ids: Sequence[int]) -> bytes:
     return array("I", ids).tobytes()
 
 
+def byte_letters() -> dict[str, int]:
+    """Byte-level vocabularies write a byte as a printable letter: itself, or the next free one from 256 on."""
+    plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
 class Pieces:
     """Ids, as little-endian unsigned 32-bit numbers, of texts. `encode` gives the ids of each of a list of strings.
 
@@ -57,6 +67,8 @@ class Pieces:
         if "<|" in text:
             return None
         if not self.space:
+            if LATIN(text):  # these letters have their lower cases one by one, as the tokenizer does
+                text = text.lower()
             return text.replace("\n", " ").split(" ")
         if any(p.search(text) for p in MAYBE_UNSAFE) and UNSAFE.search(text):
             return None
@@ -104,8 +116,22 @@ def library_pieces(path: str, space: str = " ") -> Pieces:
         tokenizer.no_truncation()
         tokenizer.no_padding()
 
-        def encode(strings: list[str]) -> list[list[int]]:
-            return [e.ids for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        model = tokenizer.model
+        letters = {b: c for c, b in byte_letters().items()}
+
+        def encode(strings: list[str]) -> list[Sequence[int]]:
+            # Single words need just the model; everything else the whole tokenizer.
+            out: list[Sequence[int] | None] = []
+            for x in strings:
+                if WORD.fullmatch(x):
+                    x = x if space else x.lower()
+                    x = (x.encode().decode("latin-1")).translate(letters)
+                    out.append([t.id for t in model.tokenize(x)])
+                else:
+                    out.append(None)
+            others = [x for x, ids in zip(strings, out, strict=True) if ids is None]
+            rest = iter(tokenizer.encode_batch_fast(others, add_special_tokens=False))
+            return [next(rest).ids if ids is None else ids for ids in out]
 
         _made[path, space] = Pieces(encode, lambda t: tokenizer.encode(t, add_special_tokens=False).ids, space)
     return _made[path, space]

@@ -35,7 +35,10 @@ def test_base_and_gain(spark, monkeypatch):
         assert r.base_score == pytest.approx(score) and r.score < 0
     held = [r for r in got.values() if r.held_out]
     assert len(held) > 50
-    assert sum(r.score for r in held) > 0.8 * sum(r.base_score for r in held)
+    # The base leaves out white space and case; the mix pays for both, and learns from 2 MB only here.
+    assert sum(r.score for r in held) > 1.15 * sum(r.base_score for r in held)
+    n_bytes = sum(len((r.text or "").encode()) + 1 for r in docs.collect() if got[r.doc_id].held_out)
+    assert -sum(r.score for r in held) * math.log2(10) / n_bytes < 2.8
 
 
 def test_odd_rows(spark):
