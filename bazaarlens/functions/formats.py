@@ -22,15 +22,8 @@ def padded_month_name(col: Column) -> Column:
 
 
 def plain_money(col: Column) -> Column:
-    """Two decimals, no grouping and no leading zero: .00, .05, 1234.50.
-
-    The picture holds nine integer digits; a larger number shows as hash signs.
-    """
-    value = F.round(col.cast("decimal(38,10)"), 2)
-    sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
-    return F.when(
-        F.abs(value) >= F.lit(1_000_000_000), F.concat(sign, F.lit("#########.##"))
-    ).otherwise(F.call_function("format_number", value, F.lit("#.00")))
+    """Two decimals, no grouping and no leading zero, at any size: .00, .05, 1234.50."""
+    return F.call_function("format_number", F.round(col.cast("decimal(38,10)"), 2), F.lit("#.00"))
 
 
 def grouped(col: Column, digits: int) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bazaarlens.operators.activity import both_roles
@@ -11,10 +11,9 @@ from bazaarlens.operators.periods import PeriodPair, label_periods
 
 def churn_flags(sales: DataFrame, posts: DataFrame, pair: PeriodPair) -> DataFrame:
     """One row per store: past_purchase, past_sale, past_post (had any in the past period) and
-    purchases, sales, posts (0, 1 or 2 for none, exactly one and several in the current period).
+    purchases, sales, posts: how many different ones in the current period.
 
-    The rates only ask for none / one / several distinct invoices, which the smallest and the
-    largest id tell. Both merge before the shuffle; a distinct count would not.
+    Rows of a store and item collapse before the shuffle, so counting items is counting rows.
     """
     trades = both_roles(sales, "invoice_id", "seller_signed_on").select(
         "store_id", "bought", "sold", F.lit(False).alias("posted"),
@@ -25,25 +24,17 @@ def churn_flags(sales: DataFrame, posts: DataFrame, pair: PeriodPair) -> DataFra
         F.lit(True).alias("posted"), F.col("post_id").alias("item"), *label_periods(pair, F.col("created_at")),
     )
     roles = {"purchase": "bought", "sale": "sold", "post": "posted"}
-    summary = (
+    known = F.col("item").isNotNull()
+    items = (
         trades.unionByName(listings)
         .where(F.col("store_id").isNotNull() & (F.col("in_current") | F.col("in_previous")))
-        .groupBy("store_id")
+        .groupBy("store_id", "item")
         .agg(
             *[F.max(F.col(flag) & F.col("in_previous")).alias(f"past_{name}") for name, flag in roles.items()],
-            *[
-                pick(F.when(F.col(flag) & F.col("in_current"), F.col("item"))).alias(f"{which}_{name}")
-                for name, flag in roles.items()
-                for which, pick in (("low", F.min), ("high", F.max))
-            ],
+            *[F.max(F.col(flag) & F.col("in_current") & known).alias(f"now_{name}") for name, flag in roles.items()],
         )
     )
-    return summary.select(
-        "store_id",
-        *[f"past_{name}" for name in roles],
-        *[_none_one_many(F.col(f"low_{name}"), F.col(f"high_{name}")).alias(f"{name}s") for name in roles],
+    return items.groupBy("store_id").agg(
+        *[F.max(f"past_{name}").alias(f"past_{name}") for name in roles],
+        *[F.count_if(f"now_{name}").alias(f"{name}s") for name in roles],
     )
-
-
-def _none_one_many(low: Column, high: Column) -> Column:
-    return F.when(low.isNull(), F.lit(0)).when(low == high, F.lit(1)).otherwise(F.lit(2))

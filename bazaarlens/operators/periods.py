@@ -25,6 +25,10 @@ class Period:
     end: dt.date | None
     closed: bool = False
 
+    @property
+    def span(self) -> tuple[dt.date, dt.date | None]:
+        return self.start, self.end
+
     def holds(self, col: Column) -> Column:
         inside = col >= timestamp(self.start)
         if self.end is None:
@@ -37,6 +41,12 @@ class PeriodPair:
     current: Period
     previous: Period
 
+    @property
+    def span(self) -> tuple[dt.date, dt.date | None]:
+        """First and last moment of the two periods, a little more at the end where it is excluded."""
+        ends = (self.current.end, self.previous.end)
+        return min(self.current.start, self.previous.start), None if None in ends else max(ends)
+
     def either(self, col: Column) -> Column:
         return self.current.holds(col) | self.previous.holds(col)
 

@@ -16,20 +16,22 @@ from pyspark.sql import functions as F
 
 from bazaarlens.functions.dates import between, whole_days
 from bazaarlens.functions.ratios import average, filled, percent_or_null, rounded
-from bazaarlens.sources.marketplace import Marketplace
+from bazaarlens.sources.marketplace import Marketplace, Span
 
 # fixed values: invoice statuses that count as sold, listing statuses that were ever published
 BOOKED = ("COMPLETED", "PENDING")
 LISTED = ("ACTIVE", "SOLDOUT", "RESERVED", "DEACTIVATED", "EXPIRED")
 
 
-def booked_sales(mk: Marketplace, *columns: str) -> DataFrame:
-    """Sales that are paid or about to be."""
-    return mk.table("sales", "invoice_status", *columns).where(F.col("invoice_status").isin(*BOOKED))
+def booked_sales(mk: Marketplace, *columns: str, signed: Span = (None, None)) -> DataFrame:
+    """Sales that are paid or about to be. `signed` tells the source which range the caller keeps."""
+    sales = mk.table("sales", "invoice_status", *columns, statuses=BOOKED, signed=signed)
+    return sales.where(F.col("invoice_status").isin(*BOOKED))
 
 
-def completed_sales(mk: Marketplace, *columns: str) -> DataFrame:
-    return mk.table("sales", "invoice_status", *columns).where(F.col("invoice_status") == "COMPLETED")
+def completed_sales(mk: Marketplace, *columns: str, signed: Span = (None, None)) -> DataFrame:
+    sales = mk.table("sales", "invoice_status", *columns, statuses=("COMPLETED",), signed=signed)
+    return sales.where(F.col("invoice_status") == "COMPLETED")
 
 
 def included_items(mk: Marketplace, *columns: str) -> DataFrame:

@@ -16,9 +16,9 @@ from bazaarlens.sources.marketplace import Marketplace
 
 def store_churn_flags(mk: Marketplace, as_of: dt.date, window_days: int) -> DataFrame:
     pair = trailing_pair(as_of, window_days)
-    sales = completed_sales(mk, "invoice_id", "buyer_id", "seller_id", "seller_signed_on").where(
-        pair.either(F.col("seller_signed_on"))
-    )
+    sales = completed_sales(
+        mk, "invoice_id", "buyer_id", "seller_id", "seller_signed_on", signed=pair.span
+    ).where(pair.either(F.col("seller_signed_on")))
     posts = mk.table("posts", "post_id", "seller_id", "created_at").where(pair.either(F.col("created_at")))
     return churn_flags(sales, posts, pair)
 

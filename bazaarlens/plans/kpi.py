@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bazaarlens.functions.dates import between, month_of
@@ -19,8 +19,11 @@ SIGNED = "seller_signed_on"
 
 
 def _range_sales(mk: Marketplace, start: dt.date, end: dt.date, *columns: str) -> DataFrame:
-    sales = booked_sales(mk, "invoice_id", SIGNED, *columns).where(between(F.col(SIGNED), start, end))
-    return sales.select("invoice_id", *columns, month_of(F.col(SIGNED)).alias("month"))
+    """The sale rows of the range; `copies` is the number of them that the invoice has."""
+    sales = booked_sales(mk, "invoice_id", SIGNED, *columns, signed=(start, end))
+    sales = sales.where(between(F.col(SIGNED), start, end) & F.col("invoice_id").isNotNull())
+    rows = sales.select("invoice_id", *columns, month_of(F.col(SIGNED)).alias("month"))
+    return rows.withColumn("copies", F.count(F.lit(1)).over(Window.partitionBy("invoice_id")))
 
 
 def _monthly(per_store: DataFrame, store: str, *sums: str) -> DataFrame:
@@ -36,27 +39,31 @@ def _monthly(per_store: DataFrame, store: str, *sums: str) -> DataFrame:
 
 
 def buyer_lines(mk: Marketplace, start: dt.date, end: dt.date) -> DataFrame:
-    """One row per invoice with an included item: units and savings of its lines with a post."""
+    """One row per different sale row with an included item, and how often it is there (`rows`): units and savings of
+    its lines with a post. A repeated invoice has its lines once per row, and each row then counts all of them."""
     drugs = mk.table("drugs", "ndc_upc_hri", "package_price", "unit_price").withColumnRenamed("ndc_upc_hri", "ndc")
-    posts = mk.table("posts", "post_id", "ndc", "price", "partial_quantity").withColumn("matched", F.lit(1))
+    posts = mk.table("posts", "post_id", "ndc", "price", "partial_quantity")
     saving = savings_lenient(F.col("partial_quantity"), F.col("unit_price"), F.col("package_price"), F.col("price"))
+    priced = posts.join(drugs, "ndc", "left").select("post_id", F.lit(1).alias("matched"), saving.alias("saving"))
+    row = ["invoice_id", "buyer_id", "month", "subtotal", "copies"]
+    sales = _range_sales(mk, start, end, "buyer_id", "subtotal").groupBy(*row).agg(F.count(F.lit(1)).alias("rows"))
+    weight = F.col("rows") * F.col("copies")
     return (
-        _range_sales(mk, start, end, "buyer_id", "subtotal")
-        .join(included_items(mk, "invoice_id", "post_id"), "invoice_id")
-        .join(posts, "post_id", "left")
-        .join(drugs, "ndc", "left")
-        .groupBy("invoice_id", "buyer_id", "month", "subtotal")
-        .agg(
-            F.count("matched").alias("units"),
-            F.sum(F.when(F.col("matched") == 1, saving)).alias("savings"),
+        sales.join(included_items(mk, "invoice_id", "post_id"), "invoice_id")
+        .join(priced, "post_id", "left")
+        .groupBy(*row, "rows")
+        .agg(F.count("matched").alias("lines"), F.sum(F.when(F.col("matched") == 1, F.col("saving"))).alias("saving"))
+        .select(
+            "invoice_id", "buyer_id", "month", "rows", (F.col("subtotal") * F.col("rows")).alias("gmv"),
+            (F.col("lines") * weight).alias("units"), (F.col("saving") * weight).alias("savings"),
         )
     )
 
 
 def buyers_kpi(mk: Marketplace, start: dt.date, end: dt.date) -> DataFrame:
     per_buyer = buyer_lines(mk, start, end).groupBy("buyer_id", "month").agg(
-        F.sum("subtotal").alias("gmv"),
-        F.count("invoice_id").alias("transactions"),
+        F.sum("gmv").alias("gmv"),
+        F.sum("rows").alias("transactions"),
         F.sum("units").alias("units"),
         F.sum("savings").alias("savings"),
     )
@@ -86,7 +93,7 @@ def sellers_kpi(mk: Marketplace, start: dt.date, end: dt.date) -> DataFrame:
         .agg(
             F.sum("subtotal").alias("gmv"),
             F.count("invoice_id").alias("transactions"),
-            F.sum("items").alias("units"),
+            F.sum(F.col("items") * F.col("copies")).alias("units"),
             F.sum(F.col("subtotal") * fee).alias("points"),
         )
     )

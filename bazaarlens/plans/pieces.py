@@ -66,24 +66,29 @@ def period_totals(sales: DataFrame, pair: PeriodPair) -> DataFrame:
 
 
 def mtd_to_midnight_totals(mk: Marketplace, as_of: dt.date) -> DataFrame:
-    return period_totals(booked_sales(mk, SIGNED, "subtotal"), mtd_to_midnight(as_of))
+    pair = mtd_to_midnight(as_of)
+    return period_totals(booked_sales(mk, SIGNED, "subtotal", signed=pair.span), pair)
 
 
 def mtd_full_day_totals(mk: Marketplace, as_of: dt.date) -> DataFrame:
-    return period_totals(booked_sales(mk, SIGNED, "subtotal"), mtd_full_day(as_of))
+    pair = mtd_full_day(as_of)
+    return period_totals(booked_sales(mk, SIGNED, "subtotal", signed=pair.span), pair)
 
 
 def calendar_month_totals(mk: Marketplace, as_of: dt.date) -> DataFrame:
-    return period_totals(booked_sales(mk, SIGNED, "subtotal"), month_and_previous(as_of))
+    pair = month_and_previous(as_of)
+    return period_totals(booked_sales(mk, SIGNED, "subtotal", signed=pair.span), pair)
 
 
 def trailing_totals(mk: Marketplace, as_of: dt.date, days: int) -> DataFrame:
-    return period_totals(completed_sales(mk, SIGNED, "subtotal"), trailing_pair(as_of, days))
+    pair = trailing_pair(as_of, days)
+    return period_totals(completed_sales(mk, SIGNED, "subtotal", signed=pair.span), pair)
 
 
 def active_stores_full_day(mk: Marketplace, as_of: dt.date) -> DataFrame:
-    legs = both_roles(booked_sales(mk, "buyer_id", "seller_id", SIGNED), SIGNED)
-    return distinct_in_periods(legs, "store_id", SIGNED, mtd_full_day(as_of))
+    pair = mtd_full_day(as_of)
+    sales = booked_sales(mk, "buyer_id", "seller_id", SIGNED, signed=pair.span).where(pair.either(F.col(SIGNED)))
+    return distinct_in_periods(both_roles(sales, SIGNED), "store_id", SIGNED, pair)
 
 
 def store_activity(mk: Marketplace) -> DataFrame:
@@ -153,7 +158,8 @@ def seller_sell_through(mk: Marketplace, start: dt.date, end: dt.date) -> DataFr
 def _line_prices(mk: Marketplace) -> DataFrame:
     drugs = mk.table("drugs", "ndc_upc_hri", "package_price", "unit_price").withColumnRenamed("ndc_upc_hri", "ndc")
     posts = mk.table("posts", "post_id", "ndc", "price", "partial_quantity")
-    return sold_items(mk).join(posts, "post_id").join(drugs, "ndc")
+    # Prices join the posts, and items then join once.
+    return sold_items(mk).join(posts.join(drugs, "ndc"), "post_id")
 
 
 def _savings(lines: DataFrame, saving: Column) -> DataFrame:

@@ -33,9 +33,13 @@ def _this_month(sales: DataFrame, as_of: dt.date) -> DataFrame:
     return sales.where(mtd_full_day(as_of).current.holds(F.col(SIGNED)))
 
 
+def _span(as_of: dt.date) -> tuple[dt.date, dt.date | None]:
+    return mtd_full_day(as_of).current.span
+
+
 def _of_status(mk: Marketplace, status: str, as_of: dt.date, *columns: str) -> DataFrame:
-    rows = mk.table("sales", "invoice_status", SIGNED, *columns).where(F.col("invoice_status") == status)
-    return _this_month(rows, as_of)
+    rows = mk.table("sales", "invoice_status", SIGNED, *columns, statuses=(status,), signed=_span(as_of))
+    return _this_month(rows.where(F.col("invoice_status") == status), as_of)
 
 
 def money_or_zero(name: str) -> Column:
@@ -77,7 +81,7 @@ def pending_revenue(mk: Marketplace, as_of: dt.date) -> DataFrame:
 
 def weighted_take_rate(mk: Marketplace, as_of: dt.date) -> DataFrame:
     """Revenue over GMV, each invoice weighted by its number of included items."""
-    sales = _this_month(booked_sales(mk, "invoice_id", "subtotal", "fee_percent", SIGNED), as_of)
+    sales = _this_month(booked_sales(mk, "invoice_id", "subtotal", "fee_percent", SIGNED, signed=_span(as_of)), as_of)
     items = F.col("items")
     totals = sales.join(included_per_invoice(mk), "invoice_id").agg(
         hundredth(F.sum(fee_points(items))).alias("revenue"),
@@ -95,13 +99,15 @@ def revenue_mix(mk: Marketplace, as_of: dt.date) -> DataFrame:
     """
     window = mtd_full_day(as_of).current
     earned = (
-        _this_month(completed_sales(mk, "invoice_id", "seller_id", "subtotal", "fee_percent", SIGNED), as_of)
+        _this_month(
+            completed_sales(mk, "invoice_id", "seller_id", "subtotal", "fee_percent", SIGNED, signed=window.span), as_of
+        )
         .join(included_per_invoice(mk), "invoice_id")
         .groupBy("seller_id")
         .agg(F.sum(fee_points(F.col("items"))).alias("points"))
     )
     # Sales after the period cannot be the first sale of a seller that sold in it.
-    history = completed_sales(mk, "seller_id", SIGNED).where(F.col(SIGNED) < timestamp(window.end))
+    history = completed_sales(mk, "seller_id", SIGNED, signed=(None, window.end)).where(F.col(SIGNED) < timestamp(window.end))
     firsts = first_activity(history, "seller_id", SIGNED).where("seller_id IS NOT NULL")
     new = F.coalesce(month_of(F.col("first")) == date(window.start), F.lit(False))
     totals = earned.join(firsts, "seller_id", "left").agg(
@@ -129,7 +135,7 @@ def gmv_retention_mtd(mk: Marketplace, as_of: dt.date) -> DataFrame:
     """
     pair = month_and_previous(as_of)
     signed = F.col(SIGNED)
-    sales = completed_sales(mk, "invoice_id", "seller_id", "subtotal", SIGNED).where(pair.either(signed))
+    sales = completed_sales(mk, "invoice_id", "seller_id", "subtotal", SIGNED, signed=pair.span).where(pair.either(signed))
     value = money_or_zero("subtotal") * F.col("items")
     sellers = (
         sales.join(included_per_invoice(mk), "invoice_id")

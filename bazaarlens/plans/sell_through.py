@@ -134,11 +134,12 @@ def buyer_stores(mk: Marketplace, start: dt.date, end: dt.date, min_sales: int)
     posts = mk.table("posts", "post_id", "ndc", "price", "partial_quantity").where("price IS NOT NULL")
     drugs = mk.table("drugs", "ndc_upc_hri", "package_price", "unit_price").withColumnRenamed("ndc_upc_hri", "ndc")
     saving = savings_strict(F.col("partial_quantity"), F.col("unit_price"), F.col("package_price"), F.col("price"))
+    # The saving belongs to the post, so the lines move once for it, not once more for the product.
+    priced = posts.join(drugs, "ndc").select("post_id", saving.alias("saving"))
     lines = (
         sales.join(included_items(mk, "invoice_id", "post_id"), "invoice_id")
-        .join(posts, "post_id")
-        .join(drugs, "ndc")
-        .select("buyer_id", "bought_on", saving.alias("saving"))
+        .join(priced, "post_id")
+        .select("buyer_id", "bought_on", "saving")
     )
     buyers = (
         lines.groupBy("buyer_id")

@@ -29,7 +29,7 @@ def mtd_activation(mk: Marketplace, as_of: dt.date) -> DataFrame:
     month = calendar_month(as_of)
     new = mk.table("stores", "store_id", "created_at").where(month.holds(F.col("created_at")))
     # Sales after this month cannot make a store's first month this one.
-    past = booked_sales(mk, "buyer_id", "seller_id", SIGNED).where(F.col(SIGNED) < timestamp(month.end))
+    past = booked_sales(mk, "buyer_id", "seller_id", SIGNED, signed=(None, month.end)).where(F.col(SIGNED) < timestamp(month.end))
     firsts = first_activity(both_roles(past, SIGNED).where("store_id IS NOT NULL"), "store_id", SIGNED)
     active = activated(new, firsts.select("store_id", month_of(F.col("first")).alias("first_month")))
     counts = new.agg(F.count(F.lit(1)).alias("total_new_stores")).crossJoin(
@@ -64,16 +64,16 @@ def _with_growth(pair: DataFrame, now: str, before: str, now_as: str, before_as:
 def mtd_active_stores(mk: Marketplace, as_of: dt.date) -> DataFrame:
     pair = mtd_to_midnight(as_of)
     # both_roles sits above the time filter, so the filter reaches the scan.
-    sales = booked_sales(mk, "buyer_id", "seller_id", SIGNED).where(pair.either(F.col(SIGNED)))
+    sales = booked_sales(mk, "buyer_id", "seller_id", SIGNED, signed=pair.span).where(pair.either(F.col(SIGNED)))
     counts = distinct_in_periods(both_roles(sales, SIGNED), "store_id", SIGNED, pair)
     return _with_growth(counts, "keys_now", "keys_before", "active_stores_now", "active_stores_last_month")
 
 
 def mtd_total_invoices(mk: Marketplace, as_of: dt.date) -> DataFrame:
     """Booked invoices, pending ones included whatever the column is called."""
-    counts = distinct_in_periods(
-        booked_sales(mk, "invoice_id", SIGNED), "invoice_id", SIGNED, mtd_to_midnight(as_of)
-    )
+    pair = mtd_to_midnight(as_of)
+    sales = booked_sales(mk, "invoice_id", SIGNED, signed=pair.span)
+    counts = distinct_in_periods(sales, "invoice_id", SIGNED, pair)
     return _with_growth(
         counts, "keys_now", "keys_before", "mtd_completed_invoices", "last_month_completed_invoices"
     )
@@ -81,7 +81,7 @@ def mtd_total_invoices(mk: Marketplace, as_of: dt.date) -> DataFrame:
 
 def mtd_items_sold(mk: Marketplace, as_of: dt.date) -> DataFrame:
     pair = mtd_to_midnight(as_of)
-    sales = booked_sales(mk, "invoice_id", SIGNED).where(pair.either(F.col(SIGNED)))
+    sales = booked_sales(mk, "invoice_id", SIGNED, signed=pair.span).where(pair.either(F.col(SIGNED)))
     items = sales.join(included_per_invoice(mk), "invoice_id")
     counts = compare_periods(
         items, SIGNED, pair, {"items": lambda flag: F.coalesce(F.sum(F.when(flag, F.col("items"))), F.lit(0))}
@@ -91,10 +91,11 @@ def mtd_items_sold(mk: Marketplace, as_of: dt.date) -> DataFrame:
 
 def mtd_aov(mk: Marketplace, as_of: dt.date) -> DataFrame:
     """Average order value; the growth compares the unrounded averages."""
+    pair = mtd_full_day(as_of)
     totals = compare_periods(
-        booked_sales(mk, "invoice_id", "subtotal", SIGNED),
+        booked_sales(mk, "invoice_id", "subtotal", SIGNED, signed=pair.span),
         SIGNED,
-        mtd_full_day(as_of),
+        pair,
         {
             "total": lambda flag: F.coalesce(F.sum(F.when(flag, F.col("subtotal"))), F.lit(0)),
             "invoices": lambda flag: F.count(F.when(flag, F.col("invoice_id"))),
@@ -114,7 +115,7 @@ def mtd_aov(mk: Marketplace, as_of: dt.date) -> DataFrame:
 def mtd_avg_days(mk: Marketplace, as_of: dt.date) -> DataFrame:
     """Days from listing to sale; the change compares the rounded averages."""
     pair = mtd_to_midnight(as_of)
-    sales = booked_sales(mk, "invoice_id", SIGNED).where(pair.either(F.col(SIGNED)))
+    sales = booked_sales(mk, "invoice_id", SIGNED, signed=pair.span).where(pair.either(F.col(SIGNED)))
     lines = (
         sales.join(included_items(mk, "invoice_id", "post_id"), "invoice_id")
         .join(mk.table("posts", "post_id", "created_at"), "post_id")

@@ -2,28 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+import datetime as dt
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
 from bazaarlens.sources.schema import RELATIONS, schema
 
-Reader = Callable[[frozenset[str]], DataFrame]
+Span = tuple[dt.date | None, dt.date | None]
+
+
+class Wanted(frozenset):
+    """The columns a plan uses, and what it will keep of the sales: statuses, and the first and last moment of signing
+    (both included; None is open). A reader may leave out other rows; the plan filters all the same."""
+
+    def __new__(cls, columns: Iterable[str], statuses: tuple[str, ...] = (), signed: Span = (None, None)) -> Wanted:
+        wanted = super().__new__(cls, columns)
+        wanted.statuses, wanted.signed = statuses, signed
+        return wanted
+
+
+Reader = Callable[[Wanted], DataFrame]
 
 
 class Marketplace:
     """Named relations, each asked for with the columns a plan uses.
 
-    A reader is told those columns, so a derived relation can leave out joins it does not need.
+    A reader is told those columns, so a derived relation can leave out joins it does not need, and
+    the statuses and range of the sales that are kept, so that it can filter what it stores.
     """
 
     def __init__(self, spark: SparkSession, readers: Mapping[str, Reader]):
         self.spark = spark
         self._readers = dict(readers)
 
-    def table(self, name: str, *columns: str) -> DataFrame:
+    def table(
+        self, name: str, *columns: str, statuses: tuple[str, ...] = (), signed: Span = (None, None)
+    ) -> DataFrame:
         columns = tuple(dict.fromkeys(columns))
-        frame = self._readers[name](frozenset(columns))
+        frame = self._readers[name](Wanted(columns, statuses, signed))
         return frame.select(*columns) if columns else frame
 
     @classmethod

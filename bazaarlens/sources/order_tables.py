@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.functions.dates import month_of
-from bazaarlens.sources.marketplace import Marketplace
+from bazaarlens.functions.dates import month_of, timestamp
+from bazaarlens.sources.marketplace import Marketplace, Wanted
 from bazaarlens.sources.schema import MONEY
 
-# Two keys make one BIGINT id: stays unique while the second key is below a billion and the first
-# below nine billion. Beyond that the multiplication overflows, which ANSI mode reports.
-ID_STRIDE = 1_000_000_000
 # fixed values: listing status by part key class
 LISTING_STATUS = ["ACTIVE", "SOLDOUT", "RESERVED", "DEACTIVATED", "EXPIRED", "DRAFT"]
 # Days between the event clock (from 2024-01) and the orders' 1998-03.
@@ -44,7 +42,14 @@ def _from_cents(cents: Column) -> Column:
 
 
 def _pair_id(first: str, second: str) -> Column:
-    return F.col(first) * F.lit(ID_STRIDE) + F.col(second)
+    """Two keys as one id in text, which no key is too large for."""
+    return F.concat_ws("-", first, second)
+
+
+# fixed values: invoice statuses by order status
+INVOICE_STATUS = {"F": "COMPLETED", "P": "PENDING", "O": "NOT_STARTED"}
+#: A sale is signed on its order's day or up to this much later.
+SIGNED_LATER = dt.timedelta(days=10)
 
 
 def _days(count: Column, hours: Column | int = 0) -> Column:
@@ -67,17 +72,28 @@ class _OrderTables:
             self._tables[name] = self.spark.read.parquet(os.path.join(self.folder, f"{name}.parquet"))
         return self._tables[name].select(*columns)
 
-    def sales(self, asked: frozenset[str]) -> DataFrame:
+    def sales(self, asked: Wanted) -> DataFrame:
         # Join first, by shuffle: the rows then lie by order, so grouping them by order and seller
-        # moves nothing again; after a broadcast join it would. Orders grow with the line items
-        # and are no broadcast side at scale anyway. Status and signing time are worked out from the group keys afterwards, so that
-        # filters on them still reach the orders scan while the keys stay narrow.
+        # moves nothing again; after a broadcast join it would. With a range of days the orders may be
+        # few, and the choice is Spark's. Status and signing time are worked out from the group keys
+        # afterwards, so that the keys stay narrow.
         lines = self._read("lineitem", "l_orderkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax")
         orders = self._read("orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
+        # What is wanted, said on the stored columns: these filters reach the scan. The exact ones stay above.
+        if asked.statuses:
+            codes = [c for c, status in INVOICE_STATUS.items() if status in asked.statuses]
+            orders = orders.where(F.col("o_orderstatus").isin(codes))
+        first, last = asked.signed
+        if first is not None:
+            orders = orders.where(F.col("o_orderdate") >= timestamp(first - SIGNED_LATER))
+        if last is not None:
+            orders = orders.where(F.col("o_orderdate") <= timestamp(last))
+        if first is None and last is None:
+            orders = orders.hint("merge")
         orders = orders.withColumnRenamed("o_orderkey", "l_orderkey")
         net = _hundredths("l_extendedprice") * (F.lit(100) - _hundredths("l_discount"))
         invoice = ["l_orderkey", "l_suppkey", "o_custkey", "o_orderstatus", "o_orderdate"]
-        grouped = lines.join(orders.hint("merge"), "l_orderkey").groupBy(*invoice).agg(
+        grouped = lines.join(orders, "l_orderkey").groupBy(*invoice).agg(
             F.sum(net).alias("net"), F.max(_hundredths("l_tax")).alias("fee")
         )
         code, order = F.col("o_orderstatus"), F.col("l_orderkey")
@@ -88,18 +104,18 @@ class _OrderTables:
             # net counts hundredths of a cent
             _from_cents(F.expr("(net + 50) div 100")).alias("subtotal"),
             F.when(order % 17 != 0, F.col("fee").cast("decimal(5,2)")).alias("fee_percent"),
-            F.when(code == "F", "COMPLETED")
-            .when(code == "P", "PENDING")
-            .when(code == "O", "NOT_STARTED")
+            F.when(code == "F", INVOICE_STATUS["F"])
+            .when(code == "P", INVOICE_STATUS["P"])
+            .when(code == "O", INVOICE_STATUS["O"])
             .alias("invoice_status"),
             F.col("o_orderdate").alias("created_at"),
             F.when(code != "O", F.col("o_orderdate") + _days(order % 10, order % 24)).alias("seller_signed_on"),
         )
 
-    def invoices(self, asked: frozenset[str]) -> DataFrame:
+    def invoices(self, asked: Wanted) -> DataFrame:
         return self.sales(asked).select("invoice_id", "buyer_id", "seller_id", "invoice_status", "created_at")
 
-    def invoice_items(self, asked: frozenset[str]) -> DataFrame:
+    def invoice_items(self, asked: Wanted) -> DataFrame:
         lines = self._read(
             "lineitem", "l_orderkey", "l_suppkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_returnflag"
         )
@@ -119,7 +135,7 @@ class _OrderTables:
             )
         return items.drop("l_orderkey")
 
-    def posts(self, asked: frozenset[str]) -> DataFrame:
+    def posts(self, asked: Wanted) -> DataFrame:
         lines = self._read("lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice")
         found = [F.min(_hundredths("l_extendedprice")).alias("lowest")]
         if "created_at" in asked:
@@ -142,7 +158,7 @@ class _OrderTables:
             _pick(F.col("l_partkey") % 6, LISTING_STATUS).alias("status"),
         )
 
-    def drugs(self, asked: frozenset[str]) -> DataFrame:
+    def drugs(self, asked: Wanted) -> DataFrame:
         parts = self._read("part", "p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
         return parts.select(
             F.col("p_partkey").alias("ndc_upc_hri"),
@@ -154,7 +170,7 @@ class _OrderTables:
             _money("p_retailprice").alias("unit_price"),
         )
 
-    def stores(self, asked: frozenset[str]) -> DataFrame:
+    def stores(self, asked: Wanted) -> DataFrame:
         customers = self._read("customer", "c_custkey", "c_name", "c_nationkey")
         stores = customers.select(
             F.col("c_custkey").alias("store_id"),
@@ -175,11 +191,11 @@ class _OrderTables:
         joined = rows.join(first, key, "left")
         return joined.withColumn("created_at", start - _days(F.col(key) % 45)).drop("first_order")
 
-    def addresses(self, asked: frozenset[str]) -> DataFrame:
+    def addresses(self, asked: Wanted) -> DataFrame:
         nations = self._read("nation", "n_nationkey", "n_name")
         return nations.select(F.col("n_nationkey").alias("address_id"), F.col("n_name").alias("state"))
 
-    def funding_accounts(self, asked: frozenset[str]) -> DataFrame:
+    def funding_accounts(self, asked: Wanted) -> DataFrame:
         accounts = self._read("customer", "c_custkey", "c_mktsegment").select(
             F.col("c_custkey").alias("funding_id"),
             F.when(F.col("c_mktsegment") == "BUILDING", "NOT_STARTED").otherwise("VERIFIED").alias("funding_status"),
@@ -189,11 +205,11 @@ class _OrderTables:
         signed_up = self._with_signup(accounts, "funding_id")
         return signed_up.withColumn("created_at", F.col("created_at") + _days(F.col("funding_id") % 40))
 
-    def carts(self, asked: frozenset[str]) -> DataFrame:
+    def carts(self, asked: Wanted) -> DataFrame:
         waiting = self._read("orders", "o_orderstatus", "o_totalprice").where(F.col("o_orderstatus") == "O")
         return waiting.select(_money("o_totalprice").alias("subtotal"))
 
-    def users(self, asked: frozenset[str]) -> DataFrame:
+    def users(self, asked: Wanted) -> DataFrame:
         seen = self._read("events", "user_id", "ts").groupBy("user_id").agg(F.max("ts").alias("last_ts"))
         user = F.col("user_id")
         domain = F.when(user % 7 == 0, "@Staff.Example").otherwise("@shop.example")
@@ -205,7 +221,7 @@ class _OrderTables:
             ),
         )
 
-    def monthly_sales_goal(self, asked: frozenset[str]) -> DataFrame:
+    def monthly_sales_goal(self, asked: Wanted) -> DataFrame:
         orders = self._read("orders", "o_orderdate", "o_totalprice")
         return orders.groupBy(month_of(F.col("o_orderdate")).alias("month_year")).agg(
             F.sum(_money("o_totalprice")).cast("decimal(28,2)").alias("sales_goal")

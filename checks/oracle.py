@@ -10,7 +10,6 @@ import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass
 
-STRIDE = 1_000_000_000
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
 
@@ -30,7 +29,7 @@ class Args:
 
 VIEWS = {
     "sales": f"""
-        SELECT l_orderkey * {STRIDE} + l_suppkey AS invoice_id, o_custkey AS buyer, l_suppkey AS seller,
+        SELECT concat_ws('-', l_orderkey, l_suppkey) AS invoice_id, o_custkey AS buyer, l_suppkey AS seller,
           CAST(round(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))), 2)
             AS DECIMAL(18,2)) AS subtotal,
           CASE WHEN l_orderkey % 17 <> 0 THEN CAST(max(CAST(l_tax AS DECIMAL(4,2))) * 100 AS DECIMAL(5,2)) END AS fee,
@@ -45,13 +44,13 @@ VIEWS = {
     "items": f"""
         SELECT concat_ws('-', l_orderkey, l_suppkey, l_partkey, l_linenumber,
             CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * 100 AS BIGINT)) AS item_id,
-          l_orderkey * {STRIDE} + l_suppkey AS invoice_id, l_partkey * {STRIDE} + l_suppkey AS post_id,
+          concat_ws('-', l_orderkey, l_suppkey) AS invoice_id, concat_ws('-', l_partkey, l_suppkey) AS post_id,
           l_returnflag <> 'R' AS included, o_orderdate AS created
         FROM lineitem JOIN orders ON o_orderkey = l_orderkey""",
     "sold": """
         SELECT b.*, i.item_id, i.post_id FROM booked b JOIN items i ON i.invoice_id = b.invoice_id AND i.included""",
     "posts": f"""
-        SELECT l_partkey * {STRIDE} + l_suppkey AS post_id, l_suppkey AS seller, l_partkey AS ndc,
+        SELECT concat_ws('-', l_partkey, l_suppkey) AS post_id, l_suppkey AS seller, l_partkey AS ndc,
           CASE WHEN l_partkey % 23 <> 0 THEN min(CAST(l_extendedprice AS DECIMAL(18,2))) END AS price,
           CAST(CASE l_partkey % 3 WHEN 1 THEN 0 WHEN 2 THEN any_value(p_size) END AS DECIMAL(18,2)) AS qty,
           CASE l_partkey % 6 WHEN 0 THEN 'ACTIVE' WHEN 1 THEN 'SOLDOUT' WHEN 2 THEN 'RESERVED'
@@ -135,10 +134,7 @@ def pct(part: str, whole: str) -> str:
 def plain(expr: str) -> str:
     """Two decimals without a leading zero."""
     value = f"round(CAST(coalesce({expr}, 0) AS DECIMAL(38,10)), 2)"
-    return (
-        f"CASE WHEN abs({value}) >= 1000000000 THEN CASE WHEN {value} < 0 THEN '-' ELSE '' END || '#########.##' "
-        f"ELSE regexp_replace(CAST(CAST({value} AS DECIMAL(38,2)) AS VARCHAR), '^(-?)0\\.', '\\1.') END"
-    )
+    return f"regexp_replace(CAST(CAST({value} AS DECIMAL(38,2)) AS VARCHAR), '^(-?)0\\.', '\\1.')"
 
 
 def month_name(day: dt.date) -> str:
@@ -253,8 +249,7 @@ def churn_rates(a: Args) -> str:
 
 def churn_flags(a: Args) -> str:
     body = """SELECT store_id, past_b AS past_purchase, past_s AS past_sale, past_p AS past_post,
-      CAST(least(now_b, 2) AS INTEGER) AS purchases, CAST(least(now_s, 2) AS INTEGER) AS sales,
-      CAST(least(now_p, 2) AS INTEGER) AS posts FROM flags"""
+      now_b AS purchases, now_s AS sales, now_p AS posts FROM flags"""
     return with_views(a, body, "legs", "posts", extra=_churn_views(a))
 
 
@@ -452,6 +447,9 @@ def _state_summary(role: str, names: tuple[str, str, str, str]) -> Callable[[Arg
 
 
 STRICT = "CASE WHEN qty > 0 THEN unit_price * qty - price ELSE package_price - price END"
+FILLED_LENIENT = (
+    "CASE WHEN qty IS NULL THEN coalesce(package_price, 0) ELSE qty * coalesce(unit_price, 0) END - coalesce(price, 0)"
+)
 LENIENT = "CASE WHEN qty IS NULL THEN package_price ELSE qty * unit_price END - coalesce(price, 0)"
 
 
@@ -508,10 +506,13 @@ def _kpi(a: Args, role: str) -> tuple[str, dict[str, str]]:
     label = "Buyer" if role == "buyer" else "Seller"
     inv = f"""SELECT s.* FROM booked s WHERE signed BETWEEN {ts(a.start)} AND {ts(a.end)} AND {HAS_ITEM}"""
     firsts = f"SELECT {role}, min(m) AS f FROM inv GROUP BY 1"
-    units = """SELECT inv.m, count(*) AS units FROM inv JOIN items i ON i.invoice_id = inv.invoice_id AND i.included
-      GROUP BY 1""" if role == "seller" else f"""SELECT inv.m, count(*) AS units, sum({LENIENT}) AS gain
-      FROM inv JOIN items i ON i.invoice_id = inv.invoice_id AND i.included
-      JOIN posts USING (post_id) JOIN drugs USING (ndc) GROUP BY 1"""
+    # Lines are counted per invoice over all its sale rows, and stand with each of these rows again.
+    priced = "JOIN posts USING (post_id) LEFT JOIN drugs USING (ndc)" if role == "buyer" else ""
+    gain = f"sum({FILLED_LENIENT})" if role == "buyer" else "0"
+    units = f"""SELECT inv.m, sum(x.units) AS units, sum(x.gain) AS gain FROM inv LEFT JOIN (
+        SELECT inv.invoice_id, count(*) AS units, {gain} AS gain FROM inv
+        JOIN items i ON i.invoice_id = inv.invoice_id AND i.included {priced} GROUP BY 1) x USING (invoice_id)
+      GROUP BY 1"""
     months = f"""SELECT m, sum(subtotal) AS gmv, count(*) AS n, count(DISTINCT {role}) AS act,
       count(DISTINCT {role}) FILTER (f = m) AS fresh, sum(subtotal) FILTER (f = m) AS g_new,
       sum(subtotal) FILTER (f < m) AS g_old, sum({REVENUE}) AS net FROM inv JOIN firsts USING ({role}) GROUP BY m"""

@@ -22,7 +22,7 @@ def dec(text):
 @pytest.mark.parametrize(
     ("number", "text"),
     [("0", ".00"), ("0.05", ".05"), ("-0.5", "-.50"), ("1234.5", "1234.50"), ("2.675", "2.68"),
-     ("999999999.99", "999999999.99"), ("1000000000", "#########.##")],
+     ("999999999.99", "999999999.99"), ("1000000000", "1000000000.00"), ("2500000000.10", "2500000000.10"), ("-1234567890123.455", "-1234567890123.46")],
 )
 def test_plain_money(spark, number, text):
     assert value(spark, formats.plain_money(dec(number))) == text
