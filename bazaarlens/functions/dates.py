@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
+from collections.abc import Callable
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column
@@ -80,6 +82,19 @@ def today(zone: str) -> dt.date:
     return local_date(dt.datetime.now(dt.timezone.utc), zone)
 
 
+def as_of_today(zone: str = "UTC") -> Callable:
+    """For plans (marketplace, as_of, ...): without a day they are about today, in the zone given or this one."""
+
+    def decorate(plan: Callable) -> Callable:
+        @functools.wraps(plan)
+        def run(mk, as_of: dt.date | None = None, *args, zone: str = zone, **kwargs):
+            return plan(mk, as_of or today(zone), *args, **kwargs)
+
+        return run
+
+    return decorate
+
+
 def local_date(instant: dt.datetime, zone: str) -> dt.date:
     """Calendar day of an instant (UTC when naive) in a zone."""
     if instant.tzinfo is None:

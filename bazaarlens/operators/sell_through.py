@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarlens.functions.dates import between, whole_days
@@ -103,28 +103,17 @@ def sell_through(
         F.count("subtotal").alias("subtotal_known"),
     )
     measures = [c for c in per_post.columns if c != "post_id" and c not in keys]
-    if sale_keys:
-        # A post sold into several sale_keys groups is still one listing: count it in one of them.
-        # The window sees one row per post and group, not the sales.
-        order = Window.partitionBy("post_id").orderBy(*sale_keys)
-        per_post = per_post.withColumn("posts", (F.row_number().over(order) == 1).cast("int"))
-    else:
-        per_post = per_post.withColumn("posts", F.lit(1))
-    traded = per_post.groupBy(*keys).agg(
-        *[F.sum(m).alias(m) for m in measures], F.sum("posts").alias("posts")
-    )
-    # Each traded group also takes its sold posts off the listings counted below.
-    no_sale = [F.lit(None).cast(traded.schema[k].dataType).alias(k) for k in sale_keys]
-    sold_lines = traded.drop("posts")
-    sold_off = F.struct(
-        *post_keys, *no_sale, (-F.col("posts")).alias("made"),
-        *[F.lit(None).cast(traded.schema[m].dataType).alias(m) for m in measures if m != "made"],
-    )
-    both = traded.select(F.explode(F.array(F.struct(*sold_lines.columns), sold_off)).alias("g")).select("g.*")
+    traded = per_post.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
+    # Sold posts come off the listings counted below. A post sold into several sale_keys groups is still one.
+    sold_posts = per_post.select("post_id", *post_keys).distinct() if sale_keys else per_post
+    sold_off = sold_posts.groupBy(*post_keys).agg((-F.count(F.lit(1))).alias("made"))
     listings = posts.groupBy(*post_keys).agg(F.count(F.lit(1)).alias("made"), *of_posts)
-    listings = listings.select("*", *no_sale) if sale_keys else listings
     extra = [c for c in listings.columns if c not in keys and c != "made"]
-    merged = both.unionByName(listings, allowMissingColumns=True).groupBy(*keys)
+    merged = (
+        traded.unionByName(sold_off, allowMissingColumns=True)
+        .unionByName(listings, allowMissingColumns=True)
+        .groupBy(*keys)
+    )
     return merged.agg(
         *[filled(F.sum(m)).alias(m) for m in measures], *[F.max(c).alias(c) for c in extra]
     ).where(F.col("made") > 0)

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bazaarlens.functions.dates import as_of_today
 from bazaarlens.functions.ratios import percent_or_null, rounded
 from bazaarlens.operators.churn import churn_flags
 from bazaarlens.operators.periods import trailing_pair
@@ -23,6 +24,7 @@ def store_churn_flags(mk: Marketplace, as_of: dt.date, window_days: int) -> Data
     return churn_flags(sales, posts, pair)
 
 
+@as_of_today()
 def churn_rates(mk: Marketplace, as_of: dt.date, window_days: int) -> DataFrame:
     """Six percentages in one row. A store without any activity is in no base, so an inner join
     with the store list is enough."""

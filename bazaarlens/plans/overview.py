@@ -7,17 +7,18 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.functions.dates import date, first_of_month, local_date
+from bazaarlens.functions.dates import as_of_today, date, first_of_month, local_date
 from bazaarlens.functions.ratios import filled
 from bazaarlens.operators.periods import calendar_month, month_and_previous
 from bazaarlens.operators.sell_through import BOOKED
 from bazaarlens.sources.marketplace import Marketplace
 
 
+@as_of_today("America/Los_Angeles")
 def admin_metrics(mk: Marketplace, as_of: dt.date, staff_domain: str = "@staff.example") -> DataFrame:
     """Seven unrelated numbers in one row, all by creation time.
 
-    as_of is the local day of the reader; staff_domain ends the mail addresses left out.
+    as_of is the local day of the reader (without one: today in `zone`); staff_domain ends the mail addresses left out.
     """
     pair = month_and_previous(as_of)
     created = F.col("created_at")

@@ -39,6 +39,7 @@ from bazaarlens.operators.sell_through import (
     completed_sales,
     days_to_sale,
     listed_posts,
+    regroup,
     sell_through,
     sold_items,
     store_states,
@@ -148,10 +149,10 @@ def sold_per_post(mk: Marketplace) -> DataFrame:
 
 
 def seller_sell_through(mk: Marketplace, start: dt.date, end: dt.date) -> DataFrame:
-    sold = sold_items(mk, "buyer_id", SIGNED, "subtotal").join(
-        store_states(mk, "buyer_id", "buyer_state"), "buyer_id", "left"
-    )
-    found = sell_through(listed_posts(mk, start, end, "seller_id"), sold, ["seller_id"], ["buyer_state"])
+    sold = sold_items(mk, "buyer_id", SIGNED, "subtotal")
+    by_buyer = sell_through(listed_posts(mk, start, end, "seller_id"), sold, ["seller_id"], ["buyer_id"])
+    by_buyer = by_buyer.join(store_states(mk, "buyer_id", "buyer_state"), "buyer_id", "left")
+    found = regroup(by_buyer, ["seller_id", "buyer_state"])
     return found.select("seller_id", "buyer_state", "made", "sold", "days", "subtotal")
 
 

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.functions.dates import date, first_of_month, month_of, timestamp
+from bazaarlens.functions.dates import as_of_today, date, first_of_month, month_of, timestamp
 from bazaarlens.functions.formats import padded_month_name
 from bazaarlens.functions.ratios import (
     filled,
@@ -63,22 +63,27 @@ def _revenue(mk: Marketplace, status: str, as_of: dt.date, name: str) -> DataFra
     return _of_status(mk, status, as_of, "subtotal", "fee_percent").agg(total).select(_month_name(as_of), name)
 
 
+@as_of_today()
 def completed_gmv(mk: Marketplace, as_of: dt.date) -> DataFrame:
     return _gmv(mk, "COMPLETED", as_of, "gmv_mtd")
 
 
+@as_of_today()
 def completed_revenue(mk: Marketplace, as_of: dt.date) -> DataFrame:
     return _revenue(mk, "COMPLETED", as_of, "total_platform_revenue_mtd")
 
 
+@as_of_today()
 def pending_gmv(mk: Marketplace, as_of: dt.date) -> DataFrame:
     return _gmv(mk, "PENDING", as_of, "total_pending_amount")
 
 
+@as_of_today()
 def pending_revenue(mk: Marketplace, as_of: dt.date) -> DataFrame:
     return _revenue(mk, "PENDING", as_of, "total_platform_revenue_pending")
 
 
+@as_of_today()
 def weighted_take_rate(mk: Marketplace, as_of: dt.date) -> DataFrame:
     """Revenue over GMV, each invoice weighted by its number of included items."""
     sales = _this_month(booked_sales(mk, "invoice_id", "subtotal", "fee_percent", SIGNED, signed=_span(as_of)), as_of)
@@ -91,6 +96,7 @@ def weighted_take_rate(mk: Marketplace, as_of: dt.date) -> DataFrame:
     return totals.select(_month_name(as_of), rate.alias("weighted_take_rate_mtd"))
 
 
+@as_of_today()
 def revenue_mix(mk: Marketplace, as_of: dt.date) -> DataFrame:
     """Revenue of sellers whose first completed sale is this month, and of all others.
 
@@ -128,6 +134,7 @@ def revenue_mix(mk: Marketplace, as_of: dt.date) -> DataFrame:
     ).orderBy(F.desc_nulls_first("revenue_mtd"))
 
 
+@as_of_today()
 def gmv_retention_mtd(mk: Marketplace, as_of: dt.date) -> DataFrame:
     """GMV this month of sellers that also sold last month, over all of last month's GMV.
 

@@ -45,16 +45,26 @@ def benchmark_markets(
     def in_market(rows: DataFrame) -> DataFrame:
         return rows.join(states, "seller_id").join(groups, "ndc")
 
-    sold = sold_items(mk, "buyer_id").join(store_states(mk, "buyer_id", "buyer_state"), "buyer_id", "left")
-    same_state = F.when(F.col("buyer_state") == F.col("seller_state"), F.col("buyer_id"))
+    # Lines are counted per post and buyer before any attribute joins; then distinct posts and buyers are rows.
+    lines = listed.join(sold_items(mk, "buyer_id"), "post_id")
+    lines = lines.groupBy("post_id", "seller_id", "ndc", "buyer_id").agg(F.count(F.lit(1)).alias("lines"))
+    per_post = lines.groupBy("post_id", "seller_id", "ndc").agg(F.sum("lines").alias("lines"))
     traded = (
-        in_market(listed.join(sold, "post_id"))
-        .groupBy(*market)
-        .agg(
-            F.count(F.lit(1)).alias("lines"),
-            F.count_distinct("post_id").alias("sold"),
-            F.count_distinct(same_state).alias("buyers"),
+        in_market(
+            per_post.groupBy("seller_id", "ndc").agg(F.sum("lines").alias("lines"), F.count(F.lit(1)).alias("sold"))
         )
+        .groupBy(*market)
+        .agg(F.sum("lines").alias("lines"), F.sum("sold").alias("sold"))
+    )
+    pairs = lines.where(F.col("buyer_id").isNotNull()).select("seller_id", "ndc", "buyer_id").distinct()
+    same_state = F.col("buyer_state") == F.col("seller_state")
+    buyers = (
+        in_market(pairs.join(store_states(mk, "buyer_id", "buyer_state"), "buyer_id"))
+        .where(same_state)
+        .select(*market, "buyer_id")
+        .distinct()
+        .groupBy(*market)
+        .agg(F.count(F.lit(1)).alias("buyers"))
     )
     # One row per seller and product before the joins; its rows are the distinct sellers.
     listings = (
@@ -65,7 +75,8 @@ def benchmark_markets(
     # Adding up two partial frames instead of joining them keeps groups with a NULL key.
     parts = ("lines", "sold", "buyers", "posts", "sellers")
     merged = (
-        traded.unionByName(listings, allowMissingColumns=True)
+        traded.unionByName(buyers, allowMissingColumns=True)
+        .unionByName(listings, allowMissingColumns=True)
         .groupBy(*market)
         .agg(*[F.coalesce(F.sum(p), F.lit(0)).alias(p) for p in parts])
         .withColumn("total", F.col("lines") + F.col("posts") - F.col("sold"))
@@ -234,13 +245,13 @@ def seller_stores(mk: Marketplace, start: dt.date, end: dt.date, min_sales: int)
 def state_analysis(mk: Marketplace, start: dt.date, end: dt.date, min_sales: int) -> DataFrame:
     """Sell-through per product group and pair of states. Unsold posts have no buyer state."""
     groups = mk.table("drugs", "ndc_upc_hri", "drug_group").withColumnRenamed("ndc_upc_hri", "ndc")
-    sold = sold_items(mk, "buyer_id", SIGNED, "subtotal").join(
-        store_states(mk, "buyer_id", "buyer_state"), "buyer_id", "left"
-    )
-    posts = listed_posts(mk, start, end, "ndc", "seller_id").join(groups, "ndc").drop("ndc")
-    # The parts add up, so the sellers' states join one row per seller and group, not the posts.
-    by_seller = sell_through(posts, sold, ["seller_id", "drug_group"], ["buyer_state"]).join(
-        store_states(mk, "seller_id", "seller_state"), "seller_id"
+    posts, sold = listed_posts(mk, start, end, "ndc", "seller_id"), sold_items(mk, "buyer_id", SIGNED, "subtotal")
+    # The parts add up, so products and both states join one row per seller, product and buyer, not the lines.
+    by_seller = (
+        sell_through(posts, sold, ["seller_id", "ndc"], ["buyer_id"])
+        .join(groups, "ndc")
+        .join(store_states(mk, "seller_id", "seller_state"), "seller_id")
+        .join(store_states(mk, "buyer_id", "buyer_state"), "buyer_id", "left")
     )
     found = regroup(by_seller, ["drug_group", "seller_state", "buyer_state"])
     return (

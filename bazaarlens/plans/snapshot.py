@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.functions.dates import first_of_month, month_of, timestamp
+from bazaarlens.functions.dates import as_of_today, first_of_month, month_of, timestamp
 from bazaarlens.functions.ratios import average, growth, ratio_if_positive, ratio_or_zero, rounded
 from bazaarlens.operators.activity import both_roles, first_activity
 from bazaarlens.operators.cohorts import activated
@@ -24,6 +24,7 @@ from bazaarlens.sources.marketplace import Marketplace
 SIGNED = "seller_signed_on"
 
 
+@as_of_today()
 def mtd_activation(mk: Marketplace, as_of: dt.date) -> DataFrame:
     """New stores of this month and those whose first booked sale, in either role, is in it."""
     month = calendar_month(as_of)
@@ -39,6 +40,7 @@ def mtd_activation(mk: Marketplace, as_of: dt.date) -> DataFrame:
     return counts.select("*", rounded(rate, 4).alias("activation_rate"))
 
 
+@as_of_today()
 def mtd_active_posts(mk: Marketplace, as_of: dt.date) -> DataFrame:
     """Posts active now; "last month" means those of them not created this month."""
     created = F.col("created_at") >= timestamp(first_of_month(as_of))
@@ -61,6 +63,7 @@ def _with_growth(pair: DataFrame, now: str, before: str, now_as: str, before_as:
     )
 
 
+@as_of_today()
 def mtd_active_stores(mk: Marketplace, as_of: dt.date) -> DataFrame:
     pair = mtd_to_midnight(as_of)
     # both_roles sits above the time filter, so the filter reaches the scan.
@@ -69,6 +72,7 @@ def mtd_active_stores(mk: Marketplace, as_of: dt.date) -> DataFrame:
     return _with_growth(counts, "keys_now", "keys_before", "active_stores_now", "active_stores_last_month")
 
 
+@as_of_today()
 def mtd_total_invoices(mk: Marketplace, as_of: dt.date) -> DataFrame:
     """Booked invoices, pending ones included whatever the column is called."""
     pair = mtd_to_midnight(as_of)
@@ -79,6 +83,7 @@ def mtd_total_invoices(mk: Marketplace, as_of: dt.date) -> DataFrame:
     )
 
 
+@as_of_today()
 def mtd_items_sold(mk: Marketplace, as_of: dt.date) -> DataFrame:
     pair = mtd_to_midnight(as_of)
     sales = booked_sales(mk, "invoice_id", SIGNED, signed=pair.span).where(pair.either(F.col(SIGNED)))
@@ -89,6 +94,7 @@ def mtd_items_sold(mk: Marketplace, as_of: dt.date) -> DataFrame:
     return _with_growth(counts, "items_now", "items_before", "items_sold_now", "items_sold_last_month")
 
 
+@as_of_today()
 def mtd_aov(mk: Marketplace, as_of: dt.date) -> DataFrame:
     """Average order value; the growth compares the unrounded averages."""
     pair = mtd_full_day(as_of)
@@ -112,6 +118,7 @@ def mtd_aov(mk: Marketplace, as_of: dt.date) -> DataFrame:
     )
 
 
+@as_of_today()
 def mtd_avg_days(mk: Marketplace, as_of: dt.date) -> DataFrame:
     """Days from listing to sale; the change compares the rounded averages."""
     pair = mtd_to_midnight(as_of)
