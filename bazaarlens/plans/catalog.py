@@ -113,10 +113,27 @@ PLANS: dict[str, Plan] = {
     "t01_month_labels": lambda mk, a: pieces.labelled_spend(mk, a.start, a.end, a.sub_start, a.sub_end),
     **{f"t02_pivot_{name}": _pivot(name) for name in investor.FACTS},
     "t05_report_set": _range(pieces.report_set),
+    "t05_investor_rows": _range(investor.all_facts),
+    "t05_kpi_pair": _range(pieces.kpi_pair),
     "t06_kpi_buyers_formatted": lambda mk, a: workbook.format_named(kpi.buyers_kpi(mk, a.start, a.end)),
     "t06_kpi_sellers_formatted": lambda mk, a: workbook.format_named(kpi.sellers_kpi(mk, a.start, a.end)),
     "t07_investor_formatted": lambda mk, a: workbook.format_by_value(_pivot("buyer_spend")(mk, a)),
     "t07_investor_counts_formatted": lambda mk, a: workbook.format_by_value(_pivot("seller_txn")(mk, a)),
+    **{
+        f"t07_{name}_formatted": lambda mk, a, name=name: workbook.format_by_value(_pivot(name)(mk, a))
+        for name in investor.FACTS
+        if name not in ("buyer_spend", "seller_txn")
+    },
+    "t08_kpi_sellers_widths": lambda mk, a: workbook.column_widths(
+        kpi.sellers_kpi(mk, a.start, a.end), workbook.KPI_DECIMALS, workbook.KPI_PAD
+    ),
+    **{
+        f"t08_{name}_widths": lambda mk, a, name=name: workbook.column_widths(
+            _pivot(name)(mk, a), None, workbook.INVESTOR_PAD
+        )
+        for name in investor.FACTS
+        if name != "buyer_spend"
+    },
     "t08_kpi_widths": lambda mk, a: workbook.column_widths(
         kpi.buyers_kpi(mk, a.start, a.end), workbook.KPI_DECIMALS, workbook.KPI_PAD
     ),

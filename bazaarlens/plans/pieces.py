@@ -47,7 +47,7 @@ from bazaarlens.operators.sell_through import (
 from bazaarlens.operators.spines import fill_spine, month_spine, months_covering
 from bazaarlens.plans.investor import all_sheets, store_month_fact
 from bazaarlens.plans.revenue import fee_points
-from bazaarlens.sinks.workbook import report_name_column
+from bazaarlens.sinks.workbook import kpi_sheets, report_name_column
 from bazaarlens.sources.marketplace import Marketplace
 
 SIGNED = "seller_signed_on"
@@ -231,6 +231,15 @@ def report_set(mk: Marketplace, start: dt.date, end: dt.date) -> DataFrame:
     )
 
 
+def kpi_pair(mk: Marketplace, start: dt.date, end: dt.date) -> DataFrame:
+    """The two key figure sheets in order, in one frame; columns of the other sheet are NULL."""
+    sheets = [
+        frame.select(F.lit(i).alias("position"), F.lit(name).alias("sheet"), "*")
+        for i, (name, frame) in enumerate(kpi_sheets(mk, start, end).items(), start=1)
+    ]
+    return sheets[0].unionByName(sheets[1], allowMissingColumns=True)
+
+
 def report_name_of_sales(mk: Marketplace) -> DataFrame:
     span = booked_sales(mk, SIGNED).agg(F.min(SIGNED).alias("first"), F.max(SIGNED).alias("last"))
     return span.select(report_name_column("Stores_KPI_Monthly", F.col("first"), F.col("last")).alias("report"))

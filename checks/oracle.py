@@ -682,6 +682,25 @@ def report_set(a: Args) -> str:
     return with_views(a, body, "booked", "items", extra=extra)
 
 
+def investor_rows(a: Args) -> str:
+    facts = ["rev_by_buyer", "rev_by_seller", "buyer_spend", "seller_earnings", "buyer_txn", "seller_txn"]
+    names = ["Platform Rev by Buyer", "Platform Rev by Seller", "Buyer Spend", "Seller Earnings", "Buyer Transactions",
+             "Seller Transactions"]
+    body = " UNION ALL ".join(
+        f"SELECT {i} AS position, '{s}' AS sheet, store_id, sale_month, {dbl('value')} AS value FROM l_{k}"
+        for i, (k, s) in enumerate(zip(facts, names, strict=True), start=1)
+    )
+    return with_views(a, body, "booked", "items", extra={f"l_{k}": _long(a, k) for k in facts})
+
+
+def kpi_pair(a: Args) -> str:
+    parts = [
+        f"SELECT {i} AS position, '{name}' AS sheet, * FROM ({kpi(role)(a)})"
+        for i, (name, role) in enumerate({"Buyers KPI": "buyer", "Sellers KPI": "seller"}.items(), start=1)
+    ]
+    return " UNION ALL BY NAME ".join(parts)
+
+
 def report_names(a: Args) -> str:
     body = """SELECT 'Stores_KPI_Monthly_' || strftime(min(signed), '%b%y') || '_' || strftime(max(signed), '%b%y') AS report
       FROM booked"""
@@ -868,10 +887,21 @@ ORACLES: dict[str, Callable[[Args], str]] = {
     "t01_month_labels": m_label_lookup,
     **{f"t02_pivot_{name}": pivot(name) for name in FACTS},
     "t05_report_set": report_set,
+    "t05_investor_rows": investor_rows,
+    "t05_kpi_pair": kpi_pair,
     "t06_kpi_buyers_formatted": kpi_formatted("buyer"),
     "t06_kpi_sellers_formatted": kpi_formatted("seller"),
     "t07_investor_formatted": investor_formatted("buyer_spend"),
     "t07_investor_counts_formatted": investor_formatted("seller_txn"),
+    **{
+        f"t07_{name}_formatted": investor_formatted(name)
+        for name in ("seller_earnings", "buyer_txn", "rev_by_buyer", "rev_by_seller")
+    },
+    **{
+        f"t08_{name}_widths": widths_investor(name)
+        for name in ("seller_earnings", "buyer_txn", "seller_txn", "rev_by_buyer", "rev_by_seller")
+    },
+    "t08_kpi_sellers_widths": widths_kpi("seller"),
     "t08_kpi_widths": widths_kpi("buyer"),
     "t08_investor_widths": widths_investor("buyer_spend"),
     "t09_report_name": report_names,
