@@ -34,7 +34,9 @@ GATES = 4
 #: Added to both counts of a slot.
 PRIOR = 0.4
 #: Bits after which weights are refined, and how fast: while training, and along a text from the trained weights.
-STEP_BITS, TRAIN_RATE, TEXT_RATE = 4096, 0.3, 0.3
+STEP_BITS, TRAIN_RATE, TEXT_RATE = 4096, 2.0, 0.6
+#: Bytes of text that are mixed together in a task, about.
+TOGETHER = 1 << 17
 #: Bytes of text in a block of documents, about.
 BLOCK_BYTES = 8 << 20
 #: Texts, at most, from which the code's lengths are fitted.
@@ -72,60 +74,76 @@ class Coder:
     def __init__(self, code: list[list[tuple[int, int]]]):
         self.size = np.array([len(c) for c in code])
         self.first = np.concatenate([[0], np.cumsum(self.size)[:-1]])
-        self.node = np.array([n for c in code for n, _ in c], dtype=np.uint32)
+        self.node = np.array([n for c in code for n, _ in c], dtype=np.uint32) * np.uint32(0x9E3779B1)
         self.bit = np.array([b for c in code for _, b in c], dtype=np.uint8)
 
-    def bits(self, text: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
-        symbols = np.append(np.frombuffer(text, dtype=np.uint8), END).astype(np.int64)
-        n = len(symbols)
-        before = np.zeros(n + 4, dtype=np.uint32)  # byte + 1 at each place, 0 before the text
-        before[4:] = symbols + 1
+    def bits(self, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """(bits, slots by table, first bit of each text and the end), of the texts one after the other."""
+        # Every text is followed by its end and four empty places, which no context looks across.
+        data = np.frombuffer(b"".join(t + b"\0\0\0\0\0" for t in texts), dtype=np.uint8)
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        ends = np.cumsum(sizes + 5) - 5
+        n = len(data)
+        before = np.zeros(n + 4, dtype=np.uint32)  # byte + 1 at each place, 0 where there is none
+        before[4:] = data
+        before[4:] += np.uint32(1)
+        before[4 + ends] = END + 1
+        for k in range(1, 5):
+            before[4 + ends + k] = 0
         with np.errstate(over="ignore"):
             one, two, three, four = (before[4 - k : n + 4 - k] for k in (1, 2, 3, 4))
             pair = one * np.uint32(0x101) + two
             long = (pair * np.uint32(0x2F0B4C47) + three) * np.uint32(0x2F0B4C47) + four
             # Hash of the letters since the last byte that is none, from sums of terms that depend on the place in the word.
-            letter = (one > 65) & (one != 124) & (one != 125) & (one != 126)
-            place = np.arange(n, dtype=np.int64)
-            start = np.maximum.accumulate(np.where(letter, 0, place))
+            letter = (one > 65) & (one < END) & (one != 124) & (one != 125) & (one != 126)
+            place = np.arange(n, dtype=np.int32)
+            start = np.maximum.accumulate(np.where(letter, np.int32(0), place))
             depth = (place - start).astype(np.uint32)
             term = (one * np.uint32(0x9E3779B1)) ^ (depth * np.uint32(0x7FEB352D))
             term = (term ^ (term >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-            total = np.cumsum(np.where(letter, term, 0), dtype=np.uint32)
+            total = np.cumsum(np.where(letter, term, np.uint32(0)), dtype=np.uint32)
             word = total - total[start]
+            real = before[4:] > 0
+            symbols = before[4:][real].astype(np.int64) - 1
             size = self.size[symbols]
-            ends = np.cumsum(size)
-            where = np.arange(ends[-1]) + np.repeat(self.first[symbols] - (ends - size), size)
-            node = self.node[where] * np.uint32(0x9E3779B1)
+            last = np.cumsum(size)
+            where = np.arange(last[-1]) + np.repeat(self.first[symbols] - (last - size), size)
+            node = self.node.take(where)
             slots = []
             for k, context in enumerate((pair, long, word)):
+                context = context[real]
                 context = (context ^ (context >> np.uint32(16))) * np.uint32(0x7FEB352D + 2 * k)
-                h = np.repeat(context, size) ^ node
+                h = np.repeat(context, size)
+                h ^= node
                 h *= np.uint32(0x85EBCA6B)
                 h ^= h >> np.uint32(15)
                 h *= np.uint32(0xC2B2AE35)
-                slots.append(h >> np.uint32(32 - SLOT_BITS))
-        return self.bit[where], slots
+                h >>= np.uint32(32 - SLOT_BITS)
+                slots.append(h)
+        return self.bit.take(where), slots, np.concatenate([[0], last[np.cumsum(sizes + 1) - 1]])
 
 
-def counted(coder: Coder, texts: Iterator[bytes]) -> np.ndarray:
-    """[table, slot, bit] counts of the texts."""
+def counted(coder: Coder, groups: Iterator[list[bytes]]) -> np.ndarray:
+    """[table, slot and bit] counts of texts that come in groups."""
     out = np.zeros((ORDERS, 2 * SLOTS), dtype=np.int64)
     held: list[list[np.ndarray]] = [[] for _ in range(ORDERS)]
     size = 0
-    for text in texts:
-        bit, slots = coder.bits(text)
+
+    def add() -> None:
+        for k in range(ORDERS):
+            if held[k]:
+                np.add(out[k], np.bincount(np.concatenate(held[k]), minlength=2 * SLOTS), out=out[k])
+                held[k].clear()
+
+    for texts in groups:
+        bit, slots, _ = coder.bits(texts)
         for k, s in enumerate(slots):
             held[k].append(s * np.uint32(2) + bit)
         size += len(bit)
         if size > 4 * SLOTS:
-            for k in range(ORDERS):
-                out[k] += np.bincount(np.concatenate(held[k]), minlength=2 * SLOTS)
-                held[k] = []
+            add()
             size = 0
-    for k in range(ORDERS):
-        if held[k]:
-            out[k] += np.bincount(np.concatenate(held[k]), minlength=2 * SLOTS)
+    add()
     return out
 
 
@@ -140,27 +158,41 @@ def first_weights() -> np.ndarray:
     return np.concatenate([np.full((GATES, ORDERS), 0.4), np.zeros((GATES, 1))], axis=1).astype(np.float32)
 
 
-def mixed(coder: Coder, odds: np.ndarray, weights: np.ndarray, text: bytes, rate: float) -> tuple[float, int, np.ndarray]:
-    """(natural log probability of the text and its end, bits, weights after it)."""
-    bit, slots = coder.bits(text)
-    weights = weights.copy()
-    total = 0.0
-    for at in range(0, len(bit), STEP_BITS):
-        one = bit[at : at + STEP_BITS].astype(np.float32)
-        x = [odds[k].take(slots[k][at : at + STEP_BITS]) for k in range(ORDERS)]
-        gate = (x[1] != 0) + 2 * (x[2] != 0).astype(np.int8)
-        z = weights[:, ORDERS].take(gate)
+def mixed(
+    coder: Coder, odds: np.ndarray, weights: np.ndarray, texts: list[bytes], rate: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(natural log probability of each text and its end, bits of each, weights after each).
+
+    All texts start from the weights given. Step by step, the next bits of all texts that have some are mixed together,
+    each with its text's own weights, which are then refined."""
+    bit, slots, first = coder.bits(texts)
+    n, size = len(texts), np.diff(first)
+    own = np.tile(weights, (n, 1)).astype(np.float32)  # [text and gate, table and a constant]
+    total = np.zeros(n)
+    for at in range(0, int(size.max()), STEP_BITS):
+        active = np.flatnonzero(size > at)
+        begin = first[active] + at
+        end = np.minimum(begin + STEP_BITS, first[active + 1])
+        lengths = end - begin
+        places = np.repeat(begin - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+        one = bit.take(places).astype(np.float32)
+        x = [odds[k].take(slots[k].take(places)) for k in range(ORDERS)]
+        key = np.repeat(active * GATES, lengths)
+        key += x[1] != 0
+        key += 2 * (x[2] != 0)
+        z = own[:, ORDERS].take(key)
         for k in range(ORDERS):
-            z += weights[:, k].take(gate) * x[k]
+            z += own[:, k].take(key) * x[k]
         np.clip(z, -14, 14, out=z)
         p = 1 / (1 + np.exp(-z))
-        total += float(np.log(np.abs(1 - one - p)).sum(dtype=np.float64))
         error = one - p
-        n = np.bincount(gate, minlength=GATES) + 1.0
+        log_p = np.log(1 - np.abs(error))
+        total[active] += np.add.reduceat(log_p, np.cumsum(lengths) - lengths, dtype=np.float64)
+        seen = np.bincount(key, minlength=n * GATES) + 64.0
         for k in range(ORDERS + 1):
-            pull = np.bincount(gate, weights=error * x[k] if k < ORDERS else error, minlength=GATES)
-            weights[:, k] += (rate * pull / (n + 64)).astype(np.float32)
-    return total, len(bit), weights
+            pull = np.bincount(key, weights=error * x[k] if k < ORDERS else error, minlength=n * GATES)
+            own[:, k] += (rate * pull / seen).astype(np.float32)
+    return total, size, own.reshape(n, GATES, ORDERS + 1)
 
 
 def _code(texts: DataFrame) -> list[list[tuple[int, int]]]:
@@ -186,7 +218,7 @@ def _tables(texts: DataFrame, coder: Coder) -> np.ndarray:
     part_size = 2 * SLOTS // CHUNKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = counted(coder, (t for part in portions(batches) for t in raw(part.column("text"))))
+        total = counted(coder, (raw(part.column("text")) for part in portions(batches, limit=TOGETHER)))
         parts = total.reshape(ORDERS * CHUNKS, part_size)
         for i in range(ORDERS * CHUNKS):
             if parts[i].any():
@@ -214,10 +246,10 @@ def _weights(texts: DataFrame, coder: Coder, odds) -> np.ndarray:
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bits = first_weights(), 0
-        for part in portions(batches):
-            for t in raw(part.column("text")):
-                _, n, weights = mixed(coder, odds.value, weights, t, TRAIN_RATE)
-                bits += n
+        for part in portions(batches, limit=TOGETHER):
+            _, n, each = mixed(coder, odds.value, weights, raw(part.column("text")), TRAIN_RATE)
+            weights = np.average(each, axis=0, weights=n).astype(np.float32)
+            bits += int(n.sum())
         if bits:
             flat = weights.astype(np.float64).ravel()
             columns = [pa.array(np.arange(len(flat))), pa.array(flat * bits), pa.array(np.full(len(flat), bits))]
@@ -280,17 +312,17 @@ def probabilities(docs: DataFrame, folds: int = 10) -> DataFrame:
         hashes = WordHashes()
         out: list[tuple] = []
         floor = total + 0.1 * (distinct + 1)
-        for batch in left.to_batches():
-            for part in portions(iter([batch])):
-                for doc_id, fold_, text in zip(
-                    part.column("doc_id").to_pylist(), part.column("fold").to_pylist(), raw(part.column("text")), strict=True
-                ):
-                    own = text.lower().split()
-                    own.append(END_WORD)
-                    c = np.fromiter(map(known.__getitem__, map(hashes.__getitem__, own)), dtype=np.float64, count=len(own))
-                    base = float(np.log10((c + 0.1) / floor).sum())
-                    log_p = mixed(coder, odds.value, weights, text, TEXT_RATE)[0]
-                    out.append((doc_id, fold_ == 0, len(own), int((c > 0).sum()), total, base, log_p / np.log(10)))
+        for part in portions(iter(left.to_batches()), limit=TOGETHER):
+            texts = raw(part.column("text"))
+            log_p = mixed(coder, odds.value, weights, texts, TEXT_RATE)[0] / np.log(10)
+            for doc_id, fold_, text, p in zip(
+                part.column("doc_id").to_pylist(), part.column("fold").to_pylist(), texts, log_p.tolist(), strict=True
+            ):
+                own = text.lower().split()
+                own.append(END_WORD)
+                c = np.fromiter(map(known.__getitem__, map(hashes.__getitem__, own)), dtype=np.float64, count=len(own))
+                base = float(np.log10((c + 0.1) / floor).sum())
+                out.append((doc_id, fold_ == 0, len(own), int((c > 0).sum()), total, base, p))
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         columns = list(zip(*out, strict=True)) or [[]] * len(names)

@@ -67,10 +67,10 @@ def test_probabilities_add_up():
     coder = cm.Coder(cm.huffman(np.ones(257)))
     odds = rng.normal(0, 1, (cm.ORDERS, cm.SLOTS)).astype(np.float32)
     weights = cm.first_weights()
-    p = lambda t: math.exp(cm.mixed(coder, odds, weights, t, cm.TEXT_RATE)[0])
+    p = lambda t: math.exp(cm.mixed(coder, odds, weights, [t], cm.TEXT_RATE)[0][0])
 
     def prefix(t):  # probability that a text begins with t: its bits without those of the end
-        bit, slots = coder.bits(t)
+        bit, slots, _ = coder.bits([t])
         n = len(bit) - len(cm.huffman(np.ones(257))[cm.END])
         x = [odds[k].take(slots[k][:n]) for k in range(cm.ORDERS)]
         z = np.clip(sum(0.4 * v for v in x), -14, 14)
@@ -79,3 +79,18 @@ def test_probabilities_add_up():
 
     for head in (b"", b"a", b"th"):
         assert p(head) + sum(prefix(head + bytes([b])) for b in range(256)) == pytest.approx(prefix(head), rel=1e-4)
+
+
+def test_texts_together_are_texts_alone():
+    rng = np.random.default_rng(1)
+    coder = cm.Coder(cm.huffman(np.arange(257)))
+    odds = rng.normal(0, 1, (cm.ORDERS, cm.SLOTS)).astype(np.float32)
+    odds[1:][rng.random((2, cm.SLOTS)) < 0.3] = 0
+    texts = [b"", b"ab", b"\0\0x", "é the \xff".encode() * 900, bytes(range(256)), b"", b"ab"]
+    together = cm.mixed(coder, odds, cm.first_weights(), texts, 0.3)
+    for i, t in enumerate(texts):
+        alone = cm.mixed(coder, odds, cm.first_weights(), [t], 0.3)
+        assert alone[0][0] == pytest.approx(together[0][i], rel=1e-4) and alone[1][0] == together[1][i]
+        assert alone[2][0] == pytest.approx(together[2][i], rel=1e-3, abs=1e-4)
+    groups = cm.counted(coder, iter([texts[:3], texts[3:]]))
+    assert (groups == cm.counted(coder, iter([[t] for t in texts]))).all()
