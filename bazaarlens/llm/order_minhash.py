@@ -30,6 +30,8 @@ SIMILAR = 0.8
 TABLES, KEPT = 10, 2
 #: Members of a bucket compared with each other at once.
 CHUNK = 128
+#: Cells that the alignment by diagonals may hold; beyond, alignment goes row by row.
+CELLS = 1 << 22
 #: Rows of the groups that hold several chunks, about.
 GROUP = 1000
 
@@ -43,12 +45,12 @@ def _mix(x: np.ndarray, seed: int) -> np.ndarray:
 
 def labelled(shingles: np.ndarray) -> np.ndarray:
     """Hashes of shingles with the number of their occurrence."""
+    ordered = np.sort(shingles)
+    if not (ordered[1:] == ordered[:-1]).any():
+        return shingles
     order = np.argsort(shingles, kind="stable")
-    ordered = shingles[order]
     first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
     number = np.arange(len(ordered)) - np.maximum.accumulate(np.where(first, np.arange(len(ordered)), 0))
-    if not number.any():
-        return shingles
     out = np.empty_like(shingles)
     out[order] = ordered + _mix(number.astype(np.uint64), 77) * (number > 0)
     return out
@@ -58,17 +60,22 @@ def sketch(shingles: np.ndarray, tables: int = TABLES, kept: int = KEPT) -> list
     """A signed 64-bit key per table."""
     if not len(shingles):
         return []
-    x, out = labelled(shingles), []
+    x = labelled(shingles)
     few = min(kept, len(x))
+    places = np.empty((tables, few), dtype=np.int64)
+    factors = _mix(np.arange(1, tables + 1, dtype=np.uint64), 3) | np.uint64(1)
     for t in range(tables):
-        h = _mix(x, t + 1)
-        places = np.sort(np.argpartition(h, few - 1)[:few])  # in the order of the text
-        key = np.uint64(t)
-        with np.errstate(over="ignore"):
-            for v in x[places]:
-                key = key * np.uint64(0x100000001B3) + v
-        out.append(int(_mix(np.array([key]), 5).view(np.int64)[0]))
-    return out
+        h = x * factors[t]
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        for k in range(few):
+            places[t, k] = h.argmin()
+            h[places[t, k]] = np.uint64(2**64 - 1)
+    places.sort(axis=1)  # in the order of the text
+    keys = np.arange(tables, dtype=np.uint64)
+    for k in range(few):
+        keys = keys * np.uint64(0x100000001B3) + x[places[:, k]]
+    return _mix(keys, 5).view(np.int64).tolist()
 
 
 def within(a: np.ndarray, b: np.ndarray, most: int) -> bool:
@@ -87,14 +94,53 @@ def within(a: np.ndarray, b: np.ndarray, most: int) -> bool:
         return max(len(a), len(b)) <= most
     if len(a) > len(b):
         a, b = b, a
-    band = 16
-    while True:
-        band = min(band, most)
+    few = min(most, max(16, CELLS // len(a)))
+    if _furthest(a, b, few):
+        return True
+    band = few
+    while band < most:
+        band = min(2 * band, most)
         if len(b) - len(a) <= band and _banded(a, b, band) <= band:
             return True
-        if band == most:
-            return False
-        band *= 2
+    return False
+
+
+def _furthest(a: np.ndarray, b: np.ndarray, most: int) -> bool:
+    """Whether the edit distance is `most` or less: how far each diagonal of the band comes with 0, 1, 2, ... edits."""
+    n, m = len(a), len(b)
+    goal = m - n
+    if goal > most:
+        return False
+    # On diagonal k, a[i] stands beside b[i + k]; row most + k has for each i the next i where they differ.
+    differ = np.empty((2 * most + 1, n + 1), dtype=np.int32)
+    own = np.arange(n + 1, dtype=np.int32)
+
+    def fill(k: int) -> None:
+        row = differ[most + k]
+        row[:] = own
+        i, j = max(0, -k), max(0, min(n, m - k))
+        if i < j:
+            unequal = np.where(a[i:j] == b[i + k : j + k], np.int32(j), own[i:j])
+            row[i:j] = np.minimum.accumulate(unequal[::-1])[::-1]
+
+    fill(0)
+    far = np.full(2 * most + 3, -1, dtype=np.int32)  # one more place at both ends
+    far[most + 1] = differ[most, 0]
+    diagonals = np.arange(-most, most + 1, dtype=np.int32)
+    limit = np.minimum(n, m - diagonals)
+    for d in range(1, most + 1):
+        if far[most + 1 + goal] >= n:
+            return True
+        fill(d)
+        fill(-d)
+        at = slice(most - d, most + d + 1)
+        lo, hi = most - d + 1, most + d + 2
+        reach = np.maximum(np.maximum(far[lo:hi], far[lo + 1 : hi + 1]) + 1, far[lo - 1 : hi - 1])
+        reach = np.minimum(reach, limit[at])
+        legal = reach >= np.maximum(0, -diagonals[at])
+        rows = np.arange(most - d, most + d + 1)
+        far[lo:hi] = np.where(legal, differ[rows, np.maximum(reach, 0)], -1)
+    return bool(far[most + 1 + goal] >= n)
 
 
 def _banded(a: np.ndarray, b: np.ndarray, band: int) -> int:
@@ -197,8 +243,9 @@ def near_classes(texts: DataFrame) -> DataFrame:
     pairs = held.where("key <> centre").select(F.col("key").alias("a"), F.col("centre").alias("b")).distinct()
     pairs = pairs.join(sequences.select(F.col("key").alias("a"), F.col("seq").alias("seq_a")), "a")
     pairs = pairs.join(sequences.select(F.col("key").alias("b"), F.col("seq").alias("seq_b")), "b")
-    # Alignments are dealt out evenly: a centre may have many.
-    links = saved(pairs.repartition("a").mapInArrow(aligned, "a string, b string"), "star-links")
+    # Alignments are long work on few bytes, so they are dealt out evenly, to as many tasks as a shuffle has.
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = saved(pairs.repartition(tasks, "a").mapInArrow(aligned, "a string, b string"), "star-links")
     first = components(links)
 
     # Buckets that still hold several components.
