@@ -75,4 +75,23 @@ QUERIES: dict[str, Query] = {
     "op10_secret_scans": op10_secret_scans,
 }
 
-ORACLES: dict[str, str] = {}
+#: DuckDB SQL where SQL can state the result on whole tables. The others are held against plain Python in the tests.
+ORACLES: dict[str, str] = {
+    "op6_automata_dedup": r"""
+        WITH docs AS (
+          SELECT row_number() OVER () AS r, doc_id,
+            regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+          FROM documents),
+        windows AS (
+          SELECT r, i, array_to_string(words[i:i + 34], ' ') AS sequence
+          FROM (SELECT r, words, unnest(range(1, len(words) - 33)) AS i FROM docs WHERE len(words) >= 35)),
+        repeated AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY sequence) AS n FROM windows) WHERE n > 1),
+        gone AS (SELECT DISTINCT r, i + k AS p FROM repeated, range(35) t(k)),
+        each AS (SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM docs),
+        kept AS (
+          SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text
+          FROM each ANTI JOIN gone USING (r, p) GROUP BY r)
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
+          sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM docs LEFT JOIN kept USING (r)""",
+}

@@ -10,6 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from bazaarlens.llm import automata_dedup as ad
+from bazaarlens.llm.queries import ORACLES
+from compare import connect, differences
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -79,3 +81,9 @@ def test_text_keeps_its_white_space():
     text = b" a b\tc\nd  e f\n"
     assert ad.without_spans(text, [{"a": 1, "b": 2}], 2) == b" a e f\n"
     assert ad.without_spans(b"a b", [{"a": 0, "b": 0}], 2) == b""
+
+
+def test_sql(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert differences(ad.removed(docs), connect(folder), ORACLES["op6_automata_dedup"]) is None
