@@ -26,12 +26,14 @@ from .storage import free_name, saved
 
 SHINGLE = 5
 SIMILAR = 0.8
-#: Tables, shingles kept in each.
-TABLES, KEPT = 10, 2
+#: Tables, shingles kept in each. Texts that share just a passage seldom have all three from it.
+TABLES, KEPT = 16, 3
 #: Members of a bucket compared with each other at once.
 CHUNK = 128
 #: Cells that the alignment by diagonals may hold; beyond, alignment goes row by row.
 CELLS = 1 << 22
+#: Shingles counted at once for the members of a chunk pair.
+COLUMNS = 8192
 #: Rows of the groups that hold several chunks, about.
 GROUP = 1000
 
@@ -179,6 +181,27 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> bool:
     return within(a, b, most)
 
 
+def alike(sequences: list[np.ndarray], least: float = SIMILAR) -> np.ndarray:
+    """[i, j]: whether two sequences have enough shingles in common, each as often as in both, to be similar."""
+    n = len(sequences)
+    sizes = np.array([len(s) for s in sequences])
+    values = np.concatenate([labelled(s.astype(np.uint64)) for s in sequences])
+    owner = np.repeat(np.arange(n), sizes)
+    _, place, times = np.unique(values, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times > 1)
+    column = np.full(len(times), -1)
+    column[shared] = np.arange(len(shared))
+    column = column[place]
+    common = np.zeros((n, n), dtype=np.float32)
+    for at in range(0, len(shared), COLUMNS):
+        here = (column >= at) & (column < at + COLUMNS)
+        matrix = np.zeros((n, min(COLUMNS, len(shared) - at)), dtype=np.float32)
+        matrix[owner[here], column[here] - at] = 1
+        common += matrix @ matrix.T
+    longer = np.maximum(sizes[:, None], sizes[None, :])
+    return longer - common <= ((1 - least) * longer + 1e-9).astype(np.int64)
+
+
 def shingles_of(text: bytes, known: WordHashes) -> np.ndarray:
     return gram_hashes(known.of(text.split()), SHINGLE)
 
@@ -281,14 +304,17 @@ def near_classes(texts: DataFrame) -> DataFrame:
                     x = root[x]
                 return x
 
-            sequence = {int(r): _seq(seq[int(r)].as_py()) for r in rows} if len(root) > 1 else {}
-            for i, r in enumerate(rows if len(root) > 1 else ()):
-                for s in rows[:i]:
-                    x, y = find(component[r]), find(component[s])
-                    if x != y and similar(sequence[int(r)], sequence[int(s)]):
-                        root[x] = y
-                        a.append(key[r])
-                        b.append(key[s])
+            if len(root) == 1:
+                continue
+            sequence = [_seq(seq[int(r)].as_py()) for r in rows]
+            labels = np.unique([component[r] for r in rows], return_inverse=True)[1]
+            worth = np.triu(alike(sequence), 1) & (labels[:, None] != labels[None, :])
+            for i, j in np.argwhere(worth).tolist():
+                x, y = find(component[rows[i]]), find(component[rows[j]])
+                if x != y and within(sequence[i], sequence[j], int((1 - SIMILAR) * max(len(sequence[i]), len(sequence[j])) + 1e-9)):
+                    root[x] = y
+                    a.append(key[rows[i]])
+                    b.append(key[rows[j]])
         return pa.Table.from_batches([_links(a, b)])
 
     more = cells.select("group", "cell", "key", "component", "seq").groupBy("group").applyInArrow(compared, "a string, b string")

@@ -24,6 +24,17 @@ def test_bands(a, b, most):
     assert om.within(np.array(a, dtype=np.uint32), np.array(b, dtype=np.uint32), most) == (distance(a, b) <= most)
 
 
+def test_common_shingles(monkeypatch):
+    monkeypatch.setattr(om, "COLUMNS", 3)
+    rng = np.random.default_rng(2)
+    seqs = [rng.integers(0, 6, rng.integers(5, 12)).astype("<u4") for _ in range(30)]
+    for i, row in enumerate(om.alike(seqs)):
+        for j, ok in enumerate(row):
+            common = sum(min((seqs[i] == v).sum(), (seqs[j] == v).sum()) for v in range(6))
+            longer = max(len(seqs[i]), len(seqs[j]))
+            assert ok == (longer - common <= int(0.2 * longer + 1e-9))
+
+
 def test_long_alignment():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 50, 3000).astype(np.uint32)
