@@ -29,7 +29,7 @@ SIMILAR = 0.8
 #: Tables, shingles kept in each. Texts that share just a passage seldom have all three from it.
 TABLES, KEPT = 16, 3
 #: Members of a bucket compared with each other at once.
-CHUNK = 128
+CHUNK = 512
 #: Cells that the alignment by diagonals may hold; beyond, alignment goes row by row.
 CELLS = 1 << 22
 #: Shingles counted at once for the members of a chunk pair.
