@@ -77,13 +77,22 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - span)], x[width - span :]) if width > span else x
 
 
-def segments(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, windows) of the runs of windows with the same anchor."""
+def segments(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first window, windows, whether the anchor stands at two places or more) of the runs of windows with the
+    same anchor."""
     if len(hashes) < window:
-        return (np.zeros(0, dtype=np.uint64),) + (np.zeros(0, dtype=np.int64),) * 2
-    anchor = sliding_min(gram_hashes(hashes, gram), window - gram + 1)
+        return (np.zeros(0, dtype=np.uint64),) + (np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0, dtype=bool),)
+    grams = gram_hashes(hashes, gram)
+    anchor = sliding_min(grams, window - gram + 1)
     starts = np.concatenate([[0], np.flatnonzero(np.diff(anchor)) + 1])
-    return anchor[starts], starts, np.diff(np.append(starts, len(anchor)))
+    sizes = np.diff(np.append(starts, len(anchor)))
+    anchor = anchor[starts]
+    ordered = np.sort(grams)
+    again = np.isin(anchor, ordered[1:][ordered[1:] == ordered[:-1]])
+    for r in np.flatnonzero(again):  # the same place of the text, or one outside the run's words, does not count
+        own = grams[starts[r] : starts[r] + sizes[r] + window - gram]
+        again[r] = np.count_nonzero(own == anchor[r]) > 1
+    return anchor, starts, sizes, again
 
 
 class Automaton:
@@ -168,20 +177,19 @@ def repeated_spans(table: DataFrame, window: int, gram: int) -> DataFrame:
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for part in portions(batches):
-            columns: list[list] = [[], [], [], []]
+            columns: list[list] = [[], [], [], [], []]
             for row, text in zip(part.column("row").to_pylist(), raw(part.column("text")), strict=True):
-                anchor, start, n = segments(known.of(text.split()), window, gram)
-                for held, x in zip(columns, (anchor.view(np.int64), np.full(len(start), row), start, n), strict=True):
+                anchor, start, n, again = segments(known.of(text.split()), window, gram)
+                for held, x in zip(columns, (anchor.view(np.int64), np.full(len(start), row), start, n, again), strict=True):
                     held.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(c), k) for c, k in zip(columns, kinds, strict=True)], ["anchor", "row", "start", "windows"]
-            )
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+            names = ["anchor", "row", "start", "windows", "again"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    found = table.mapInArrow(anchors, "anchor bigint, row bigint, start int, windows int")
+    found = table.mapInArrow(anchors, "anchor bigint, row bigint, start int, windows int, again boolean")
     found = saved(found, "anchors")
-    # A run longer than one place of its anchor can cover has the anchor twice.
-    times = F.when(F.col("windows") > window - gram + 1, 2).otherwise(1)
+    # Equal windows of one run have the anchor at two places of its words, however short the run is.
+    times = F.when(F.col("again"), 2).otherwise(1)
     twice = found.groupBy("anchor").agg(F.sum(times).alias("times")).where("times > 1").select("anchor")
     some = found.join(twice, "anchor", "left_semi")
     some = some.groupBy("row").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("found"))

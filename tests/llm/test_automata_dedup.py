@@ -77,6 +77,16 @@ def test_removed(spark, monkeypatch, together, group):
     assert ad.removed(docs.limit(0)).count() == 0 and ad.cleaned(docs.limit(0)).count() == 0
 
 
+def test_short_cycles(spark):
+    """A word or phrase cycled within one document repeats its windows a few words apart, in one run of an anchor."""
+    cycles = [" ".join(f"c{p}n{n}w{i % p}" for i in range(n)) for p in range(1, 30) for n in range(36, 71, 2)]
+    t = ["ha " * 40, *cycles]
+    docs = spark.createDataFrame(list(enumerate(t)), "doc_id bigint, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in ad.removed(docs).collect()}
+    assert [got[i] for i in range(len(t))] == brute(t, ad.WINDOW)
+    assert got[0][:2] == (40, 40)
+
+
 def test_text_keeps_its_white_space():
     text = b" a b\tc\nd  e f\n"
     assert ad.without_spans(text, [{"a": 1, "b": 2}], 2) == b" a e f\n"
