@@ -1,8 +1,9 @@
 """Text probabilities by online logistic mixing of context predictors.
 
 A byte is coded by the bits of a Huffman code, so that common bytes need few. Several predictors know, from the training
-texts, how often each bit followed a context (two bytes, four bytes, the word so far), in tables of a fixed number of
-hashed slots. Their log-odds are mixed with weights, of which a gate (which long contexts are known) chooses a set; the
+texts, how often each bit followed a context (two bytes, four bytes, the word so far). The counts are a Spark table with a
+row for every context and node of the code, which grows with the texts: as with the words below, a block's distinct
+contexts are shuffled to their totals and back to the block. Contexts of bytes are exact, words 54-bit hashes. Their log-odds are mixed with weights, of which a gate (which long contexts are known) chooses a set; the
 weights are refined block by block along each text. The sum over bits is the probability of the whole text.
 
 Beside it stands a base: the words' own frequencies. Words are counted for blocks of documents, and only each block's
@@ -12,12 +13,12 @@ distinct words are shuffled, on to their totals and back to the block. Words are
 from __future__ import annotations
 
 import heapq
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,9 +27,10 @@ from .pu_quality import fold
 from .rows import portions, raw
 from .storage import bucketed, id_and_text, saved
 
-#: Bits of the number of slots of a predictor's table, and tables of (zeros, ones).
+#: Slots of a plain Coder, which hashes its contexts, for trials on few texts; a block's coder has a slot for each context.
 SLOT_BITS = 19
 SLOTS = 1 << SLOT_BITS
+#: Predictors.
 ORDERS = 3
 GATES = 4
 #: Added to both counts of a slot.
@@ -38,11 +40,11 @@ STEP_BITS, TRAIN_RATE, TEXT_RATE = 4096, 2.0, 0.6
 #: Bytes of text that are mixed together in a task, about.
 TOGETHER = 1 << 17
 #: Bytes of text in a block of documents, about.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 #: Texts, at most, from which the code's lengths are fitted.
 CODE_SAMPLE = 2000
-#: Parts in which a table is added up.
-CHUNKS = 16
+#: Distinct contexts and symbols held from several portions before they are added up.
+HELD = 1 << 20
 END = 256
 #: Name of the end among the words.
 END_WORD = b"\n"
@@ -68,89 +70,150 @@ def huffman(counts: np.ndarray) -> list[list[tuple[int, int]]]:
     return out
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct numbers, place of each number among them)"""
+    found = pa.array(x).dictionary_encode()
+    values = found.dictionary.to_numpy(zero_copy_only=False)
+    order = np.argsort(values)
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    return values[order], rank.take(found.indices.to_numpy(zero_copy_only=False))
+
+
 class Coder:
     """Bits of texts, with the slot of every bit in every table."""
 
     def __init__(self, code: list[list[tuple[int, int]]]):
         self.size = np.array([len(c) for c in code])
         self.first = np.concatenate([[0], np.cumsum(self.size)[:-1]])
-        self.node = np.array([n for c in code for n, _ in c], dtype=np.uint32) * np.uint32(0x9E3779B1)
+        self.node = np.array([n for c in code for n, _ in c], dtype=np.uint64)
         self.bit = np.array([b for c in code for _, b in c], dtype=np.uint8)
 
-    def bits(self, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-        """(bits, slots by table, first bit of each text and the end), of the texts one after the other."""
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def pairs(self, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(symbols, by table the context of each with the symbol in the lowest 9 bits), of the texts one after the other."""
         # Every text is followed by its end and four empty places, which no context looks across.
         data = np.frombuffer(b"".join(t + b"\0\0\0\0\0" for t in texts), dtype=np.uint8)
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         ends = np.cumsum(sizes + 5) - 5
         n = len(data)
-        before = np.zeros(n + 4, dtype=np.uint32)  # byte + 1 at each place, 0 where there is none
+        before = np.zeros(n + 4, dtype=np.uint64)  # byte + 1 at each place, 0 where there is none
         before[4:] = data
-        before[4:] += np.uint32(1)
+        before[4:] += np.uint64(1)
         before[4 + ends] = END + 1
         for k in range(1, 5):
             before[4 + ends + k] = 0
         with np.errstate(over="ignore"):
             one, two, three, four = (before[4 - k : n + 4 - k] for k in (1, 2, 3, 4))
-            pair = one * np.uint32(0x101) + two
-            long = (pair * np.uint32(0x2F0B4C47) + three) * np.uint32(0x2F0B4C47) + four
+            nine = np.uint64(9)
+            pair = (one << nine) | two
+            long = (((pair << nine) | three) << nine) | four
             # Hash of the letters since the last byte that is none, from sums of terms that depend on the place in the word.
             letter = (one > 65) & (one < END) & (one != 124) & (one != 125) & (one != 126)
-            place = np.arange(n, dtype=np.int32)
-            start = np.maximum.accumulate(np.where(letter, np.int32(0), place))
-            depth = (place - start).astype(np.uint32)
-            term = (one * np.uint32(0x9E3779B1)) ^ (depth * np.uint32(0x7FEB352D))
-            term = (term ^ (term >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-            total = np.cumsum(np.where(letter, term, np.uint32(0)), dtype=np.uint32)
-            word = total - total[start]
-            real = before[4:] > 0
-            symbols = before[4:][real].astype(np.int64) - 1
-            size = self.size[symbols]
-            last = np.cumsum(size)
-            where = np.arange(last[-1]) + np.repeat(self.first[symbols] - (last - size), size)
-            node = self.node.take(where)
-            slots = []
-            for k, context in enumerate((pair, long, word)):
-                context = context[real]
-                context = (context ^ (context >> np.uint32(16))) * np.uint32(0x7FEB352D + 2 * k)
-                h = np.repeat(context, size)
-                h ^= node
-                h *= np.uint32(0x85EBCA6B)
-                h ^= h >> np.uint32(15)
-                h *= np.uint32(0xC2B2AE35)
-                h >>= np.uint32(32 - SLOT_BITS)
-                slots.append(h)
-        return self.bit.take(where), slots, np.concatenate([[0], last[np.cumsum(sizes + 1) - 1]])
+            place = np.arange(n, dtype=np.int64)
+            start = np.maximum.accumulate(np.where(letter, 0, place))
+            depth = (place - start).astype(np.uint64)
+            term = ((depth << nine) | one) * np.uint64(0x9E3779B97F4A7C15)
+            term = (term ^ (term >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            term = (term ^ (term >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+            total = np.cumsum(np.where(letter, term ^ (term >> np.uint64(31)), np.uint64(0)), dtype=np.uint64)
+            word = (total - total[start]) >> np.uint64(10)
+        real = before[4:] > 0
+        symbols = before[4:][real] - np.uint64(1)
+        return symbols.astype(np.int64), [(context[real] << nine) | symbols for context in (pair, long, word)]
+
+    def paths(self, table: int, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(key of context and node of each step, its bit, first step of each pair, steps of each pair)"""
+        symbols = (pairs & np.uint64(511)).astype(np.int64)
+        size = self.size[symbols]
+        begin = np.cumsum(size) - size
+        where = np.arange(int(size.sum())) + np.repeat(self.first[symbols] - begin, size)
+        context = (np.uint64(table) << np.uint64(62)) | ((pairs >> np.uint64(9)) << np.uint64(8))
+        return np.repeat(context, size) | self.node.take(where), self.bit.take(where), begin, size
+
+    def bits(self, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """(bits, slots by table, first bit of each text and the end), of the texts one after the other."""
+        symbols, pairs = self.pairs(texts)
+        size = self.size[symbols]
+        last = np.cumsum(size)
+        step = np.arange(last[-1])
+        slots = []
+        for k in range(ORDERS):
+            found, place = distinct(pairs[k])
+            keys, bit, begin, _ = self.paths(k, found)
+            at = np.repeat(begin.take(place) - (last - size), size)
+            at += step
+            slots.append(self.slot(keys).astype(np.int32).take(at))
+        sizes = np.array([len(t) for t in texts], dtype=np.int64)
+        return bit.take(at), slots, np.concatenate([[0], last[np.cumsum(sizes + 1) - 1]])
+
+
+class BlockCoder(Coder):
+    """A coder whose slots are the places of the keys given, in ascending order: no two contexts share one."""
+
+    def __init__(self, code: list[list[tuple[int, int]]], keys: np.ndarray):
+        super().__init__(code)
+        self.keys = keys
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.keys, keys)
 
 
 def counted(coder: Coder, groups: Iterator[list[bytes]]) -> np.ndarray:
     """[table, slot and bit] counts of texts that come in groups."""
     out = np.zeros((ORDERS, 2 * SLOTS), dtype=np.int64)
-    held: list[list[np.ndarray]] = [[] for _ in range(ORDERS)]
-    size = 0
+    for keys, zeros, ones in visited(coder, ((texts, [2] * len(texts)) for texts in groups)):
+        slot, table = coder.slot(keys), (keys >> np.uint64(62)).astype(np.int64)
+        np.add.at(out, (table, 2 * slot), zeros[0])
+        np.add.at(out, (table, 2 * slot + 1), ones[0])
+    return out
+
+
+def _added(x: np.ndarray, n: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(ascending distinct numbers, sums of each row of n over them)"""
+    order = np.argsort(x, kind="stable")
+    x = x[order]
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    return x[first], np.array([np.add.reduceat(row[order], first) for row in n])
+
 
-    def add() -> None:
+def visited(
+    coder: Coder, groups: Iterator[tuple[list[bytes], list[int]]]
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By table (keys, zeros, ones) of all texts of the groups, which come with their folds. zeros and ones have two rows:
+    those of folds above 1, and those of fold 1; fold 0 just names its keys."""
+    held: list[list] = [[] for _ in range(ORDERS)]
+
+    def add(k: int) -> tuple[np.ndarray, np.ndarray]:
+        x, n = (np.concatenate(c, axis=-1) for c in zip(*held[k], strict=True))
+        held[k] = [_added(x, n)]
+        return held[k][0]
+
+    for texts, folds in groups:
+        _, pairs = coder.pairs(texts)
+        fold_ = np.repeat(np.array(folds), np.array([len(t) + 1 for t in texts]))
         for k in range(ORDERS):
-            if held[k]:
-                np.add(out[k], np.bincount(np.concatenate(held[k]), minlength=2 * SLOTS), out=out[k])
-                held[k].clear()
-
-    for texts in groups:
-        bit, slots, _ = coder.bits(texts)
-        for k, s in enumerate(slots):
-            held[k].append(s * np.uint32(2) + bit)
-        size += len(bit)
-        if size > 4 * SLOTS:
-            add()
-            size = 0
-    add()
-    return out
+            found, place = distinct(pairs[k])
+            held[k].append((found, np.array([np.bincount(place[m], minlength=len(found)) for m in (fold_ > 1, fold_ == 1)])))
+            if sum(len(x) for x, _ in held[k][1:]) > HELD:
+                add(k)
+    for k in range(ORDERS):
+        if held[k]:
+            found, n = add(k)
+            held[k] = []
+            keys, bit, _, size = coder.paths(k, found)
+            keys, n = _added(keys, (np.repeat(row, size) * (bit == b) for b in (0, 1) for row in n))
+            yield keys, n[:2], n[2:]
 
 
-def log_odds(counts: np.ndarray) -> np.ndarray:
-    """[table, slot]; 0 where nothing is known."""
-    c = counts.reshape(ORDERS, SLOTS, 2).astype(np.float64) + PRIOR
-    return np.log(c[:, :, 1] / c[:, :, 0]).astype(np.float32)
+def log_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Of each slot; 0 where nothing is known."""
+    return np.log((ones + PRIOR) / (zeros + PRIOR)).astype(np.float32)
 
 
 def first_weights() -> np.ndarray:
@@ -169,29 +232,33 @@ def mixed(
     n, size = len(texts), np.diff(first)
     own = np.tile(weights, (n, 1)).astype(np.float32)  # [text and gate, table and a constant]
     total = np.zeros(n)
-    for at in range(0, int(size.max()), STEP_BITS):
-        active = np.flatnonzero(size > at)
+    # Texts are looked up all at once, and mixed in groups whose numbers stay in the processor's cache.
+    group = np.cumsum([len(t) for t in texts]) // TOGETHER
+    for g, at in ((g, at) for g in np.unique(group) for at in range(0, int(size[group == g].max()), STEP_BITS)):
+        active = np.flatnonzero((size > at) & (group == g))
+        low = active[0]
         begin = first[active] + at
         end = np.minimum(begin + STEP_BITS, first[active + 1])
         lengths = end - begin
         places = np.repeat(begin - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
         one = bit.take(places).astype(np.float32)
         x = [odds[k].take(slots[k].take(places)) for k in range(ORDERS)]
-        key = np.repeat(active * GATES, lengths)
+        key = np.repeat((active - low) * GATES, lengths)
         key += x[1] != 0
         key += 2 * (x[2] != 0)
-        z = own[:, ORDERS].take(key)
+        now = own[low * GATES : (active[-1] + 1) * GATES]
+        z = now[:, ORDERS].take(key)
         for k in range(ORDERS):
-            z += own[:, k].take(key) * x[k]
+            z += now[:, k].take(key) * x[k]
         np.clip(z, -14, 14, out=z)
         p = 1 / (1 + np.exp(-z))
         error = one - p
         log_p = np.log(1 - np.abs(error))
         total[active] += np.add.reduceat(log_p, np.cumsum(lengths) - lengths, dtype=np.float64)
-        seen = np.bincount(key, minlength=n * GATES) + 64.0
+        seen = np.bincount(key, minlength=len(now)) + 64.0
         for k in range(ORDERS + 1):
-            pull = np.bincount(key, weights=error * x[k] if k < ORDERS else error, minlength=n * GATES)
-            own[:, k] += (rate * pull / seen).astype(np.float32)
+            pull = np.bincount(key, weights=error * x[k] if k < ORDERS else error, minlength=len(now))
+            now[:, k] += (rate * pull / seen).astype(np.float32)
     return total, size, own.reshape(n, GATES, ORDERS + 1)
 
 
@@ -213,49 +280,52 @@ def _code(texts: DataFrame) -> list[list[tuple[int, int]]]:
     return huffman(counts)
 
 
-def _tables(texts: DataFrame, coder: Coder) -> np.ndarray:
-    """The counts of all texts: each task's are sent in compressed parts, and added part by part."""
-    part_size = 2 * SLOTS // CHUNKS
+def _counts(table: DataFrame, coder: Coder) -> DataFrame:
+    """(block, key, zeros, ones, own) for the keys of each block's texts: the counts of the whole corpus, and whether texts
+    of fold 1 in the block have the key."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = counted(coder, (raw(part.column("text")) for part in portions(batches, limit=TOGETHER)))
-        parts = total.reshape(ORDERS * CHUNKS, part_size)
-        for i in range(ORDERS * CHUNKS):
-            if parts[i].any():
-                data = zlib.compress(parts[i].astype("<i8").tobytes(), 1)
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([data], pa.binary())], ["part", "data"])
+    def visits(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = ((raw(p.column("text")), p.column("fold").to_pylist()) for p in portions(batches))
+        for keys, zeros, ones in visited(coder, groups):
+            for at in range(0, len(keys), 50_000):
+                part = slice(at, at + 50_000)
+                columns = [keys[part].view(np.int64), zeros[0, part], ones[0, part], zeros[1, part], ones[1, part]]
+                columns = [np.full(len(columns[0]), key[0].as_py()), *columns]
+                names = ["block", "key", "zeros", "ones", "zeros_1", "ones_1"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(part_size, dtype=np.int64)
-        for b in batches:
-            for data in b.column("data"):
-                total += np.frombuffer(zlib.decompress(data.as_py()), dtype="<i8")
-        data = zlib.compress(total.tobytes(), 1)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([data], pa.binary())], ["part", "data"])
+    schema = "block bigint, key bigint, zeros bigint, ones bigint, zeros_1 bigint, ones_1 bigint"
+    found = table.select("block", "fold", "text").groupBy("block").applyInArrow(visits, schema)
+    # A key has a row per block at most, however common it is.
+    same = Window.partitionBy("key")
+    zeros, ones = F.sum("zeros").over(same).alias("zeros"), F.sum("ones").over(same).alias("ones")
+    own = (F.col("zeros_1") + F.col("ones_1") > 0).alias("own")
+    return saved(found.select("block", "key", zeros, ones, own), "context-counts")
 
-    schema = "part int, data binary"
-    out = np.zeros((ORDERS * CHUNKS, part_size), dtype=np.int64)
-    sums = texts.select("text").mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema)
-    for r in sums.collect():  # the tables have a fixed size
-        out[r.part] = np.frombuffer(zlib.decompress(r.data), dtype="<i8")
-    return out.reshape(ORDERS, 2 * SLOTS)
 
+def _known(code: list[list[tuple[int, int]]], counts: pa.Table) -> tuple[BlockCoder, list[np.ndarray]]:
+    """The coder of a block and its odds, by table."""
+    keys, zeros, ones = (counts.column(c).to_numpy() for c in ("key", "zeros", "ones"))
+    keys = keys.view(np.uint64)
+    order = np.argsort(keys)
+    return BlockCoder(code, keys[order]), [log_odds(zeros[order], ones[order])] * ORDERS
 
-def _weights(texts: DataFrame, coder: Coder, odds) -> np.ndarray:
-    """Weights refined along the texts of each task, averaged by their bits."""
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _weights(table: DataFrame, counts: DataFrame, code: list[list[tuple[int, int]]]) -> np.ndarray:
+    """Weights refined along the texts of fold 1 in each block, averaged by their bits."""
+
+    def train(left: pa.Table, right: pa.Table) -> pa.Table:
         weights, bits = first_weights(), 0
-        for part in portions(batches, limit=TOGETHER):
-            _, n, each = mixed(coder, odds.value, weights, raw(part.column("text")), TRAIN_RATE)
+        coder, odds = _known(code, right)
+        for part in portions(iter(left.to_batches()), limit=TOGETHER):
+            _, n, each = mixed(coder, odds, weights, raw(part.column("text")), TRAIN_RATE)
             weights = np.average(each, axis=0, weights=n).astype(np.float32)
             bits += int(n.sum())
-        if bits:
-            flat = weights.astype(np.float64).ravel()
-            columns = [pa.array(np.arange(len(flat))), pa.array(flat * bits), pa.array(np.full(len(flat), bits))]
-            yield pa.RecordBatch.from_arrays(columns, ["i", "weighted", "bits"])
+        flat = weights.astype(np.float64).ravel()
+        return pa.table({"i": np.arange(len(flat)), "weighted": flat * bits, "bits": np.full(len(flat), bits)})
 
-    rows = texts.select("text").mapInArrow(train, "i bigint, weighted double, bits bigint")
+    texts = table.where("fold = 1").select("block", "text").groupBy("block")
+    rows = texts.cogroup(counts.where("own").groupBy("block")).applyInArrow(train, "i bigint, weighted double, bits bigint")
     out = first_weights()
     for r in rows.groupBy("i").agg((F.sum("weighted") / F.sum("bits")).alias("w")).collect():
         out.ravel()[r.i] = r.w
@@ -274,10 +344,9 @@ def probabilities(docs: DataFrame, folds: int = 10) -> DataFrame:
     texts = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(blocks)))
     table = bucketed(texts, "block", "documents-by-block")
 
-    coder = Coder(_code(table))
-    tables = _tables(table.where("fold > 1"), coder)
-    odds = table.sparkSession.sparkContext.broadcast(log_odds(tables))  # ORDERS * SLOTS numbers, whatever the data
-    weights = _weights(table.where("fold = 1"), coder, odds)
+    code = _code(table)
+    counts = _counts(table, Coder(code))
+    weights = _weights(table, counts, code)
 
     def words(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, train = set(), Counter()
@@ -308,13 +377,15 @@ def probabilities(docs: DataFrame, folds: int = 10) -> DataFrame:
     total, distinct = totals["n"] or 0, totals["v"]
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = dict(zip(right.column("word").to_numpy().view(np.uint64).tolist(), right.column("c").to_pylist(), strict=True))
+        words = right.filter(pc.is_null(right.column("zeros")))
+        known = dict(zip(words.column("key").to_numpy().view(np.uint64).tolist(), words.column("c").to_pylist(), strict=True))
+        coder, odds = _known(code, right.filter(pc.is_valid(right.column("zeros"))))
         hashes = WordHashes()
         out: list[tuple] = []
         floor = total + 0.1 * (distinct + 1)
-        for part in portions(iter(left.to_batches()), limit=TOGETHER):
+        for part in portions(iter(left.to_batches())):
             texts = raw(part.column("text"))
-            log_p = mixed(coder, odds.value, weights, texts, TEXT_RATE)[0] / np.log(10)
+            log_p = mixed(coder, odds, weights, texts, TEXT_RATE)[0] / np.log(10)
             for doc_id, fold_, text, p in zip(
                 part.column("doc_id").to_pylist(), part.column("fold").to_pylist(), texts, log_p.tolist(), strict=True
             ):
@@ -332,5 +403,7 @@ def probabilities(docs: DataFrame, folds: int = 10) -> DataFrame:
         "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
         "base_score double, score double"
     )
-    grouped = table.groupBy("block").cogroup(found.select("block", "word", "c").groupBy("block"))
-    return grouped.applyInArrow(score, schema)
+    none = F.lit(None).cast("bigint")
+    known = found.select("block", F.col("word").alias("key"), "c", none.alias("zeros"), none.alias("ones"))
+    known = known.unionAll(counts.select("block", "key", none.alias("c"), "zeros", "ones"))
+    return table.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, schema)

@@ -94,3 +94,26 @@ def test_texts_together_are_texts_alone():
         assert alone[2][0] == pytest.approx(together[2][i], rel=1e-3, abs=1e-4)
     groups = cm.counted(coder, iter([texts[:3], texts[3:]]))
     assert (groups == cm.counted(coder, iter([[t] for t in texts]))).all()
+
+
+def test_contexts_share_no_counts(spark, monkeypatch):
+    """More contexts than the fixed tables of old had slots: counts of a block's keys are those of the whole corpus, exactly."""
+    monkeypatch.setattr(cm, "BLOCK_BYTES", 300_000)
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(32, 127, 4000).astype(np.uint8)).decode() for _ in range(300)]
+    code = cm.huffman(np.ones(257))
+    coder = cm.Coder(code)
+    frame = spark.createDataFrame([(i % 4, i % 7, t) for i, t in enumerate(texts)], "block bigint, fold int, text string")
+    got = cm._counts(frame, coder).where("shiftright(key, 62) = 1").groupBy("key").agg({"zeros": "max", "ones": "max"}).toArrow()
+    want = Counter()
+    for i, t in enumerate(texts):
+        before = [0, 0, 0, 0]
+        for b in [*t.encode(), cm.END]:
+            context = before[3] << 27 | before[2] << 18 | before[1] << 9 | before[0]
+            for node, bit in code[b]:
+                want[1 << 62 | context << 8 | node, bit] += i % 7 > 1
+            before = [*before[1:], b + 1]
+    keys = {k for k, _ in want}
+    assert len(keys) > 2 * cm.SLOTS
+    rows = zip(got.column("key").to_pylist(), got.column("max(zeros)").to_pylist(), got.column("max(ones)").to_pylist())
+    assert {k: (z, o) for k, z, o in rows} == {k: (want[k, 0], want[k, 1]) for k in keys}
