@@ -41,8 +41,6 @@ STEP_BITS, TRAIN_RATE, TEXT_RATE = 4096, 2.0, 0.6
 TOGETHER = 1 << 17
 #: Bytes of text in a block of documents, about.
 BLOCK_BYTES = 16 << 20
-#: Texts, at most, from which the code's lengths are fitted.
-CODE_SAMPLE = 2000
 #: Distinct contexts and symbols held from several portions before they are added up.
 HELD = 1 << 20
 END = 256
@@ -263,7 +261,7 @@ def mixed(
 
 
 def _code(texts: DataFrame) -> list[list[tuple[int, int]]]:
-    sample = texts.where("fold <> 0").orderBy(F.xxhash64("doc_id", "text")).limit(CODE_SAMPLE)
+    """The Huffman code of the bytes of all training texts."""
 
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(END + 1, dtype=np.int64)
@@ -273,7 +271,8 @@ def _code(texts: DataFrame) -> list[list[tuple[int, int]]]:
                 total[END] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(END + 1)), pa.array(total)], ["symbol", "n"])
 
-    rows = sample.select("text").mapInArrow(histogram, "symbol bigint, n bigint").groupBy("symbol").agg(F.sum("n").alias("n"))
+    rows = texts.where("fold <> 0").select("text").mapInArrow(histogram, "symbol bigint, n bigint")
+    rows = rows.groupBy("symbol").agg(F.sum("n").alias("n"))
     counts = np.zeros(END + 1, dtype=np.int64)
     for r in rows.collect():  # 257 rows at most
         counts[r.symbol] = r.n
@@ -281,8 +280,8 @@ def _code(texts: DataFrame) -> list[list[tuple[int, int]]]:
 
 
 def _counts(table: DataFrame, coder: Coder) -> DataFrame:
-    """(block, key, zeros, ones, own) for the keys of each block's texts: the counts of the whole corpus, and whether texts
-    of fold 1 in the block have the key."""
+    """(block, key, zeros, ones, all_zeros, all_ones, own) for the keys of each block's texts: the counts of the whole
+    corpus without fold 1 and with it, and whether texts of fold 1 in the block have the key."""
 
     def visits(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups = ((raw(p.column("text")), p.column("fold").to_pylist()) for p in portions(batches))
@@ -299,8 +298,9 @@ def _counts(table: DataFrame, coder: Coder) -> DataFrame:
     # A key has a row per block at most, however common it is.
     same = Window.partitionBy("key")
     zeros, ones = F.sum("zeros").over(same).alias("zeros"), F.sum("ones").over(same).alias("ones")
+    every = [F.sum(F.col(c) + F.col(f"{c}_1")).over(same).alias(f"all_{c}") for c in ("zeros", "ones")]
     own = (F.col("zeros_1") + F.col("ones_1") > 0).alias("own")
-    return saved(found.select("block", "key", zeros, ones, own), "context-counts")
+    return saved(found.select("block", "key", zeros, ones, *every, own), "context-counts")
 
 
 def _known(code: list[list[tuple[int, int]]], counts: pa.Table) -> tuple[BlockCoder, list[np.ndarray]]:
@@ -336,7 +336,7 @@ def probabilities(docs: DataFrame, folds: int = 10) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
     Texts in fold 0 (crc32 of the id as text; null ids too) are held out: nothing is learnt from them. Fold 1 trains the
-    mixing weights, the others the tables. A null text is empty: its only token is the end. Rows that repeat count each
+    mixing weights on the counts of the others; the counts that texts are scored with cover both. A null text is empty: its only token is the end. Rows that repeat count each
     time. Without training texts the base is that of an empty count, and the mix has no odds but even ones."""
     texts = id_and_text(docs).withColumn("fold", fold(F.col("doc_id"), folds).cast("int"))
     size = texts.agg(F.sum(F.octet_length("text").cast("bigint") + 8)).first()[0] or 0
@@ -405,5 +405,5 @@ def probabilities(docs: DataFrame, folds: int = 10) -> DataFrame:
     )
     none = F.lit(None).cast("bigint")
     known = found.select("block", F.col("word").alias("key"), "c", none.alias("zeros"), none.alias("ones"))
-    known = known.unionAll(counts.select("block", "key", none.alias("c"), "zeros", "ones"))
+    known = known.unionAll(counts.select("block", "key", none.alias("c"), "all_zeros", "all_ones"))
     return table.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, schema)

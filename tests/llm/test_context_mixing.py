@@ -117,3 +117,22 @@ def test_contexts_share_no_counts(spark, monkeypatch):
     assert len(keys) > 2 * cm.SLOTS
     rows = zip(got.column("key").to_pylist(), got.column("max(zeros)").to_pylist(), got.column("max(ones)").to_pylist())
     assert {k: (z, o) for k, z, o in rows} == {k: (want[k, 0], want[k, 1]) for k in keys}
+
+
+def test_all_training_texts_count(spark):
+    """The code's histogram has every training text, and the counts for scoring have fold 1 too."""
+    rng = np.random.default_rng(5)
+    texts = [bytes((rng.random(20) ** 3 * 120).astype(np.uint8)).decode() for _ in range(3000)]
+    rows = [(i % 3, i % 5, t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id bigint, block bigint, fold int, text string")
+    n = np.zeros(257, dtype=np.int64)
+    for _, f, t in rows:
+        if f:
+            n += np.bincount([*t.encode(), cm.END], minlength=257)
+    code = cm.huffman(n)
+    assert cm._code(frame) == code
+    counts = cm._counts(frame, cm.Coder(code)).drop("block", "own").distinct()
+    got = counts.groupBy().agg({"all_zeros": "sum", "all_ones": "sum", "zeros": "sum", "ones": "sum"}).first()
+    size = lambda folds: sum(len(code[b]) for _, f, t in rows if f in folds for b in [*t.encode(), cm.END])
+    assert got["sum(all_zeros)"] + got["sum(all_ones)"] == cm.ORDERS * size((1, 2, 3, 4))
+    assert got["sum(zeros)"] + got["sum(ones)"] == cm.ORDERS * size((2, 3, 4))
