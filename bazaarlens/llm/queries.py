@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import automata_dedup, backtracking_bpe, blocks_of_ids, context_mixing, multiprobe, order_minhash, packing, pu_quality, quality_rules, secret_scans
+from . import (
+    automata_dedup,
+    backtracking_bpe,
+    blocks_of_ids,
+    context_mixing,
+    merkle_manifest,
+    multiprobe,
+    order_minhash,
+    packing,
+    pu_quality,
+    quality_rules,
+    secret_scans,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +74,10 @@ def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scans.secrets(_table(spark, folder, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle_manifest.manifest(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_context_mixing": op2_context_mixing,
@@ -73,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op8_multiprobe": op8_multiprobe,
     "op9_bpe": op9_bpe,
     "op10_secret_scans": op10_secret_scans,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 #: DuckDB SQL where SQL can state the result on whole tables. The others are held against plain Python in the tests.
