@@ -11,6 +11,7 @@ from . import (
     backtracking_bpe,
     blocks_of_ids,
     context_mixing,
+    dual_tree,
     merkle_manifest,
     multiprobe,
     order_minhash,
@@ -78,6 +79,10 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle_manifest.manifest(_table(spark, folder, "documents"))
 
 
+def op13_dual_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return dual_tree.ranked(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"), k=50)
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality": op1_quality,
     "op2_context_mixing": op2_context_mixing,
@@ -90,6 +95,7 @@ QUERIES: dict[str, Query] = {
     "op9_bpe": op9_bpe,
     "op10_secret_scans": op10_secret_scans,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_dual_tree": op13_dual_tree,
 }
 
 #: DuckDB SQL where SQL can state the result on whole tables. The others are held against plain Python in the tests.
@@ -111,4 +117,31 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed,
           sha256(coalesce(kept.text, '')) AS kept_sha256
         FROM docs LEFT JOIN kept USING (r)""",
+    "op13_dual_tree": r"""
+        WITH docs AS (
+          SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+          FROM documents),
+        totals AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(len(terms)) AS BIGINT) AS length FROM docs WHERE len(terms) > 0),
+        counts AS (
+          SELECT r, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(terms) AS term FROM docs) GROUP BY ALL),
+        weights AS (
+          SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+          FROM counts, totals GROUP BY term),
+        items AS (
+          SELECT row_number() OVER () AS i, item_id, unnest(list_distinct(regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+          FROM benchmark),
+        norms AS (
+          SELECT r, doc_id, 50 + (50 * CAST(len(terms) AS BIGINT) * docs) // length AS m FROM docs, totals WHERE len(terms) > 0),
+        scores AS (
+          SELECT i, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS score
+          FROM items JOIN weights USING (term) JOIN counts USING (term) JOIN norms USING (r)
+          GROUP BY ALL)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score
+        FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST) AS rank
+              FROM scores WHERE score > 0)
+        WHERE rank <= 50""",
 }
