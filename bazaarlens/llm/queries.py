@@ -19,6 +19,7 @@ from . import (
     pu_quality,
     quality_rules,
     secret_scans,
+    weak_labels,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +76,10 @@ def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return secret_scans.secrets(_table(spark, folder, "documents"))
 
 
+def op11_weak_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return weak_labels.personal_data(_table(spark, folder, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle_manifest.manifest(_table(spark, folder, "documents"))
 
@@ -94,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "op8_multiprobe": op8_multiprobe,
     "op9_bpe": op9_bpe,
     "op10_secret_scans": op10_secret_scans,
+    "op11_weak_labels": op11_weak_labels,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_dual_tree": op13_dual_tree,
 }
