@@ -45,7 +45,7 @@ def admin_metrics(mk: Marketplace, as_of: dt.date, staff_domain: str = "@staff.e
         .agg(F.count_distinct("id").alias("active_users"))
     )
     completed = (
-        mk.table("invoices", "invoice_id", "invoice_status")
+        mk.table("invoices", "invoice_id", "invoice_status", statuses=("COMPLETED",))
         .where(F.col("invoice_status") == "COMPLETED")
         .select("invoice_id")
     )
@@ -65,9 +65,9 @@ def admin_metrics(mk: Marketplace, as_of: dt.date, staff_domain: str = "@staff.e
     )
 
 
-def monthly_goal(mk: Marketplace, now: dt.datetime, zone: str = "America/Los_Angeles") -> DataFrame:
-    """The goals entered for the month that `now` falls in, in the given zone."""
-    today = local_date(now, zone)
+def monthly_goal(mk: Marketplace, now: dt.datetime | None = None, zone: str = "America/Los_Angeles") -> DataFrame:
+    """The goals entered for the month that `now` (by default this moment) falls in, in the given zone."""
+    today = local_date(now or dt.datetime.now(dt.timezone.utc), zone)
     month = F.col("month_year")
     return mk.table("monthly_sales_goal", "month_year", "sales_goal").where(
         (month >= date(first_of_month(today))) & (month < date(first_of_month(today, 1)))

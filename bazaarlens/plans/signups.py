@@ -15,7 +15,9 @@ from bazaarlens.sources.marketplace import Marketplace
 
 def new_customers(mk: Marketplace, start: dt.date, end: dt.date) -> DataFrame:
     """Stores by the day of their first completed invoice in either role, over all history."""
-    completed = mk.table("invoices", "buyer_id", "seller_id", "invoice_status", "created_at").where(
+    completed = mk.table(
+        "invoices", "buyer_id", "seller_id", "invoice_status", "created_at", statuses=("COMPLETED",)
+    ).where(
         (F.col("invoice_status") == "COMPLETED")
         # A later invoice cannot move a first day that lies in the range.
         & (F.col("created_at") < timestamp(end + dt.timedelta(days=1)))

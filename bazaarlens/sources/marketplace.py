@@ -44,11 +44,11 @@ class Marketplace:
         return frame.select(*columns) if columns else frame
 
     @classmethod
-    def from_parquet(cls, spark: SparkSession, root: str) -> Marketplace:
-        """One Parquet dataset per relation under root."""
+    def from_parquet(cls, spark: SparkSession, root: str, ids: str = "bigint") -> Marketplace:
+        """One Parquet dataset per relation under root; `ids` is the type of invoice and post ids."""
         return cls(
             spark,
-            {n: lambda _, n=n: spark.read.schema(schema(n)).parquet(f"{root}/{n}") for n in RELATIONS},
+            {n: lambda _, n=n: spark.read.schema(schema(n, ids)).parquet(f"{root}/{n}") for n in RELATIONS},
         )
 
     @classmethod

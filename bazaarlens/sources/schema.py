@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 MONEY = "decimal(18,2)"
+#: Columns whose ids are whole numbers in a stored marketplace and texts of two keys in a derived one.
+IDS = ("invoice_id", "post_id")
 
 RELATIONS = {
     # one row per invoice
@@ -26,5 +28,8 @@ RELATIONS = {
 }
 
 
-def schema(relation: str) -> T.StructType:
-    return T.StructType.fromDDL(RELATIONS[relation])
+def schema(relation: str, ids: str = "bigint") -> T.StructType:
+    """The declared columns of a relation; `ids` is the type of invoice and post ids, bigint or string."""
+    fields = T.StructType.fromDDL(RELATIONS[relation])
+    kind = T.StructType.fromDDL(f"id {ids}")["id"].dataType
+    return T.StructType([T.StructField(f.name, kind if f.name in IDS else f.dataType) for f in fields])

@@ -45,7 +45,7 @@ def test_relation(spark, relation):
 
 @pytest.mark.parametrize("relation", RELATIONS)
 def test_declared_schema(spark, relation):
-    declared = schema(relation)
+    declared = schema(relation, ids="string")
     found = marketplace_from_orders(spark, FOLDER).table(relation, *declared.names).schema
     assert [(f.name, f.dataType) for f in found] == [(f.name, f.dataType) for f in declared]
 
