@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 
 from bazaarlens.plans import (
     churn,
+    from_state,
     investor,
     kpi,
     ops,
@@ -110,6 +111,12 @@ PLANS: dict[str, Plan] = {
     "r36_ir_seller_txn": _fact("seller_txn"),
     "r37_ir_rev_by_buyer": _fact("rev_by_buyer"),
     "r38_ir_rev_by_seller": _fact("rev_by_seller"),
+    # From a state kept by month.
+    "r03_new_customers_kept": _range(from_state.from_state(signups.new_customers)),
+    "r06_mtd_activation_kept": _day(from_state.from_state(snapshot.mtd_activation)),
+    "r18_revenue_mix_kept": _day(from_state.from_state(revenue.revenue_mix)),
+    "r21_revenue_report_kept": _range(from_state.from_state(ops.revenue_report)),
+    "r22_user_store_report_kept": _range(from_state.from_state(ops.user_store_report)),
     "t01_month_labels": lambda mk, a: pieces.labelled_spend(mk, a.start, a.end, a.sub_start, a.sub_end),
     **{f"t02_pivot_{name}": _pivot(name) for name in investor.FACTS},
     "t05_report_set": _range(pieces.report_set),

@@ -22,6 +22,7 @@ from bazaarlens.operators.retention import retained_sum, with_month_before, with
 from bazaarlens.operators.sell_through import booked_sales, days_to_sale, included_items
 from bazaarlens.operators.spines import fill_spine, month_spine
 from bazaarlens.sources.marketplace import Marketplace
+from bazaarlens.state.activity import ActivityState, folded_sales, month_orders, seller_months
 
 SIGNED = "seller_signed_on"
 
@@ -31,7 +32,8 @@ def marketplace_report(mk: Marketplace, start: dt.date, end: dt.date) -> DataFra
 
     Only months of the calendar are kept, so every arm reads just their rows.
     """
-    sales = booked_sales(mk, "invoice_id", SIGNED).where(in_months(F.col(SIGNED), start, end))
+    span = (first_of_month(start), first_of_month(end, 1))
+    sales = booked_sales(mk, "invoice_id", SIGNED, signed=span).where(in_months(F.col(SIGNED), start, end))
     month = month_of(F.col(SIGNED)).alias("month")
     invoices = sales.groupBy(month).agg(F.count(F.lit(1)).alias("Invoice Count"))
     # Posts join from the outside: an item without its post is sold, but has no days.
@@ -44,8 +46,9 @@ def marketplace_report(mk: Marketplace, start: dt.date, end: dt.date) -> DataFra
         F.count_distinct("invoice_item_id").alias("Items Sold"),
         rounded(average(F.sum("days"), F.count("days")), 2).alias("Avg Days to Sale"),
     )
+    # The same columns as above, so that a derived relation is worked out once.
     posts = (
-        mk.table("posts", "created_at")
+        mk.table("posts", "post_id", "created_at")
         .where(in_months(F.col("created_at"), start, end))
         .groupBy(month_of(F.col("created_at")).alias("month"))
         .agg(F.count(F.lit(1)).alias("New Posts"))
@@ -57,33 +60,25 @@ def marketplace_report(mk: Marketplace, start: dt.date, end: dt.date) -> DataFra
     return filled.orderBy("month").select(year_month(F.col("month")).alias("Month"), *measures)
 
 
-def _distinct_invoices(mk: Marketplace, end: dt.date) -> DataFrame:
-    """Sale rows with identical ones folded into one that knows its number of `copies`."""
-    # First months and retention look back over all history, never past the last month shown.
-    sales = booked_sales(mk, "invoice_id", "seller_id", "fee_percent", "subtotal", SIGNED).where(
-        F.col(SIGNED) < timestamp(first_of_month(end, 1))
-    )
-    folded = sales.select(
-        "invoice_id", "seller_id", "fee_percent", "subtotal", month_of(F.col(SIGNED)).alias("month")
-    ).where("month IS NOT NULL")
-    # `copies` is always positive. Asking for it, and for the month above, gives both readers of
-    # this frame the same shuffle, so Spark runs it once and reuses it.
-    return (
-        folded.groupBy(*folded.columns).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 0)
-    )
+def _history(mk: Marketplace, end: dt.date, state: ActivityState | None) -> tuple[DataFrame, DataFrame]:
+    """Sellers by month and different invoices by month, kept or from the sales. First months and retention look back
+    over all history, never past the last month shown."""
+    if state is not None:
+        return state.seller_months(end), state.month_orders(end)
+    until = first_of_month(end, 1)
+    sales = booked_sales(
+        mk, "invoice_id", "seller_id", "fee_percent", "subtotal", SIGNED, signed=(None, until)
+    ).where(F.col(SIGNED) < timestamp(until))
+    return seller_months(folded_sales(sales)), month_orders(folded_sales(sales))
 
 
-def revenue_report(mk: Marketplace, start: dt.date, end: dt.date) -> DataFrame:
+def revenue_report(mk: Marketplace, start: dt.date, end: dt.date, state: ActivityState | None = None) -> DataFrame:
     """GMV, revenue, take rate, new and existing sellers, retention and order value per month.
 
     A fee that is not known adds to GMV but not to revenue. Money comes out as text. The windows
-    see one row per seller and month.
+    see one row per seller and month; with a kept state no sale is read.
     """
-    sellers = _distinct_invoices(mk, end).groupBy("seller_id", "month").agg(
-        F.sum("subtotal").alias("gmv"),
-        F.sum(F.col("subtotal") * F.col("fee_percent")).alias("points"),
-        F.sum("copies").alias("rows"),
-    )
+    sellers, orders = _history(mk, end, state)
     new_points, existing_points = split_new_existing(F.col("points"), "seller_id")
     months = (
         with_first_month(with_previous_month(sellers, "seller_id"), "seller_id")
@@ -97,7 +92,6 @@ def revenue_report(mk: Marketplace, start: dt.date, end: dt.date) -> DataFrame:
             retained_sum(F.col("gmv")).alias("retained_gmv"),
         )
     )
-    orders = _distinct_invoices(mk, end).groupBy("month").agg(F.count_distinct("invoice_id").alias("orders"))
     spine = month_spine(mk.spark, start, end)
     rows = fill_spine(spine, "month", with_month_before(months, "month_gmv", "previous_gmv"), orders)
 
@@ -121,11 +115,14 @@ def revenue_report(mk: Marketplace, start: dt.date, end: dt.date) -> DataFrame:
     )
 
 
-def user_store_report(mk: Marketplace, start: dt.date, end: dt.date) -> DataFrame:
+def user_store_report(mk: Marketplace, start: dt.date, end: dt.date, state: ActivityState | None = None) -> DataFrame:
     """Signups, onboardings, first customers, activations and active stores per month."""
-    sales = booked_sales(mk, "buyer_id", "seller_id", SIGNED).where(
-        F.col(SIGNED) < timestamp(first_of_month(end, 1))
-    )
+    if state is not None:
+        active = with_first_month(state.active_months(end), "store_id")
+    else:
+        until = first_of_month(end, 1)
+        sales = booked_sales(mk, "buyer_id", "seller_id", SIGNED, signed=(None, until))
+        active = store_months(sales.where(F.col(SIGNED) < timestamp(until)))
     signups = mk.table("stores", "store_id", "funding_id", "created_at").where(
         in_months(F.col("created_at"), start, end)
     )
@@ -133,8 +130,7 @@ def user_store_report(mk: Marketplace, start: dt.date, end: dt.date) -> DataFram
     # One row per store and month meets one row per store: activation costs no second pass.
     new = F.col("month") == F.col("first_month")
     activity = (
-        store_months(sales)
-        .join(cohort, "store_id", "left")
+        active.join(cohort, "store_id", "left")
         .groupBy("month")
         .agg(
             F.count_if(new).alias("New Customers"),

@@ -21,6 +21,7 @@ from bazaarlens.operators.activity import first_activity
 from bazaarlens.operators.periods import month_and_previous, mtd_full_day
 from bazaarlens.operators.sell_through import booked_sales, completed_sales, included_per_invoice
 from bazaarlens.sources.marketplace import Marketplace
+from bazaarlens.state.activity import ActivityState
 
 SIGNED = "seller_signed_on"
 
@@ -97,7 +98,7 @@ def weighted_take_rate(mk: Marketplace, as_of: dt.date) -> DataFrame:
 
 
 @as_of_today()
-def revenue_mix(mk: Marketplace, as_of: dt.date) -> DataFrame:
+def revenue_mix(mk: Marketplace, as_of: dt.date, state: ActivityState | None = None) -> DataFrame:
     """Revenue of sellers whose first completed sale is this month, and of all others.
 
     One row of totals is turned into the two output rows, so both are always there and the
@@ -113,8 +114,12 @@ def revenue_mix(mk: Marketplace, as_of: dt.date) -> DataFrame:
         .agg(F.sum(fee_points(F.col("items"))).alias("points"))
     )
     # Sales after the period cannot be the first sale of a seller that sold in it.
-    history = completed_sales(mk, "seller_id", SIGNED, signed=(None, window.end)).where(F.col(SIGNED) < timestamp(window.end))
-    firsts = first_activity(history, "seller_id", SIGNED).where("seller_id IS NOT NULL")
+    if state is not None:
+        firsts = state.first_completed_sales(window.end)
+    else:
+        history = completed_sales(mk, "seller_id", SIGNED, signed=(None, window.end))
+        history = history.where((F.col(SIGNED) < timestamp(window.end)) & F.col("seller_id").isNotNull())
+        firsts = first_activity(history, "seller_id", SIGNED)
     new = F.coalesce(month_of(F.col("first")) == date(window.start), F.lit(False))
     totals = earned.join(firsts, "seller_id", "left").agg(
         filled(hundredth(F.sum(F.when(~new, F.col("points"))))).alias("existing"),

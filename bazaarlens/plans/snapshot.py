@@ -20,19 +20,25 @@ from bazaarlens.operators.sell_through import (
     included_per_invoice,
 )
 from bazaarlens.sources.marketplace import Marketplace
+from bazaarlens.state.activity import ActivityState
 
 SIGNED = "seller_signed_on"
 
 
 @as_of_today()
-def mtd_activation(mk: Marketplace, as_of: dt.date) -> DataFrame:
+def mtd_activation(mk: Marketplace, as_of: dt.date, state: ActivityState | None = None) -> DataFrame:
     """New stores of this month and those whose first booked sale, in either role, is in it."""
     month = calendar_month(as_of)
     new = mk.table("stores", "store_id", "created_at").where(month.holds(F.col("created_at")))
-    # Sales after this month cannot make a store's first month this one.
-    past = booked_sales(mk, "buyer_id", "seller_id", SIGNED, signed=(None, month.end)).where(F.col(SIGNED) < timestamp(month.end))
-    firsts = first_activity(both_roles(past, SIGNED).where("store_id IS NOT NULL"), "store_id", SIGNED)
-    active = activated(new, firsts.select("store_id", month_of(F.col("first")).alias("first_month")))
+    if state is not None:
+        firsts = state.active_months(as_of).groupBy("store_id").agg(F.min("month").alias("first_month"))
+    else:
+        # Sales after this month cannot make a store's first month this one.
+        past = booked_sales(mk, "buyer_id", "seller_id", SIGNED, signed=(None, month.end))
+        past = both_roles(past.where(F.col(SIGNED) < timestamp(month.end)), SIGNED).where("store_id IS NOT NULL")
+        firsts = first_activity(past, "store_id", SIGNED)
+        firsts = firsts.select("store_id", month_of(F.col("first")).alias("first_month"))
+    active = activated(new, firsts)
     counts = new.agg(F.count(F.lit(1)).alias("total_new_stores")).crossJoin(
         active.agg(F.count(F.lit(1)).alias("activated_stores"))
     )

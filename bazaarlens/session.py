@@ -5,6 +5,9 @@ Results never depend on these; only the way hot keys and small sides are treated
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 # AQE splits a hot join partition even when the operator above the join then needs one more
@@ -36,3 +39,15 @@ def local_session(app: str = "bazaarlens", cpus: int | str = "*", partitions: in
         .config("spark.driver.memory", "8g")
     )
     return tune(builder.getOrCreate())
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, `spark.checkpoint.dir`; a local session without one
+    (tests) gets a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        root = spark.sparkContext.getCheckpointDir()
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -929,3 +929,11 @@ ORACLES: dict[str, Callable[[Args], str]] = {
     "m22_month_spine": m_days_spine,
     "m23_spine_fill": m_spine_fill,
 }
+
+# The reports from a kept state are the reports.
+ORACLES |= {
+    f"{name}_kept": ORACLES[name]
+    for name in (
+        "r03_new_customers", "r06_mtd_activation", "r18_revenue_mix", "r21_revenue_report", "r22_user_store_report",
+    )
+}
