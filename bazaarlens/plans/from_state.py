@@ -13,9 +13,9 @@ from bazaarlens.state.activity import ActivityState
 
 
 def built_state(mk: Marketplace, folder: str | None = None) -> ActivityState:
-    """A state of all sales and invoices, in a folder or a new shared one; of a state that is there, the months whose
-    rows have changed are rebuilt."""
-    state = ActivityState(mk.spark, folder or shared_folder(mk.spark, "activity"))
+    """A state of all sales and invoices, in a folder or the shared one of this marketplace; of a state that is there,
+    the months whose rows have changed are rebuilt."""
+    state = ActivityState(mk.spark, folder or shared_folder(mk.spark, "activity", mk.name))
     if state.tables.batches():
         state.update(mk)
         return state
@@ -31,5 +31,5 @@ def built_state(mk: Marketplace, folder: str | None = None) -> ActivityState:
 
 
 def from_state(report: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """A report (marketplace, ..., state=) that builds the state it reads."""
+    """A report (marketplace, ..., state=) that first brings the state it reads up to date."""
     return lambda mk, *args: report(mk, *args, state=built_state(mk))

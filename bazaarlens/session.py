@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 
 from pyspark.sql import SparkSession
 
@@ -41,13 +42,13 @@ def local_session(app: str = "bazaarlens", cpus: int | str = "*", partitions: in
     return tune(builder.getOrCreate())
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share, `spark.checkpoint.dir`; a local session without one
-    (tests) gets a temporary one."""
+def shared_folder(spark: SparkSession, name: str, of: str = "") -> str:
+    """A path in the folder that driver and executors share, `spark.checkpoint.dir`: the one for what is kept `of`
+    something, else a new one. A local session without such a folder (tests) gets a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
         root = spark.sparkContext.getCheckpointDir()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}-{f'{zlib.crc32(of.encode()):08x}' if of else uuid.uuid4().hex}"

@@ -29,11 +29,12 @@ class Marketplace:
     """Named relations, each asked for with the columns a plan uses.
 
     A reader is told those columns, so a derived relation can leave out joins it does not need, and
-    the statuses and range of the sales that are kept, so that it can filter what it stores.
+    the statuses and range of the sales that are kept, so that it can filter what it stores. `name` says which
+    marketplace this is, for what is kept of it elsewhere.
     """
 
-    def __init__(self, spark: SparkSession, readers: Mapping[str, Reader]):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, readers: Mapping[str, Reader], name: str = ""):
+        self.spark, self.name = spark, name
         self._readers = dict(readers)
 
     def table(
@@ -49,6 +50,7 @@ class Marketplace:
         return cls(
             spark,
             {n: lambda _, n=n: spark.read.schema(schema(n, ids)).parquet(f"{root}/{n}") for n in RELATIONS},
+            root,
         )
 
     @classmethod
@@ -56,7 +58,7 @@ class Marketplace:
         """Tables or views of a catalog database; `named` gives those kept elsewhere, as users in an auth schema."""
         named = named or {}
         return cls(
-            spark, {n: lambda _, n=n: spark.table(named.get(n, f"{database}.{n}")) for n in RELATIONS}
+            spark, {n: lambda _, n=n: spark.table(named.get(n, f"{database}.{n}")) for n in RELATIONS}, database
         )
 
     @classmethod

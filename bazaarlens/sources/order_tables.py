@@ -24,7 +24,7 @@ def marketplace_from_orders(spark: SparkSession, folder: str) -> Marketplace:
         "sales", "invoices", "invoice_items", "posts", "drugs", "stores", "addresses",
         "funding_accounts", "carts", "users", "monthly_sales_goal",
     )}
-    return Marketplace(spark, readers)
+    return Marketplace(spark, readers, folder)
 
 
 def _money(name: str) -> Column:
