@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from bazaarlens.plans import (
+    by_day,
     churn,
     from_state,
     investor,
@@ -40,6 +41,8 @@ class ReportArgs:
     min_rate: float = 0.5
     sub_start: dt.date = dt.date(1996, 1, 1)
     sub_end: dt.date = dt.date(1996, 12, 31)
+    days_start: dt.date = dt.date(1998, 2, 20)
+    days_end: dt.date = dt.date(1998, 4, 2)
 
 
 Plan = Callable[[Marketplace, ReportArgs], DataFrame]
@@ -53,6 +56,10 @@ def _range(plan: Callable[[Marketplace, dt.date, dt.date], DataFrame]) -> Plan:
     return lambda mk, a: plan(mk, a.start, a.end)
 
 
+def _days(plan: Callable[[Marketplace, dt.date, dt.date], DataFrame]) -> Plan:
+    return lambda mk, a: plan(mk, a.days_start, a.days_end)
+
+
 def _sales_range(plan: Callable[[Marketplace, dt.date, dt.date, int], DataFrame]) -> Plan:
     return lambda mk, a: plan(mk, a.start, a.end, a.min_sales)
 
@@ -111,6 +118,13 @@ PLANS: dict[str, Plan] = {
     "r36_ir_seller_txn": _fact("seller_txn"),
     "r37_ir_rev_by_buyer": _fact("rev_by_buyer"),
     "r38_ir_rev_by_seller": _fact("rev_by_seller"),
+    # The reports of all days of a range.
+    "r05_churn_by_day": lambda mk, a: by_day.churn(mk, a.days_start, a.days_end, a.churn_days),
+    "r08_active_stores_by_day": _days(by_day.active_stores),
+    "r09_aov_by_day": _days(by_day.order_value),
+    "r10_avg_days_by_day": _days(by_day.average_days),
+    "r11_items_sold_by_day": _days(by_day.items_sold),
+    "r12_total_invoices_by_day": _days(by_day.total_invoices),
     # From a state kept by month.
     "r03_new_customers_kept": _range(from_state.from_state(signups.new_customers)),
     "r06_mtd_activation_kept": _day(from_state.from_state(snapshot.mtd_activation)),

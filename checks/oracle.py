@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
@@ -25,6 +25,8 @@ class Args:
     min_rate: float
     sub_start: dt.date
     sub_end: dt.date
+    days_start: dt.date
+    days_end: dt.date
 
 
 VIEWS = {
@@ -937,3 +939,24 @@ ORACLES |= {
         "r03_new_customers", "r06_mtd_activation", "r18_revenue_mix", "r21_revenue_report", "r22_user_store_report",
     )
 }
+
+
+def every_day(report: Callable[[Args], str]) -> Callable[[Args], str]:
+    """The report of each day of the range by itself."""
+
+    def build(a: Args) -> str:
+        count = (a.days_end - a.days_start).days + 1
+        days = [a.days_start + dt.timedelta(days=i) for i in range(count)]
+        return " UNION ALL ".join(f"SELECT {d(day)} AS as_of, * FROM ({report(replace(a, as_of=day))})" for day in days)
+
+    return build
+
+
+ORACLES |= {
+    "r05_churn_by_day": every_day(churn_rates),
+    "r08_active_stores_by_day": every_day(mtd_active_stores),
+    "r09_aov_by_day": every_day(mtd_aov),
+    "r10_avg_days_by_day": every_day(mtd_avg_days),
+    "r11_items_sold_by_day": every_day(mtd_items_sold),
+    "r12_total_invoices_by_day": every_day(mtd_total_invoices),
+}
