@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from bazaarlens.plans import (
     by_day,
     churn,
+    distinct_spans,
     from_state,
     investor,
     kpi,
@@ -125,6 +126,9 @@ PLANS: dict[str, Plan] = {
     "r10_avg_days_by_day": _days(by_day.average_days),
     "r11_items_sold_by_day": _days(by_day.items_sold),
     "r12_total_invoices_by_day": _days(by_day.total_invoices),
+    # Distinct counts of any months, from monthly bitmaps.
+    "p47_distinct_spans": lambda mk, a: distinct_spans.stores_and_invoices(mk, a.sub_start, a.sub_end),
+    "p48_buyers_by_state_spans": lambda mk, a: distinct_spans.buyers_by_state(mk, a.sub_start, a.sub_end),
     # From a state kept by month.
     "r03_new_customers_kept": _range(from_state.from_state(signups.new_customers)),
     "r06_mtd_activation_kept": _day(from_state.from_state(snapshot.mtd_activation)),

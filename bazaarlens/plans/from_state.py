@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from bazaarlens.session import shared_folder
 from bazaarlens.sources.marketplace import Marketplace
@@ -13,20 +12,10 @@ from bazaarlens.state.activity import ActivityState
 
 
 def built_state(mk: Marketplace, folder: str | None = None) -> ActivityState:
-    """A state of all sales and invoices, in a folder or the shared one of this marketplace; of a state that is there,
-    the months whose rows have changed are rebuilt."""
+    """A state of all sales and invoices, in a folder or the shared one of this marketplace: the months that it lacks or
+    whose rows have changed are built."""
     state = ActivityState(mk.spark, folder or shared_folder(mk.spark, "activity", mk.name))
-    if state.tables.batches():
-        state.update(mk)
-        return state
-    # One batch from the earliest to the latest month.
-    spans = [
-        mk.table(name, time).agg(F.min(time).alias("first"), F.max(time).alias("last"))
-        for name, time in (("sales", "seller_signed_on"), ("invoices", "created_at"))
-    ]
-    span = spans[0].unionByName(spans[1]).agg(F.min("first"), F.max("last")).first()  # one row
-    if span[0] is not None:
-        state.refresh(mk, span[0].date(), span[1].date())
+    state.update(mk)
     return state
 
 

@@ -18,7 +18,7 @@ from bazaarlens.functions.dates import first_of_month, in_months, month_of, time
 from bazaarlens.operators.activity import both_roles
 from bazaarlens.operators.sell_through import BOOKED
 from bazaarlens.sources.marketplace import Marketplace
-from bazaarlens.state.monthly import MonthlyTables
+from bazaarlens.state.monthly import PRINTS, MonthlyTables, prints
 
 SIGNED = "seller_signed_on"
 # A fee times money has a scale of four.
@@ -27,7 +27,7 @@ TABLES = {
     "sellers": "seller_id bigint, gmv decimal(28,2), points decimal(38,4), rows bigint",
     "orders": "orders bigint",
     "customers": "store_id bigint, first_created timestamp_ntz",
-    "prints": "relation string, rows bigint, hashes decimal(38,0)",
+    "prints": PRINTS,
 }
 
 
@@ -55,18 +55,6 @@ def month_orders(folded: DataFrame) -> DataFrame:
     return folded.groupBy("month").agg(F.count_distinct("invoice_id").alias("orders"))
 
 
-def _prints(rows: DataFrame, time: str, relation: str) -> DataFrame:
-    """Count and sum of hashes per month; the order of columns and rows doesn't matter."""
-    named = [F.struct(F.lit(c), F.col(c)) for c in sorted(rows.columns)]
-    return (
-        rows.select(month_of(F.col(time)).alias("month"), F.xxhash64(*named).cast("decimal(20,0)").alias("h"))
-        .where("month IS NOT NULL")
-        .groupBy("month")
-        .agg(F.count(F.lit(1)).alias("rows"), F.sum("h").cast("decimal(38,0)").alias("hashes"))
-        .withColumn("relation", F.lit(relation))
-    )
-
-
 class ActivityState:
     """The kept tables of a marketplace in a folder that driver and executors share."""
 
@@ -96,11 +84,11 @@ class ActivityState:
             .groupBy("store_id", month_of(F.col("created_at")).alias("month"))
             .agg(F.min("created_at").alias("first_created"))
         )
-        prints = _prints(sales, SIGNED, "sales").unionByName(_prints(invoices, "created_at", "invoices"))
+        printed = prints(sales, SIGNED, "sales").unionByName(prints(invoices, "created_at", "invoices"))
         self.tables.replace(
             {
                 "traders": traders, "sellers": seller_months(folded), "orders": month_orders(folded),
-                "customers": customers, "prints": prints,
+                "customers": customers, "prints": printed,
             },
             start, end,
         )
@@ -114,27 +102,14 @@ class ActivityState:
     def _invoices(mk: Marketplace) -> DataFrame:
         return mk.table("invoices", "buyer_id", "seller_id", "invoice_status", "created_at")
 
-    def stale_months(self, mk: Marketplace) -> DataFrame:
-        """(month, relation) of months whose rows are not those that the state was built from, also months it lacks and
-        months that have lost all rows. One scan of sales and invoices, and a shuffle of one row per month and task."""
-        now = _prints(self._sales(mk), SIGNED, "sales").unionByName(_prints(self._invoices(mk), "created_at", "invoices"))
-        now = now.select("month", "relation", F.struct("rows", "hashes").alias("now"))
-        kept = self.tables.table("prints").select("month", "relation", F.struct("rows", "hashes").alias("kept"))
-        both = now.join(kept, ["month", "relation"], "full")
-        return both.where(~F.col("now").eqNullSafe(F.col("kept"))).select("month", "relation")
-
-    def update(self, mk: Marketplace) -> list[dt.date]:
-        """Rebuild the stale months, neighbouring ones together; returns them. At most one row per month is collected."""
-        stale = sorted({r["month"] for r in self.stale_months(mk).collect()})
-        runs: list[list[dt.date]] = []
-        for month in stale:
-            if runs and first_of_month(runs[-1][1], 1) == month:
-                runs[-1][1] = month
-            else:
-                runs.append([month, month])
+    def update(self, mk: Marketplace) -> list[tuple[dt.date, dt.date]]:
+        """Rebuild the months whose rows are not those that the state was built from; returns them as runs. One scan of
+        sales and invoices, and a shuffle of one row per month and task, find them."""
+        now = prints(self._sales(mk), SIGNED, "sales").unionByName(prints(self._invoices(mk), "created_at", "invoices"))
+        runs = self.tables.stale_runs(now)
         for first, last in runs:
             self.refresh(mk, first, last)
-        return stale
+        return runs
 
     # What the reports read
 

@@ -8,16 +8,30 @@ run that is repeated changes nothing either, and a month with late rows is simpl
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bazaarlens.functions.dates import date, first_of_month, months_in
+from bazaarlens.functions.dates import date, first_of_month, month_of, months_in
 
 BATCHES = "batch int, first date, last date"
+#: Columns of a table `prints` that tells which rows the months were built from.
+PRINTS = "relation string, rows bigint, hashes decimal(38,0)"
+
+
+def prints(rows: DataFrame, time: str, relation: str) -> DataFrame:
+    """Count and sum of hashes of the rows by month; the order of columns and rows doesn't matter."""
+    named = [F.struct(F.lit(c), F.col(c)) for c in sorted(rows.columns)]
+    return (
+        rows.select(month_of(F.col(time)).alias("month"), F.xxhash64(*named).cast("decimal(20,0)").alias("h"))
+        .where("month IS NOT NULL")
+        .groupBy("month")
+        .agg(F.count(F.lit(1)).alias("rows"), F.sum("h").cast("decimal(38,0)").alias("hashes"))
+        .withColumn("relation", F.lit(relation))
+    )
 
 
 class MonthlyTables:
@@ -83,6 +97,18 @@ class MonthlyTables:
             valid = valid | ((F.col("batch") == number) & _in_runs(F.col("month"), months))
         return rows.where(valid).drop("batch")
 
+    def stale(self, now: DataFrame) -> DataFrame:
+        """(month, relation) where the prints differ from the kept ones: months with late or changed rows, months that
+        are not kept, and months that have lost all rows."""
+        now = now.select("month", "relation", F.struct("rows", "hashes").alias("now"))
+        kept = self.table("prints").select("month", "relation", F.struct("rows", "hashes").alias("kept"))
+        both = now.join(kept, ["month", "relation"], "full")
+        return both.where(~F.col("now").eqNullSafe(F.col("kept"))).select("month", "relation")
+
+    def stale_runs(self, now: DataFrame) -> list[tuple[dt.date, dt.date]]:
+        """The stale months as runs of neighbours. A row per month is collected."""
+        return runs_of({r["month"] for r in self.stale(now).collect()})
+
     def compact(self) -> None:
         """Write all valid rows as one batch; the folders of the earlier ones are then read no more."""
         months = [m for held in self.live().values() for m in held]
@@ -90,15 +116,20 @@ class MonthlyTables:
             self.replace({name: self.table(name) for name in self.schemas}, min(months), max(months))
 
 
-def _in_runs(month: Column, months: list[dt.date]) -> Column:
-    """month is one of these, said as ranges of neighbours."""
-    runs: list[list[dt.date]] = []
-    for m in months:
+def runs_of(months: Iterable[dt.date]) -> list[tuple[dt.date, dt.date]]:
+    """First and last of each run of neighbouring months."""
+    runs: list[tuple[dt.date, dt.date]] = []
+    for m in sorted(months):
         if runs and first_of_month(runs[-1][1], 1) == m:
-            runs[-1][1] = m
+            runs[-1] = (runs[-1][0], m)
         else:
-            runs.append([m, m])
+            runs.append((m, m))
+    return runs
+
+
+def _in_runs(month: Column, months: list[dt.date]) -> Column:
+    """month is one of these, said as ranges of neighbours."""
     found = F.lit(False)
-    for first, last in runs:
+    for first, last in runs_of(months):
         found = found | month.between(date(first), date(last))
     return found

@@ -960,3 +960,29 @@ ORACLES |= {
     "r11_items_sold_by_day": every_day(mtd_items_sold),
     "r12_total_invoices_by_day": every_day(mtd_total_invoices),
 }
+
+
+def _spans(a: Args) -> str:
+    return f"""SELECT CAST(last_month - to_months(months - 1) AS DATE) AS first_month, last_month, months FROM (
+        SELECT CAST(unnest(generate_series(date_trunc('month', {d(a.sub_start)}), date_trunc('month', {d(a.sub_end)}),
+          INTERVAL 1 MONTH)) AS DATE) AS last_month), (VALUES (1), (3), (12)) AS v(months)"""
+
+
+IN_SPAN = "signed >= first_month AND signed < last_month + INTERVAL 1 MONTH AND status IN ('COMPLETED', 'PENDING')"
+
+
+def distinct_spans(a: Args) -> str:
+    body = f"""SELECT first_month, last_month, months,
+        (SELECT count(DISTINCT store) FROM (SELECT buyer AS store, * FROM sales UNION ALL SELECT seller, * FROM sales) WHERE {IN_SPAN}) AS stores,
+        (SELECT count(DISTINCT invoice_id) FROM sales WHERE {IN_SPAN}) AS invoices
+        FROM spans"""
+    return with_views(a, body, "sales", extra={"spans": _spans(a)})
+
+
+def buyers_by_state_spans(a: Args) -> str:
+    body = f"""SELECT first_month, last_month, months, state, count(DISTINCT buyer) AS buyers
+        FROM spans JOIN sales ON {IN_SPAN} JOIN stores ON store_id = buyer GROUP BY ALL"""
+    return with_views(a, body, "sales", "stores", extra={"spans": _spans(a)})
+
+
+ORACLES |= {"p47_distinct_spans": distinct_spans, "p48_buyers_by_state_spans": buyers_by_state_spans}
