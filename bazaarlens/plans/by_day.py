@@ -163,7 +163,7 @@ def churn(mk: Marketplace, start: dt.date, end: dt.date, window_days: int) -> Da
     signed, created = F.col(SIGNED), F.col("created_at")
     sales = completed_sales(mk, "invoice_id", "buyer_id", "seller_id", SIGNED, signed=(since, None))
     trades = both_roles(sales.where(signed >= timestamp(since)), "invoice_id", SIGNED)
-    posts = mk.table("posts", "post_id", "seller_id", "created_at").where(created >= timestamp(since))
+    posts = mk.table("posts", "post_id", "seller_id", "created_at", created=(since, None)).where(created >= timestamp(since))
     events = trades.select(
         "store_id", F.when(F.col("bought"), "purchase").otherwise("sale").alias("role"),
         F.col("invoice_id").cast("string").alias("item"), day_number(signed).alias("day"),

@@ -20,7 +20,7 @@ def store_churn_flags(mk: Marketplace, as_of: dt.date, window_days: int) -> Data
     sales = completed_sales(
         mk, "invoice_id", "buyer_id", "seller_id", "seller_signed_on", signed=pair.span
     ).where(pair.either(F.col("seller_signed_on")))
-    posts = mk.table("posts", "post_id", "seller_id", "created_at").where(pair.either(F.col("created_at")))
+    posts = mk.table("posts", "post_id", "seller_id", "created_at", created=pair.span).where(pair.either(F.col("created_at")))
     return churn_flags(sales, posts, pair)
 
 

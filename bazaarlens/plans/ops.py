@@ -48,7 +48,7 @@ def marketplace_report(mk: Marketplace, start: dt.date, end: dt.date) -> DataFra
     )
     # The same columns as above, so that a derived relation is worked out once.
     posts = (
-        mk.table("posts", "post_id", "created_at")
+        mk.table("posts", "post_id", "created_at", created=span)
         .where(in_months(F.col("created_at"), start, end))
         .groupBy(month_of(F.col("created_at")).alias("month"))
         .agg(F.count(F.lit(1)).alias("New Posts"))

@@ -16,7 +16,8 @@ from bazaarlens.state.activity import ActivityState
 
 def _first_invoices(mk: Marketplace, before: dt.date) -> DataFrame:
     completed = mk.table(
-        "invoices", "buyer_id", "seller_id", "invoice_status", "created_at", statuses=("COMPLETED",)
+        "invoices", "buyer_id", "seller_id", "invoice_status", "created_at", statuses=("COMPLETED",),
+        created=(None, before),
     ).where(
         (F.col("invoice_status") == "COMPLETED") & (F.col("created_at") < timestamp(before))
     )

@@ -13,12 +13,14 @@ Span = tuple[dt.date | None, dt.date | None]
 
 
 class Wanted(frozenset):
-    """The columns a plan uses, and what it will keep of the sales: statuses, and the first and last moment of signing
-    (both included; None is open). A reader may leave out other rows; the plan filters all the same."""
+    """The columns a plan uses, and what it will keep: statuses of sales, and the first and last moment of signing or of
+    creation (both included; None is open). A reader may leave out other rows; the plan filters all the same."""
 
-    def __new__(cls, columns: Iterable[str], statuses: tuple[str, ...] = (), signed: Span = (None, None)) -> Wanted:
+    def __new__(
+        cls, columns: Iterable[str], statuses: tuple[str, ...] = (), signed: Span = (None, None), created: Span = (None, None)
+    ) -> Wanted:
         wanted = super().__new__(cls, columns)
-        wanted.statuses, wanted.signed = statuses, signed
+        wanted.statuses, wanted.signed, wanted.created = statuses, signed, created
         return wanted
 
 
@@ -38,12 +40,17 @@ class Marketplace:
         self._readers = dict(readers)
 
     def table(
-        self, name: str, *columns: str, statuses: tuple[str, ...] = (), signed: Span = (None, None)
+        self, name: str, *columns: str, statuses: tuple[str, ...] = (), signed: Span = (None, None),
+        created: Span = (None, None),
     ) -> DataFrame:
         columns = tuple(dict.fromkeys(columns))
-        frame = self._readers[name](Wanted(columns, statuses, signed))
+        frame = self._readers[name](Wanted(columns, statuses, signed, created))
         return frame.select(*columns) if columns else frame
 
+    def has(self, name: str) -> bool:
+        """Whether a relation is there; all but `sold_lines` always are."""
+        return name in self._readers
+
     @classmethod
     def from_parquet(cls, spark: SparkSession, root: str, ids: str = "bigint") -> Marketplace:
         """One Parquet dataset per relation under root; `ids` is the type of invoice and post ids."""
