@@ -119,6 +119,9 @@ PLANS: dict[str, Plan] = {
     "r36_ir_seller_txn": _fact("seller_txn"),
     "r37_ir_rev_by_buyer": _fact("rev_by_buyer"),
     "r38_ir_rev_by_seller": _fact("rev_by_seller"),
+    "p01_contract": _whole(pieces.contract_violations),
+    "p60_share_of_month": _whole(pieces.shares_of_month),
+    "p62_ranked_sellers": _whole(pieces.ranked_sellers),
     # The reports of all days of a range.
     "r05_churn_by_day": lambda mk, a: by_day.churn(mk, a.days_start, a.days_end, a.churn_days),
     "r08_active_stores_by_day": _days(by_day.active_stores),

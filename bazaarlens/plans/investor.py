@@ -56,7 +56,7 @@ def _measure(name: str) -> Column:
 def store_month_fact(mk: Marketplace, fact: str, start: dt.date, end: dt.date) -> DataFrame:
     """(store_id, sale_month, value) of booked sales signed in the range with an included item."""
     _, role, measure = FACTS[fact]
-    sales = booked_sales(mk, "invoice_id", role, "subtotal", "fee_percent", SIGNED).where(
+    sales = booked_sales(mk, "invoice_id", role, "subtotal", "fee_percent", SIGNED, signed=(start, end)).where(
         between(F.col(SIGNED), start, end)
     )
     return (
@@ -73,9 +73,9 @@ def store_month_pivot(mk: Marketplace, fact: str, start: dt.date, end: dt.date)
 
 def all_facts(mk: Marketplace, start: dt.date, end: dt.date) -> DataFrame:
     """(position, sheet, store_id, sale_month, value): all six facts from one pass over the sales."""
-    sales = booked_sales(mk, "invoice_id", "buyer_id", "seller_id", "subtotal", "fee_percent", SIGNED).where(
-        between(F.col(SIGNED), start, end)
-    )
+    sales = booked_sales(
+        mk, "invoice_id", "buyer_id", "seller_id", "subtotal", "fee_percent", SIGNED, signed=(start, end)
+    ).where(between(F.col(SIGNED), start, end))
     legs = both_roles(with_included_items(sales, mk), "subtotal", "fee_percent", SIGNED)
     per_store = legs.groupBy("store_id", month_of(F.col(SIGNED)).alias("sale_month"), "bought").agg(
         *[_measure(m).cast(MONEY).alias(m) for m in ("revenue", "spend", "count")]

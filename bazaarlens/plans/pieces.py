@@ -33,8 +33,10 @@ from bazaarlens.operators.periods import (
     trailing_pair,
 )
 from bazaarlens.operators.retention import gmv_retention
+from bazaarlens.operators.positions import with_position
 from bazaarlens.operators.savings import savings_lenient, savings_strict
 from bazaarlens.operators.sell_through import (
+    LISTED,
     booked_sales,
     completed_sales,
     days_to_sale,
@@ -48,6 +50,8 @@ from bazaarlens.operators.spines import fill_spine, month_spine, months_covering
 from bazaarlens.plans.investor import all_sheets, store_month_fact
 from bazaarlens.plans.revenue import fee_points
 from bazaarlens.sinks.workbook import kpi_sheets, report_name_column
+from bazaarlens.operators.shares import with_total
+from bazaarlens.sources.contract import Rules, violations
 from bazaarlens.sources.marketplace import Marketplace
 
 SIGNED = "seller_signed_on"
@@ -243,3 +247,38 @@ def kpi_pair(mk: Marketplace, start: dt.date, end: dt.date) -> DataFrame:
 def report_name_of_sales(mk: Marketplace) -> DataFrame:
     span = booked_sales(mk, SIGNED).agg(F.min(SIGNED).alias("first"), F.max(SIGNED).alias("last"))
     return span.select(report_name_column("Stores_KPI_Monthly", F.col("first"), F.col("last")).alias("report"))
+
+
+#: A stricter contract than the reports need: signed and priced rows, published posts, one post per seller, buyers that sell.
+STRICT_CONTRACT = {
+    "sales": Rules(
+        "invoice_id", {"buyer_id": "posts.seller_id", "seller_id": "stores.store_id"}, ("seller_signed_on", "fee_percent"),
+        {"invoice_status": ("COMPLETED", "PENDING")}, {"fee_percent": (0, 7)},
+    ),
+    "posts": Rules("seller_id", {"ndc": "drugs.ndc_upc_hri"}, ("price",), {"status": LISTED}),
+    "stores": Rules("store_id", {"address_id": "addresses.address_id"}),
+    "addresses": Rules("address_id"),
+    "drugs": Rules("ndc_upc_hri"),
+}
+
+
+def contract_violations(mk: Marketplace) -> DataFrame:
+    """What of the sales, posts and stores breaks the stricter contract."""
+    return violations(mk, STRICT_CONTRACT, ids="string").drop("detail")
+
+
+def shares_of_month(mk: Marketplace) -> DataFrame:
+    """Each seller's share of a month's booked GMV, in percent."""
+    rows = (
+        booked_sales(mk, "seller_id", "subtotal", "seller_signed_on")
+        .groupBy("seller_id", month_of(F.col("seller_signed_on")).alias("month"))
+        .agg(F.sum("subtotal").alias("gmv"))
+    )
+    share = rounded(F.lit(100.0) * ratio_or_null(F.col("gmv"), F.col("total")), 4)
+    return with_total(rows, "gmv", ["month"]).select("seller_id", "month", "gmv", "total", share.alias("share_pct"))
+
+
+def ranked_sellers(mk: Marketplace) -> DataFrame:
+    """Sellers by booked GMV, with their place overall."""
+    rows = booked_sales(mk, "seller_id", "subtotal").groupBy("seller_id").agg(F.sum("subtotal").alias("gmv"))
+    return with_position(rows, [F.desc_nulls_last("gmv"), F.asc("seller_id")])

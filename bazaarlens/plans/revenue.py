@@ -20,6 +20,7 @@ from bazaarlens.functions.ratios import (
 from bazaarlens.operators.activity import first_activity
 from bazaarlens.operators.periods import month_and_previous, mtd_full_day
 from bazaarlens.operators.sell_through import booked_sales, completed_sales, included_per_invoice
+from bazaarlens.operators.shares import with_total
 from bazaarlens.sources.marketplace import Marketplace
 from bazaarlens.state.activity import ActivityState
 
@@ -101,8 +102,7 @@ def weighted_take_rate(mk: Marketplace, as_of: dt.date) -> DataFrame:
 def revenue_mix(mk: Marketplace, as_of: dt.date, state: ActivityState | None = None) -> DataFrame:
     """Revenue of sellers whose first completed sale is this month, and of all others.
 
-    One row of totals is turned into the two output rows, so both are always there and the
-    share needs no window over the whole result.
+    One row of totals is turned into the two output rows, so both are always there.
     """
     window = mtd_full_day(as_of).current
     earned = (
@@ -129,11 +129,11 @@ def revenue_mix(mk: Marketplace, as_of: dt.date, state: ActivityState | None = N
         F.struct(F.lit("Existing").alias("seller_type"), F.col("existing").alias("revenue")),
         F.struct(F.lit("New").alias("seller_type"), F.col("new").alias("revenue")),
     )
-    rows = totals.select(F.explode(types).alias("t"), (F.col("existing") + F.col("new")).alias("total"))
-    revenue = F.col("t.revenue")
+    rows = with_total(totals.select(F.explode(types).alias("t")).select("t.*"), "revenue")
+    revenue = F.col("revenue")
     return rows.select(
         _month_name(as_of),
-        F.col("t.seller_type").alias("seller_type"),
+        "seller_type",
         F.round(revenue, 2).cast("double").alias("revenue_mtd"),
         rounded(percent_or_null(revenue, F.col("total")), 2).cast("double").alias("pct_of_total"),
     ).orderBy(F.desc_nulls_first("revenue_mtd"))

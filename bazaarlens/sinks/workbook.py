@@ -16,6 +16,7 @@ from bazaarlens.functions.formats import grouped, grouped_by_value, is_whole
 from bazaarlens.operators.pivot import MONTH_NAMES
 from bazaarlens.plans.investor import FACTS, all_sheets
 from bazaarlens.plans.kpi import buyers_kpi, sellers_kpi
+from bazaarlens.sinks.published import ReportSet, Sheet
 from bazaarlens.sources.marketplace import Marketplace
 
 # fixed values: decimals shown per named column
@@ -89,6 +90,23 @@ def write_investor_report(
     return path
 
 
+def publish_kpi_report(mk: Marketplace, folder: str, start: dt.date, end: dt.date) -> ReportSet:
+    """Both key figure sheets as one edition; their order is the months'."""
+    months = F.to_date(F.col("Month"), "MMM yyyy")
+    published = ReportSet(mk.spark, f"{folder}/{report_name('Stores_KPI_Monthly', start, end)}")
+    published.publish({name: Sheet(frame, [months]) for name, frame in kpi_sheets(mk, start, end).items()})
+    return published
+
+
+def publish_investor_report(mk: Marketplace, folder: str, start: dt.date, end: dt.date) -> ReportSet:
+    """The six sheets as one edition, in one pass over the sales; their order is the stores'."""
+    published = ReportSet(mk.spark, f"{folder}/{report_name('Investor_Report_Monthly', start, end)}")
+    names = [sheet for sheet, _, _ in FACTS.values()]
+    rows = all_sheets(mk, start, end).drop("position")
+    published.publish_together(rows, names, "sheet", [F.asc_nulls_last("Store ID")])
+    return published
+
+
 def _is_number(kind: T.DataType) -> bool:
     return isinstance(kind, T.NumericType)
 

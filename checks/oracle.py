@@ -986,3 +986,42 @@ def buyers_by_state_spans(a: Args) -> str:
 
 
 ORACLES |= {"p47_distinct_spans": distinct_spans, "p48_buyers_by_state_spans": buyers_by_state_spans}
+
+
+def contract(a: Args) -> str:
+    def rule(relation: str, column: str, name: str, rows: str, example: str, source: str) -> str:
+        return (
+            f"SELECT '{relation}' AS relation, '{column}' AS \"column\", '{name}' AS rule, CAST({rows} AS BIGINT) AS rows, "
+            f"min(CAST({example} AS VARCHAR)) AS example FROM {source}"
+        )
+
+    nothing = "NULL"
+    checks = [
+        rule("sales", "buyer_id", "orphan", "count(*)", "buyer", "sales WHERE buyer NOT IN (SELECT seller FROM posts)"),
+        rule("sales", "seller_id", "orphan", "count(*)", "seller", "sales WHERE seller NOT IN (SELECT store_id FROM stores)"),
+        rule("sales", "seller_signed_on", "required", "count(*)", nothing, "sales WHERE signed IS NULL"),
+        rule("sales", "fee_percent", "required", "count(*)", nothing, "sales WHERE fee IS NULL"),
+        rule("sales", "fee_percent", "range", "count(*)", "fee", "sales WHERE fee NOT BETWEEN 0 AND 7"),
+        rule("sales", "invoice_status", "domain", "count(*)", "status", "sales WHERE status = 'NOT_STARTED'"),
+        rule("sales", "invoice_id", "unique", "sum(n - 1)", "invoice_id", "(SELECT invoice_id, count(*) AS n FROM sales GROUP BY 1) WHERE n > 1"),
+        rule("posts", "seller_id", "unique", "sum(n - 1)", "seller", "(SELECT seller, count(*) AS n FROM posts GROUP BY 1) WHERE n > 1"),
+        rule("posts", "price", "required", "count(*)", nothing, "posts WHERE price IS NULL"),
+        rule("posts", "status", "domain", "count(*)", "status", "posts WHERE status = 'DRAFT'"),
+    ]
+    return with_views(a, f"SELECT * FROM ({' UNION ALL '.join(checks)}) WHERE rows > 0", "sales", "posts", "stores")
+
+
+def shares(a: Args) -> str:
+    body = f"""SELECT seller AS seller_id, m AS month, {dbl("gmv")} AS gmv, {dbl("total")} AS total,
+        {dbl(rnd(f"100 * {div('gmv', 'total')}", 4))} AS share_pct
+        FROM (SELECT *, sum(gmv) OVER (PARTITION BY m) AS total FROM (SELECT seller, m, sum(subtotal) AS gmv FROM booked GROUP BY 1, 2))"""
+    return with_views(a, body, "booked")
+
+
+def ranked_sellers(a: Args) -> str:
+    body = f"""SELECT row_number() OVER (ORDER BY gmv DESC, seller) AS position, seller AS seller_id, {dbl("gmv")} AS gmv
+        FROM (SELECT seller, sum(subtotal) AS gmv FROM booked GROUP BY 1)"""
+    return with_views(a, body, "booked")
+
+
+ORACLES |= {"p01_contract": contract, "p60_share_of_month": shares, "p62_ranked_sellers": ranked_sellers}
