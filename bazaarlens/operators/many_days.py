@@ -98,9 +98,12 @@ def side_by_side(figures: DataFrame, *names: str) -> DataFrame:
 
 def running_counts(changes: DataFrame, spark: SparkSession, first: int, last: int, *names: str) -> DataFrame:
     """(day, names): for every day number from first to last how many intervals of each name hold it. `changes` has
-    (name, day, n): n comes on that day, or goes if negative. One task sums a row per day."""
-    days = spark.range(first, last + 1).select(F.col("id").cast("int").alias("day"))
-    by_day = changes.groupBy("day").agg(*[F.sum(F.when(F.col("name") == n, F.col("n"))).alias(n) for n in names])
-    upto = Window.orderBy("day")
-    filled = days.join(F.broadcast(by_day), "day", "left").fillna(0, list(names))
-    return filled.select("day", *[F.sum(n).over(upto).alias(n) for n in names])
+    (name, day, n): n comes on that day, or goes if negative. A task sums a name, a row per day."""
+    kinds = F.explode(F.array(*[F.lit(n) for n in names])).alias("name")
+    days = spark.range(first, last + 1).select(F.col("id").cast("int").alias("day"), kinds)
+    by_day = changes.groupBy("name", "day").agg(F.sum("n").alias("n"))
+    upto = Window.partitionBy("name").orderBy("day")
+    # A row per day and name.
+    filled = days.join(F.broadcast(by_day), ["name", "day"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    counts = filled.withColumn("n", F.sum("n").over(upto))
+    return counts.groupBy("day").agg(*[F.max(F.when(F.col("name") == n, F.col("n"))).alias(n) for n in names])

@@ -3,7 +3,8 @@
 The reports see every listing once per sale, and an unsold listing once with empty sale columns.
 Written as one outer join, the sales side of a hot listing could not be split. Instead the sold
 lines come from an inner join (which can be split), and the unsold listings are counted as all
-listings less the distinct sold ones. This needs `post_id` to be the key of posts.
+listing rows less the sold ones. Keys may repeat: a listing row knows its own number, and joins that
+would multiply rows carry the number of copies as a weight instead.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from bazaarlens.sources.marketplace import Marketplace, Span
 # fixed values: invoice statuses that count as sold, listing statuses that were ever published
 BOOKED = ("COMPLETED", "PENDING")
 LISTED = ("ACTIVE", "SOLDOUT", "RESERVED", "DEACTIVATED", "EXPIRED")
+#: What sell_through adds up.
+PARTS = ("made", "sold", "days", "days_known", "revenue", "revenue_known", "subtotal", "subtotal_known")
 
 
 def booked_sales(mk: Marketplace, *columns: str, signed: Span = (None, None)) -> DataFrame:
@@ -76,6 +79,38 @@ def store_states(mk: Marketplace, store: str, state: str) -> DataFrame:
     )
 
 
+def weighted_states(mk: Marketplace, store: str, state: str, *more: str, how: str = "inner") -> DataFrame:
+    """(store, state, more columns of stores, copies): each combination once, with the number of rows that joining
+    stores and addresses gives it. With how="left" stores without an address have a NULL state."""
+    addresses = mk.table("addresses", "address_id", "state")
+    joined = mk.table("stores", "store_id", "address_id", *more).join(addresses, "address_id", how)
+    named = joined.select(F.col("store_id").alias(store), F.col("state").alias(state), *more)
+    return named.where(F.col(store).isNotNull()).groupBy(*named.columns).agg(F.count(F.lit(1)).alias("copies"))
+
+
+def weighted_drugs(mk: Marketplace, *columns: str) -> DataFrame:
+    """(ndc, columns, copies): each product with these columns once, with the number of its rows."""
+    drugs = mk.table("drugs", "ndc_upc_hri", *columns).withColumnRenamed("ndc_upc_hri", "ndc")
+    return drugs.where("ndc IS NOT NULL").groupBy(*drugs.columns).agg(F.count(F.lit(1)).alias("copies"))
+
+
+def times(parts: DataFrame, measures: Sequence[str], weight: str = "copies") -> DataFrame:
+    """The parts with these measures as often as the weight says."""
+    scaled = {m: (F.col(m) * F.col(weight)).alias(m) for m in measures}
+    return parts.select(*[scaled.get(c, F.col(f"`{c}`")) for c in parts.columns if c != weight])
+
+
+def numbered(posts: DataFrame) -> DataFrame:
+    """Rows with a number of their own, `post_row`: rows that repeat a post_id stay apart from each other."""
+    return posts.withColumn("post_row", F.monotonically_increasing_id())
+
+
+def with_all_of(rows: DataFrame, *columns: str) -> DataFrame:
+    """The rows, all of them, for a reader that needs fewer columns than another one of the same rows: asking for the
+    same gives both the same shuffles, so Spark runs those once and reuses them."""
+    return rows.where(F.xxhash64(*columns) >= F.lit(-(2**63)))
+
+
 def days_to_sale(signed: str = "seller_signed_on", created: str = "created_at") -> Column:
     return whole_days(F.col(signed), F.col(created))
 
@@ -86,18 +121,22 @@ def sell_through(
     post_keys: Sequence[str],
     sale_keys: Sequence[str] = (),
     of_posts: Sequence[Column] = (),
+    weight: str | None = None,
 ) -> DataFrame:
     """Mergeable sell-through parts per group.
 
-    posts: post_id, created_at and the post_keys; sold: post_id, seller_signed_on, subtotal and the
-    sale_keys. Unsold posts fall in the group whose sale_keys are all NULL. Output: the keys, made,
-    sold, days, days_known, revenue, revenue_known (signed lines only), subtotal, subtotal_known
+    posts: post_id, created_at, the post_keys and, where rows count more than once, their weight; sold: post_id,
+    seller_signed_on, subtotal and the sale_keys. Unsold posts fall in the group whose sale_keys are all NULL. Output:
+    the keys, made, sold, days, days_known, revenue, revenue_known (signed lines only), subtotal, subtotal_known
     (all lines), and the of_posts aggregates over all posts of the group.
     """
     keys = [*post_keys, *sale_keys]
+    own = [weight] if weight else []
+    times_weight = F.col(weight) if weight else F.lit(1)
     signed = F.col("seller_signed_on").isNotNull()
-    lines = posts.join(sold, "post_id").withColumn("days", days_to_sale())
-    per_post = lines.groupBy("post_id", *keys).agg(
+    lines = numbered(posts).join(sold, "post_id").withColumn("days", days_to_sale())
+    # Grouped by the key of the join first, so that nothing moves again.
+    per_post = lines.groupBy("post_id", "post_row", *own, *keys).agg(
         F.count(F.lit(1)).alias("made"),
         F.count("seller_signed_on").alias("sold"),
         F.sum("days").alias("days"),
@@ -107,26 +146,24 @@ def sell_through(
         F.sum("subtotal").alias("subtotal"),
         F.count("subtotal").alias("subtotal_known"),
     )
-    measures = [c for c in per_post.columns if c != "post_id" and c not in keys]
-    traded = per_post.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
-    # Sold posts come off the listings counted below. A post sold into several sale_keys groups is still one.
-    sold_posts = per_post.select("post_id", *post_keys).distinct() if sale_keys else per_post
-    sold_off = sold_posts.groupBy(*post_keys).agg((-F.count(F.lit(1))).alias("made"))
-    listings = posts.groupBy(*post_keys).agg(F.count(F.lit(1)).alias("made"), *of_posts)
+    # Sold rows come off the listings counted below. A post sold into several sale_keys groups is still one.
+    sums = {m: F.col(m) * times_weight for m in PARTS}
+    if not sale_keys:
+        sums["made"] = (F.col("made") - 1) * times_weight
+    parts = [per_post.groupBy(*keys).agg(*[F.sum(v).alias(m) for m, v in sums.items()])]
+    if sale_keys:
+        sold_rows = with_all_of(per_post, *PARTS).select("post_id", "post_row", *own, *post_keys).distinct()
+        parts.append(sold_rows.groupBy(*post_keys).agg((-F.sum(times_weight)).alias("made")))
+    listings = posts.groupBy(*post_keys).agg(F.sum(times_weight).alias("made"), *of_posts)
     extra = [c for c in listings.columns if c not in keys and c != "made"]
-    merged = (
-        traded.unionByName(sold_off, allowMissingColumns=True)
-        .unionByName(listings, allowMissingColumns=True)
-        .groupBy(*keys)
-    )
-    return merged.agg(
-        *[filled(F.sum(m)).alias(m) for m in measures], *[F.max(c).alias(c) for c in extra]
+    merged = parts[0]
+    for more in (*parts[1:], listings):
+        merged = merged.unionByName(more, allowMissingColumns=True)
+    return merged.groupBy(*keys).agg(
+        *[filled(F.sum(m)).alias(m) for m in PARTS], *[F.max(c).alias(c) for c in extra]
     ).where(F.col("made") > 0)
 
 
-PARTS = ("made", "sold", "days", "days_known", "revenue", "revenue_known", "subtotal", "subtotal_known")
-
-
 def regroup(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add the parts of sell_through up to coarser keys."""
     return parts.groupBy(*keys).agg(*[F.sum(p).alias(p) for p in PARTS])

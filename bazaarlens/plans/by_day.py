@@ -200,8 +200,7 @@ def churn(mk: Marketplace, start: dt.date, end: dt.date, window_days: int) -> Da
         parts.append(span(rate, F.greatest(a, after + 1), F.least(b, upto), F.col("base") == base))
     changes = known.select(F.explode(F.flatten(F.array_compact(F.array(*parts)))).alias("c")).select("c.*")
     names = {n: f"c{i}" for i, n in enumerate([*ROLES, *RATES])}
-    renamed = changes.replace(names, subset="name").groupBy("name", "day").agg(F.sum("n").alias("n"))
-    counts = running_counts(renamed, mk.spark, first, last, *names.values())
+    counts = running_counts(changes.replace(names, subset="name"), mk.spark, first, last, *names.values())
     return counts.select(
         F.date_from_unix_date(F.col("day") + (window_days - 1)).alias("as_of"),
         *[

@@ -19,11 +19,13 @@ SIGNED = "seller_signed_on"
 
 
 def _range_sales(mk: Marketplace, start: dt.date, end: dt.date, *columns: str) -> DataFrame:
-    """The sale rows of the range; `copies` is the number of them that the invoice has."""
+    """The different sale rows of the range, how often each is there (`rows`), and how many rows their invoice has
+    (`copies`). The invoice's number is added up over its different rows, nearly always one, not over the sales."""
     sales = booked_sales(mk, "invoice_id", SIGNED, *columns, signed=(start, end))
     sales = sales.where(between(F.col(SIGNED), start, end) & F.col("invoice_id").isNotNull())
-    rows = sales.select("invoice_id", *columns, month_of(F.col(SIGNED)).alias("month"))
-    return rows.withColumn("copies", F.count(F.lit(1)).over(Window.partitionBy("invoice_id")))
+    row = sales.select("invoice_id", *columns, month_of(F.col(SIGNED)).alias("month"))
+    rows = row.groupBy(*row.columns).agg(F.count(F.lit(1)).alias("rows"))
+    return rows.withColumn("copies", F.sum("rows").over(Window.partitionBy("invoice_id")))
 
 
 def _monthly(per_store: DataFrame, store: str, *sums: str) -> DataFrame:
@@ -46,7 +48,7 @@ def buyer_lines(mk: Marketplace, start: dt.date, end: dt.date) -> DataFrame:
     saving = savings_lenient(F.col("partial_quantity"), F.col("unit_price"), F.col("package_price"), F.col("price"))
     priced = posts.join(drugs, "ndc", "left").select("post_id", F.lit(1).alias("matched"), saving.alias("saving"))
     row = ["invoice_id", "buyer_id", "month", "subtotal", "copies"]
-    sales = _range_sales(mk, start, end, "buyer_id", "subtotal").groupBy(*row).agg(F.count(F.lit(1)).alias("rows"))
+    sales = _range_sales(mk, start, end, "buyer_id", "subtotal")
     weight = F.col("rows") * F.col("copies")
     return (
         sales.join(included_items(mk, "invoice_id", "post_id"), "invoice_id")
@@ -91,10 +93,10 @@ def sellers_kpi(mk: Marketplace, start: dt.date, end: dt.date) -> DataFrame:
         sales.join(included_per_invoice(mk), "invoice_id")
         .groupBy("seller_id", "month")
         .agg(
-            F.sum("subtotal").alias("gmv"),
-            F.count("invoice_id").alias("transactions"),
-            F.sum(F.col("items") * F.col("copies")).alias("units"),
-            F.sum(F.col("subtotal") * fee).alias("points"),
+            F.sum(F.col("subtotal") * F.col("rows")).alias("gmv"),
+            F.sum("rows").alias("transactions"),
+            F.sum(F.col("items") * F.col("copies") * F.col("rows")).alias("units"),
+            F.sum(F.col("subtotal") * fee * F.col("rows")).alias("points"),
         )
     )
     rows = _monthly(per_seller, "seller_id", "units", "points")

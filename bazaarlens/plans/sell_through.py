@@ -19,14 +19,20 @@ from bazaarlens.functions.ratios import (
 )
 from bazaarlens.operators.savings import savings_strict
 from bazaarlens.operators.sell_through import (
+    PARTS,
     booked_sales,
     included_items,
     listed_posts,
+    numbered,
     regroup,
     sell_through,
     sell_through_rates,
     sold_items,
     store_states,
+    times,
+    weighted_drugs,
+    weighted_states,
+    with_all_of,
 )
 from bazaarlens.sources.marketplace import Marketplace
 
@@ -39,47 +45,68 @@ def benchmark_markets(
     """State and product markets that sell well. Total Posts counts a listing once per sale."""
     market = ["seller_state", "drug_group", "ndc"]
     listed = listed_posts(mk, start, end, "ndc", "seller_id").drop("created_at")
-    states = store_states(mk, "seller_id", "seller_state")
-    groups = mk.table("drugs", "ndc_upc_hri", "drug_group").withColumnRenamed("ndc_upc_hri", "ndc")
+    states = weighted_states(mk, "seller_id", "seller_state")
+    groups = weighted_drugs(mk, "drug_group").withColumnRenamed("copies", "drug_copies")
 
     def in_market(rows: DataFrame) -> DataFrame:
-        return rows.join(states, "seller_id").join(groups, "ndc")
+        """The rows in each market, and how often the joins would give them (`copies`)."""
+        joined = rows.join(states, "seller_id").join(groups, "ndc")
+        return joined.withColumn("copies", F.col("copies") * F.col("drug_copies")).drop("drug_copies")
 
-    # Lines are counted per post and buyer before any attribute joins; then distinct posts and buyers are rows.
-    lines = listed.join(sold_items(mk, "buyer_id"), "post_id")
-    lines = lines.groupBy("post_id", "seller_id", "ndc", "buyer_id").agg(F.count(F.lit(1)).alias("lines"))
-    per_post = lines.groupBy("post_id", "seller_id", "ndc").agg(F.sum("lines").alias("lines"))
+    # Lines are counted per listing and buyer before any attribute joins; then listings and buyers are rows.
+    lines = numbered(listed).join(sold_items(mk, "buyer_id"), "post_id")
+    owner = ["seller_id", "ndc"]
+    lines = lines.groupBy("post_id", "post_row", *owner, "buyer_id").agg(F.count(F.lit(1)).alias("lines"))
+    # A buyer with several addresses has its lines once for each; one without has them once.
+    bought = lines.groupBy(*owner, "buyer_id").agg(F.sum("lines").alias("lines"))
+    met = bought.join(weighted_states(mk, "buyer_id", "buyer_state"), "buyer_id", "left")
+    met = met.withColumn("lines", F.col("lines") * F.coalesce("copies", F.lit(1))).drop("copies")
     traded = (
-        in_market(
-            per_post.groupBy("seller_id", "ndc").agg(F.sum("lines").alias("lines"), F.count(F.lit(1)).alias("sold"))
-        )
+        times(in_market(met.groupBy(*owner).agg(F.sum("lines").alias("lines"))), ["lines"])
+        .groupBy(*market)
+        .agg(F.sum("lines").alias("lines"))
+    )
+    # Different posts are counted by who lists them: posts with the same sellers and products, nearly always one,
+    # are a number, which counts once in each market of theirs.
+    rows = with_all_of(lines, "buyer_id", "lines").select("post_id", "post_row", *owner).distinct()
+    owners = rows.groupBy("post_id").agg(F.sort_array(F.collect_set(F.struct(*owner))).alias("owners"))
+    owners = owners.groupBy("owners").agg(F.count(F.lit(1)).alias("sold"))
+    sold = (
+        in_market(owners.select("owners", "sold", F.explode("owners").alias("o")).select("owners", "sold", "o.*"))
+        .select("owners", "sold", *market)
+        .distinct()
         .groupBy(*market)
-        .agg(F.sum("lines").alias("lines"), F.sum("sold").alias("sold"))
+        .agg(F.sum("sold").alias("sold"))
     )
-    pairs = lines.where(F.col("buyer_id").isNotNull()).select("seller_id", "ndc", "buyer_id").distinct()
-    same_state = F.col("buyer_state") == F.col("seller_state")
     buyers = (
-        in_market(pairs.join(store_states(mk, "buyer_id", "buyer_state"), "buyer_id"))
-        .where(same_state)
+        in_market(met.where(F.col("buyer_state").isNotNull()).select(*owner, "buyer_id", "buyer_state"))
+        .where(F.col("buyer_state") == F.col("seller_state"))
         .select(*market, "buyer_id")
         .distinct()
         .groupBy(*market)
         .agg(F.count(F.lit(1)).alias("buyers"))
     )
     # One row per seller and product before the joins; its rows are the distinct sellers.
+    unsold = (
+        listed.groupBy(*owner).agg(F.count(F.lit(1)).alias("unsold"))
+        .unionByName(rows.groupBy(*owner).agg((-F.count(F.lit(1))).alias("unsold")))
+        .groupBy(*owner)
+        .agg(F.sum("unsold").alias("unsold"))
+    )
     listings = (
-        in_market(listed.groupBy("seller_id", "ndc").agg(F.count(F.lit(1)).alias("posts")))
+        times(in_market(unsold), ["unsold"])
         .groupBy(*market)
-        .agg(F.sum("posts").alias("posts"), F.count("seller_id").alias("sellers"))
+        .agg(F.sum("unsold").alias("unsold"), F.count("seller_id").alias("sellers"))
     )
     # Adding up two partial frames instead of joining them keeps groups with a NULL key.
-    parts = ("lines", "sold", "buyers", "posts", "sellers")
+    parts = ("lines", "sold", "buyers", "unsold", "sellers")
     merged = (
-        traded.unionByName(buyers, allowMissingColumns=True)
+        traded.unionByName(sold, allowMissingColumns=True)
+        .unionByName(buyers, allowMissingColumns=True)
         .unionByName(listings, allowMissingColumns=True)
         .groupBy(*market)
         .agg(*[F.coalesce(F.sum(p), F.lit(0)).alias(p) for p in parts])
-        .withColumn("total", F.col("lines") + F.col("posts") - F.col("sold"))
+        .withColumn("total", F.col("lines") + F.col("unsold"))
     )
     rate = ratio_or_null(F.col("sold"), F.col("total"))
     return (
@@ -107,7 +134,7 @@ def _by_state(lines: DataFrame, mk: Marketplace, store: str, names: tuple[str, s
         F.count(F.lit(1)).alias("lines"), F.sum("subtotal").alias("subtotal")
     )
     return (
-        per_store.join(store_states(mk, store, "state"), store)
+        times(per_store.join(weighted_states(mk, store, "state"), store), ["lines", "subtotal"])
         .groupBy(F.col("state").alias(state))
         .agg(
             F.sum("lines").alias(count),
@@ -161,15 +188,12 @@ def buyer_stores(mk: Marketplace, start: dt.date, end: dt.date, min_sales: int)
             F.min("bought_on").alias("first_purchase"),
             F.max("bought_on").alias("last_purchase"),
         )
-        .where(F.col("posts_bought") >= min_sales)
-    )
-    stores = mk.table("stores", "store_id", "doing_business_as", "address_id").withColumnRenamed(
-        "store_id", "buyer_id"
     )
+    stores = weighted_states(mk, "buyer_id", "state", "doing_business_as", how="left")
+    met = times(buyers.join(stores, "buyer_id"), ["posts_bought", "saved", "savings"])
     monthly = ratio_or_null(F.col("saved"), span_months(F.col("first_purchase"), F.col("last_purchase")))
     return (
-        buyers.join(stores, "buyer_id")
-        .join(mk.table("addresses", "address_id", "state"), "address_id", "left")
+        met.where(F.col("posts_bought") >= min_sales)
         .orderBy(F.desc_nulls_first("saved"), "buyer_id")
         .select(
             F.col("buyer_id").alias("Buyer ID"),
@@ -187,15 +211,12 @@ def buyer_stores(mk: Marketplace, start: dt.date, end: dt.date, min_sales: int)
 
 def drug_analysis(mk: Marketplace, start: dt.date, end: dt.date, min_sales: int) -> DataFrame:
     """Sell-through per product. Product texts join after the aggregation, one row per product."""
-    groups = sell_through(
-        listed_posts(mk, start, end, "ndc"), sold_items(mk, SIGNED, "subtotal"), ["ndc"]
-    ).where(F.col("sold") >= min_sales)
-    drugs = mk.table("drugs", "ndc_upc_hri", "drug_group", "display_name", "display_packaging").withColumnRenamed(
-        "ndc_upc_hri", "ndc"
-    )
+    groups = sell_through(listed_posts(mk, start, end, "ndc"), sold_items(mk, SIGNED, "subtotal"), ["ndc"])
+    drugs = weighted_drugs(mk, "drug_group", "drug_name", "display_name", "display_packaging")
     rates = sell_through_rates()
     return (
-        groups.join(drugs, "ndc")
+        times(groups.join(drugs, "ndc"), PARTS)
+        .where(F.col("sold") >= min_sales)
         .select(
             F.col("drug_group").alias("Drug Category"),
             F.col("ndc").alias("NDC"),
@@ -211,22 +232,21 @@ def drug_analysis(mk: Marketplace, start: dt.date, end: dt.date, min_sales: int)
 
 def seller_stores(mk: Marketplace, start: dt.date, end: dt.date, min_sales: int) -> DataFrame:
     """Sell-through per seller. The monthly figure spreads the rounded revenue over the posts' span."""
-    known = mk.table("drugs", "ndc_upc_hri").select(F.col("ndc_upc_hri").alias("ndc"))
-    posts = listed_posts(mk, start, end, "ndc", "seller_id").join(known, "ndc", "left_semi").drop("ndc")
+    known = weighted_drugs(mk).withColumnRenamed("copies", "drug_copies")
+    posts = listed_posts(mk, start, end, "ndc", "seller_id").join(known, "ndc").drop("ndc")
     groups = sell_through(
         posts,
         sold_items(mk, SIGNED, "subtotal"),
         ["seller_id"],
         of_posts=[F.min("created_at").alias("first_post"), F.max("created_at").alias("last_post")],
-    ).where(F.col("sold") >= min_sales)
-    stores = mk.table("stores", "store_id", "doing_business_as", "address_id").withColumnRenamed(
-        "store_id", "seller_id"
+        weight="drug_copies",
     )
+    stores = weighted_states(mk, "seller_id", "state", "doing_business_as")
     total = F.round("subtotal", 2)
     monthly = ratio_or_null(total, span_months(F.col("first_post"), F.col("last_post")))
     return (
-        groups.join(stores, "seller_id")
-        .join(mk.table("addresses", "address_id", "state"), "address_id")
+        times(groups.join(stores, "seller_id"), PARTS)
+        .where(F.col("sold") >= min_sales)
         .select(
             F.col("seller_id").alias("Seller ID"),
             F.col("doing_business_as").alias("Store Name"),

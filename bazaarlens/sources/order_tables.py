@@ -136,7 +136,10 @@ class _OrderTables:
         return items.drop("l_orderkey")
 
     def posts(self, asked: Wanted) -> DataFrame:
-        lines = self._read("lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice")
+        # Joins on the product or seller would ask for the keys anyway; said here, all readers share the scan.
+        lines = self._read("lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice").where(
+            F.col("l_partkey").isNotNull() & F.col("l_suppkey").isNotNull()
+        )
         found = [F.min(_hundredths("l_extendedprice")).alias("lowest")]
         if "created_at" in asked:
             orders = self._read("orders", "o_orderkey", "o_orderdate").withColumnRenamed("o_orderkey", "l_orderkey")
