@@ -20,6 +20,15 @@ def timestamp(value: dt.date | dt.datetime) -> Column:
     return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
+def border(day: dt.date, zone: str = "UTC") -> dt.date | dt.datetime:
+    """The moment, in UTC, at which a day begins in a zone (after the gap where a clock change skips midnight); the day
+    itself for UTC."""
+    if zone == "UTC":
+        return day
+    local = dt.datetime.combine(day, dt.time(), ZoneInfo(zone))
+    return local.astimezone(dt.timezone.utc).replace(tzinfo=None)
+
+
 def date(value: dt.date) -> Column:
     return F.lit(value.isoformat()).cast("date")
 
@@ -83,7 +92,8 @@ def today(zone: str) -> dt.date:
 
 
 def as_of_today(zone: str = "UTC") -> Callable:
-    """For plans (marketplace, as_of, ...): without a day they are about today, in the zone given or this one."""
+    """For plans (marketplace, as_of, ...): without a day they are about today, in the zone given or this one. Their
+    `borders` name the zone in which days and months begin for the rows, whose times are in UTC."""
 
     def decorate(plan: Callable) -> Callable:
         @functools.wraps(plan)

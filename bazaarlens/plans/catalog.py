@@ -44,6 +44,7 @@ class ReportArgs:
     sub_end: dt.date = dt.date(1996, 12, 31)
     days_start: dt.date = dt.date(1998, 2, 20)
     days_end: dt.date = dt.date(1998, 4, 2)
+    zone: str = "America/Los_Angeles"
 
 
 Plan = Callable[[Marketplace, ReportArgs], DataFrame]
@@ -119,6 +120,9 @@ PLANS: dict[str, Plan] = {
     "r36_ir_seller_txn": _fact("seller_txn"),
     "r37_ir_rev_by_buyer": _fact("rev_by_buyer"),
     "r38_ir_rev_by_seller": _fact("rev_by_seller"),
+    # With months and days of a zone.
+    "r01_admin_metrics_local": lambda mk, a: overview.admin_metrics(mk, a.as_of, borders=a.zone),
+    "r08_mtd_active_stores_local": lambda mk, a: snapshot.mtd_active_stores(mk, a.as_of, borders=a.zone),
     "p01_contract": _whole(pieces.contract_violations),
     "p60_share_of_month": _whole(pieces.shares_of_month),
     "p62_ranked_sellers": _whole(pieces.ranked_sellers),

@@ -15,8 +15,8 @@ from bazaarlens.operators.sell_through import completed_sales
 from bazaarlens.sources.marketplace import Marketplace
 
 
-def store_churn_flags(mk: Marketplace, as_of: dt.date, window_days: int) -> DataFrame:
-    pair = trailing_pair(as_of, window_days)
+def store_churn_flags(mk: Marketplace, as_of: dt.date, window_days: int, borders: str = "UTC") -> DataFrame:
+    pair = trailing_pair(as_of, window_days, borders)
     sales = completed_sales(
         mk, "invoice_id", "buyer_id", "seller_id", "seller_signed_on", signed=pair.span
     ).where(pair.either(F.col("seller_signed_on")))
@@ -25,10 +25,10 @@ def store_churn_flags(mk: Marketplace, as_of: dt.date, window_days: int) -> Data
 
 
 @as_of_today()
-def churn_rates(mk: Marketplace, as_of: dt.date, window_days: int) -> DataFrame:
+def churn_rates(mk: Marketplace, as_of: dt.date, window_days: int, borders: str = "UTC") -> DataFrame:
     """Six percentages in one row. A store without any activity is in no base, so an inner join
     with the store list is enough."""
-    flags = mk.table("stores", "store_id").join(store_churn_flags(mk, as_of, window_days), "store_id")
+    flags = mk.table("stores", "store_id").join(store_churn_flags(mk, as_of, window_days, borders), "store_id")
     bought, sold, posted = F.col("past_purchase"), F.col("past_sale"), F.col("past_post")
     purchases, sales, posts = F.col("purchases"), F.col("sales"), F.col("posts")
     anything, seller_side = bought | sold | posted, sold | posted

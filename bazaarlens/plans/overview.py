@@ -15,12 +15,15 @@ from bazaarlens.sources.marketplace import Marketplace
 
 
 @as_of_today("America/Los_Angeles")
-def admin_metrics(mk: Marketplace, as_of: dt.date, staff_domain: str = "@staff.example") -> DataFrame:
+def admin_metrics(
+    mk: Marketplace, as_of: dt.date, staff_domain: str = "@staff.example", borders: str = "UTC"
+) -> DataFrame:
     """Seven unrelated numbers in one row, all by creation time.
 
-    as_of is the local day of the reader (without one: today in `zone`); staff_domain ends the mail addresses left out.
+    as_of is the local day of the reader (without one: today in `zone`), `borders` the zone whose months count; staff_domain
+    ends the mail addresses left out.
     """
-    pair = month_and_previous(as_of)
+    pair = month_and_previous(as_of, borders)
     created = F.col("created_at")
     now, before = pair.current.holds(created), pair.previous.holds(created)
     booked = F.col("invoice_status").isin(*BOOKED)
@@ -38,7 +41,7 @@ def admin_metrics(mk: Marketplace, as_of: dt.date, staff_domain: str = "@staff.e
         )
     )
     carts = mk.table("carts", "subtotal").agg(filled(F.sum("subtotal")).alias("pending_carts"))
-    signed_in = calendar_month(as_of).holds(F.col("last_sign_in_at"))
+    signed_in = calendar_month(as_of, zone=borders).holds(F.col("last_sign_in_at"))
     users = (
         mk.table("users", "id", "email", "last_sign_in_at")
         .where(signed_in & ~F.col("email").ilike(f"%{staff_domain}"))

@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.functions.dates import as_of_today, date, first_of_month, month_of, timestamp
+from bazaarlens.functions.dates import as_of_today, date, first_of_month, timestamp
 from bazaarlens.functions.formats import padded_month_name
 from bazaarlens.functions.ratios import (
     filled,
@@ -18,7 +18,7 @@ from bazaarlens.functions.ratios import (
     rounded,
 )
 from bazaarlens.operators.activity import first_activity
-from bazaarlens.operators.periods import month_and_previous, mtd_full_day
+from bazaarlens.operators.periods import Period, month_and_previous, mtd_full_day
 from bazaarlens.operators.sell_through import booked_sales, completed_sales, included_per_invoice
 from bazaarlens.operators.shares import with_total
 from bazaarlens.sources.marketplace import Marketplace
@@ -31,17 +31,9 @@ def _month_name(as_of: dt.date) -> Column:
     return padded_month_name(date(first_of_month(as_of))).alias("month_name")
 
 
-def _this_month(sales: DataFrame, as_of: dt.date) -> DataFrame:
-    return sales.where(mtd_full_day(as_of).current.holds(F.col(SIGNED)))
-
-
-def _span(as_of: dt.date) -> tuple[dt.date, dt.date | None]:
-    return mtd_full_day(as_of).current.span
-
-
-def _of_status(mk: Marketplace, status: str, as_of: dt.date, *columns: str) -> DataFrame:
-    rows = mk.table("sales", "invoice_status", SIGNED, *columns, statuses=(status,), signed=_span(as_of))
-    return _this_month(rows.where(F.col("invoice_status") == status), as_of)
+def _of_status(mk: Marketplace, status: str, month: Period, *columns: str) -> DataFrame:
+    rows = mk.table("sales", "invoice_status", SIGNED, *columns, statuses=(status,), signed=month.span)
+    return rows.where((F.col("invoice_status") == status) & month.holds(F.col(SIGNED)))
 
 
 def money_or_zero(name: str) -> Column:
@@ -55,40 +47,44 @@ def fee_points(weight: Column | None = None) -> Column:
     return points if weight is None else points * weight
 
 
-def _gmv(mk: Marketplace, status: str, as_of: dt.date, name: str) -> DataFrame:
+def _gmv(mk: Marketplace, status: str, as_of: dt.date, name: str, borders: str) -> DataFrame:
     total = F.round(F.sum(money_or_zero("subtotal")), 2).cast("double").alias(name)
-    return _of_status(mk, status, as_of, "subtotal").agg(total).select(_month_name(as_of), name)
+    month = mtd_full_day(as_of, borders).current
+    return _of_status(mk, status, month, "subtotal").agg(total).select(_month_name(as_of), name)
 
 
-def _revenue(mk: Marketplace, status: str, as_of: dt.date, name: str) -> DataFrame:
+def _revenue(mk: Marketplace, status: str, as_of: dt.date, name: str, borders: str) -> DataFrame:
     total = F.round(hundredth(F.sum(fee_points())), 2).cast("double").alias(name)
-    return _of_status(mk, status, as_of, "subtotal", "fee_percent").agg(total).select(_month_name(as_of), name)
+    month = mtd_full_day(as_of, borders).current
+    return _of_status(mk, status, month, "subtotal", "fee_percent").agg(total).select(_month_name(as_of), name)
 
 
 @as_of_today()
-def completed_gmv(mk: Marketplace, as_of: dt.date) -> DataFrame:
-    return _gmv(mk, "COMPLETED", as_of, "gmv_mtd")
+def completed_gmv(mk: Marketplace, as_of: dt.date, borders: str = "UTC") -> DataFrame:
+    return _gmv(mk, "COMPLETED", as_of, "gmv_mtd", borders)
 
 
 @as_of_today()
-def completed_revenue(mk: Marketplace, as_of: dt.date) -> DataFrame:
-    return _revenue(mk, "COMPLETED", as_of, "total_platform_revenue_mtd")
+def completed_revenue(mk: Marketplace, as_of: dt.date, borders: str = "UTC") -> DataFrame:
+    return _revenue(mk, "COMPLETED", as_of, "total_platform_revenue_mtd", borders)
 
 
 @as_of_today()
-def pending_gmv(mk: Marketplace, as_of: dt.date) -> DataFrame:
-    return _gmv(mk, "PENDING", as_of, "total_pending_amount")
+def pending_gmv(mk: Marketplace, as_of: dt.date, borders: str = "UTC") -> DataFrame:
+    return _gmv(mk, "PENDING", as_of, "total_pending_amount", borders)
 
 
 @as_of_today()
-def pending_revenue(mk: Marketplace, as_of: dt.date) -> DataFrame:
-    return _revenue(mk, "PENDING", as_of, "total_platform_revenue_pending")
+def pending_revenue(mk: Marketplace, as_of: dt.date, borders: str = "UTC") -> DataFrame:
+    return _revenue(mk, "PENDING", as_of, "total_platform_revenue_pending", borders)
 
 
 @as_of_today()
-def weighted_take_rate(mk: Marketplace, as_of: dt.date) -> DataFrame:
+def weighted_take_rate(mk: Marketplace, as_of: dt.date, borders: str = "UTC") -> DataFrame:
     """Revenue over GMV, each invoice weighted by its number of included items."""
-    sales = _this_month(booked_sales(mk, "invoice_id", "subtotal", "fee_percent", SIGNED, signed=_span(as_of)), as_of)
+    month = mtd_full_day(as_of, borders).current
+    sales = booked_sales(mk, "invoice_id", "subtotal", "fee_percent", SIGNED, signed=month.span)
+    sales = sales.where(month.holds(F.col(SIGNED)))
     items = F.col("items")
     totals = sales.join(included_per_invoice(mk), "invoice_id").agg(
         hundredth(F.sum(fee_points(items))).alias("revenue"),
@@ -99,28 +95,32 @@ def weighted_take_rate(mk: Marketplace, as_of: dt.date) -> DataFrame:
 
 
 @as_of_today()
-def revenue_mix(mk: Marketplace, as_of: dt.date, state: ActivityState | None = None) -> DataFrame:
+def revenue_mix(
+    mk: Marketplace, as_of: dt.date, state: ActivityState | None = None, borders: str = "UTC"
+) -> DataFrame:
     """Revenue of sellers whose first completed sale is this month, and of all others.
 
     One row of totals is turned into the two output rows, so both are always there.
     """
-    window = mtd_full_day(as_of).current
+    window = mtd_full_day(as_of, borders).current
+    start, end = window.span
+    sold = completed_sales(mk, "invoice_id", "seller_id", "subtotal", "fee_percent", SIGNED, signed=window.span)
     earned = (
-        _this_month(
-            completed_sales(mk, "invoice_id", "seller_id", "subtotal", "fee_percent", SIGNED, signed=window.span), as_of
-        )
+        sold.where(window.holds(F.col(SIGNED)))
         .join(included_per_invoice(mk), "invoice_id")
         .groupBy("seller_id")
         .agg(F.sum(fee_points(F.col("items"))).alias("points"))
     )
     # Sales after the period cannot be the first sale of a seller that sold in it.
     if state is not None:
-        firsts = state.first_completed_sales(window.end)
+        if borders != "UTC":
+            raise ValueError("the state is kept by UTC months")
+        firsts = state.first_completed_sales(end)
     else:
-        history = completed_sales(mk, "seller_id", SIGNED, signed=(None, window.end))
-        history = history.where((F.col(SIGNED) < timestamp(window.end)) & F.col("seller_id").isNotNull())
+        history = completed_sales(mk, "seller_id", SIGNED, signed=(None, end))
+        history = history.where((F.col(SIGNED) < timestamp(end)) & F.col("seller_id").isNotNull())
         firsts = first_activity(history, "seller_id", SIGNED)
-    new = F.coalesce(month_of(F.col("first")) == date(window.start), F.lit(False))
+    new = F.coalesce(F.col("first") >= timestamp(start), F.lit(False))
     totals = earned.join(firsts, "seller_id", "left").agg(
         filled(hundredth(F.sum(F.when(~new, F.col("points"))))).alias("existing"),
         filled(hundredth(F.sum(F.when(new, F.col("points"))))).alias("new"),
@@ -140,12 +140,12 @@ def revenue_mix(mk: Marketplace, as_of: dt.date, state: ActivityState | None = N
 
 
 @as_of_today()
-def gmv_retention_mtd(mk: Marketplace, as_of: dt.date) -> DataFrame:
+def gmv_retention_mtd(mk: Marketplace, as_of: dt.date, borders: str = "UTC") -> DataFrame:
     """GMV this month of sellers that also sold last month, over all of last month's GMV.
 
     Completed sales only, each counted once per included item; a fraction, NULL without data.
     """
-    pair = month_and_previous(as_of)
+    pair = month_and_previous(as_of, borders)
     signed = F.col(SIGNED)
     sales = completed_sales(mk, "invoice_id", "seller_id", "subtotal", SIGNED, signed=pair.span).where(pair.either(signed))
     value = money_or_zero("subtotal") * F.col("items")

@@ -7,10 +7,9 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.functions.dates import as_of_today, first_of_month, month_of, timestamp
+from bazaarlens.functions.dates import as_of_today, border, first_of_month, timestamp
 from bazaarlens.functions.ratios import average, growth, ratio_if_positive, ratio_or_zero, rounded
 from bazaarlens.operators.activity import both_roles, first_activity
-from bazaarlens.operators.cohorts import activated
 from bazaarlens.operators.compare import compare_periods, distinct_in_periods
 from bazaarlens.operators.periods import calendar_month, mtd_full_day, mtd_to_midnight
 from bazaarlens.operators.sell_through import (
@@ -26,19 +25,23 @@ SIGNED = "seller_signed_on"
 
 
 @as_of_today()
-def mtd_activation(mk: Marketplace, as_of: dt.date, state: ActivityState | None = None) -> DataFrame:
+def mtd_activation(
+    mk: Marketplace, as_of: dt.date, state: ActivityState | None = None, borders: str = "UTC"
+) -> DataFrame:
     """New stores of this month and those whose first booked sale, in either role, is in it."""
-    month = calendar_month(as_of)
+    month = calendar_month(as_of, zone=borders)
+    start, end = month.span
     new = mk.table("stores", "store_id", "created_at").where(month.holds(F.col("created_at")))
     if state is not None:
-        firsts = state.active_months(as_of).groupBy("store_id").agg(F.min("month").alias("first_month"))
+        if borders != "UTC":
+            raise ValueError("the state is kept by UTC months")
+        firsts = state.active_months(as_of).groupBy("store_id").agg(F.min("month").alias("first"))
     else:
         # Sales after this month cannot make a store's first month this one.
-        past = booked_sales(mk, "buyer_id", "seller_id", SIGNED, signed=(None, month.end))
-        past = both_roles(past.where(F.col(SIGNED) < timestamp(month.end)), SIGNED).where("store_id IS NOT NULL")
+        past = booked_sales(mk, "buyer_id", "seller_id", SIGNED, signed=(None, end))
+        past = both_roles(past.where(F.col(SIGNED) < timestamp(end)), SIGNED).where("store_id IS NOT NULL")
         firsts = first_activity(past, "store_id", SIGNED)
-        firsts = firsts.select("store_id", month_of(F.col("first")).alias("first_month"))
-    active = activated(new, firsts)
+    active = new.join(firsts.where(F.col("first") >= timestamp(start)), "store_id")
     counts = new.agg(F.count(F.lit(1)).alias("total_new_stores")).crossJoin(
         active.agg(F.count(F.lit(1)).alias("activated_stores"))
     )
@@ -47,9 +50,9 @@ def mtd_activation(mk: Marketplace, as_of: dt.date, state: ActivityState | None
 
 
 @as_of_today()
-def mtd_active_posts(mk: Marketplace, as_of: dt.date) -> DataFrame:
+def mtd_active_posts(mk: Marketplace, as_of: dt.date, borders: str = "UTC") -> DataFrame:
     """Posts active now; "last month" means those of them not created this month."""
-    created = F.col("created_at") >= timestamp(first_of_month(as_of))
+    created = F.col("created_at") >= timestamp(border(first_of_month(as_of), borders))
     counts = (
         mk.table("posts", "status", "created_at")
         .where(F.col("status") == "ACTIVE")
@@ -70,8 +73,8 @@ def _with_growth(pair: DataFrame, now: str, before: str, now_as: str, before_as:
 
 
 @as_of_today()
-def mtd_active_stores(mk: Marketplace, as_of: dt.date) -> DataFrame:
-    pair = mtd_to_midnight(as_of)
+def mtd_active_stores(mk: Marketplace, as_of: dt.date, borders: str = "UTC") -> DataFrame:
+    pair = mtd_to_midnight(as_of, borders)
     # both_roles sits above the time filter, so the filter reaches the scan.
     sales = booked_sales(mk, "buyer_id", "seller_id", SIGNED, signed=pair.span).where(pair.either(F.col(SIGNED)))
     counts = distinct_in_periods(both_roles(sales, SIGNED), "store_id", SIGNED, pair)
@@ -79,9 +82,9 @@ def mtd_active_stores(mk: Marketplace, as_of: dt.date) -> DataFrame:
 
 
 @as_of_today()
-def mtd_total_invoices(mk: Marketplace, as_of: dt.date) -> DataFrame:
+def mtd_total_invoices(mk: Marketplace, as_of: dt.date, borders: str = "UTC") -> DataFrame:
     """Booked invoices, pending ones included whatever the column is called."""
-    pair = mtd_to_midnight(as_of)
+    pair = mtd_to_midnight(as_of, borders)
     sales = booked_sales(mk, "invoice_id", SIGNED, signed=pair.span)
     counts = distinct_in_periods(sales, "invoice_id", SIGNED, pair)
     return _with_growth(
@@ -90,8 +93,8 @@ def mtd_total_invoices(mk: Marketplace, as_of: dt.date) -> DataFrame:
 
 
 @as_of_today()
-def mtd_items_sold(mk: Marketplace, as_of: dt.date) -> DataFrame:
-    pair = mtd_to_midnight(as_of)
+def mtd_items_sold(mk: Marketplace, as_of: dt.date, borders: str = "UTC") -> DataFrame:
+    pair = mtd_to_midnight(as_of, borders)
     sales = booked_sales(mk, "invoice_id", SIGNED, signed=pair.span).where(pair.either(F.col(SIGNED)))
     items = sales.join(included_per_invoice(mk), "invoice_id")
     counts = compare_periods(
@@ -101,9 +104,9 @@ def mtd_items_sold(mk: Marketplace, as_of: dt.date) -> DataFrame:
 
 
 @as_of_today()
-def mtd_aov(mk: Marketplace, as_of: dt.date) -> DataFrame:
+def mtd_aov(mk: Marketplace, as_of: dt.date, borders: str = "UTC") -> DataFrame:
     """Average order value; the growth compares the unrounded averages."""
-    pair = mtd_full_day(as_of)
+    pair = mtd_full_day(as_of, borders)
     totals = compare_periods(
         booked_sales(mk, "invoice_id", "subtotal", SIGNED, signed=pair.span),
         SIGNED,
@@ -125,9 +128,9 @@ def mtd_aov(mk: Marketplace, as_of: dt.date) -> DataFrame:
 
 
 @as_of_today()
-def mtd_avg_days(mk: Marketplace, as_of: dt.date) -> DataFrame:
+def mtd_avg_days(mk: Marketplace, as_of: dt.date, borders: str = "UTC") -> DataFrame:
     """Days from listing to sale; the change compares the rounded averages."""
-    pair = mtd_to_midnight(as_of)
+    pair = mtd_to_midnight(as_of, borders)
     sales = booked_sales(mk, "invoice_id", SIGNED, signed=pair.span).where(pair.either(F.col(SIGNED)))
     lines = (
         sales.join(included_items(mk, "invoice_id", "post_id"), "invoice_id")

@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from zoneinfo import ZoneInfo
 
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
@@ -27,6 +28,7 @@ class Args:
     sub_end: dt.date
     days_start: dt.date
     days_end: dt.date
+    zone: str
 
 
 VIEWS = {
@@ -152,6 +154,19 @@ def bounds(day: dt.date) -> str:
     )
 
 
+def local_bounds(day: dt.date, zone: str) -> str:
+    """The same with days that begin in a zone, as moments in UTC."""
+
+    def begin(local: dt.date) -> str:
+        moment = dt.datetime.combine(local, dt.time(), ZoneInfo(zone)).astimezone(dt.timezone.utc)
+        return f"TIMESTAMP '{moment.replace(tzinfo=None).isoformat(sep=' ')}'"
+
+    m0 = day.replace(day=1)
+    m1, m2 = (m0 - dt.timedelta(days=1)).replace(day=1), (m0 + dt.timedelta(days=31)).replace(day=1)
+    gone = f"{begin(m1 + (day - m0))} - {begin(m1)}"
+    return f"SELECT {begin(m0)} AS m0, {begin(m1)} AS m1, {begin(m2)} AS m2, {begin(day)} AS today, {gone} AS gone"
+
+
 def calendar(args: Args, name: str = "m") -> str:
     return (
         f"SELECT CAST(unnest(range(date_trunc('month', {ts(args.start)}), "
@@ -180,7 +195,7 @@ def hundredth(expr: str) -> str:
 # ---- overview, signups, churn ----
 
 
-def admin_metrics(a: Args) -> str:
+def admin_metrics(a: Args, moments: str | None = None) -> str:
     body = f"""
     SELECT {dbl("coalesce((SELECT sum(subtotal) FROM sales, t WHERE created >= m0 AND created < m2 AND status <> 'NOT_STARTED'), 0)")} AS total_sales,
       {dbl("coalesce((SELECT sum(subtotal) FROM sales, t WHERE created >= m0 AND created < m2 AND status = 'NOT_STARTED'), 0)")} AS pending_sales,
@@ -194,7 +209,7 @@ def admin_metrics(a: Args) -> str:
       {dbl("coalesce((SELECT sum(subtotal) FROM sales, t WHERE created >= m1 AND created < m0 AND status <> 'NOT_STARTED'), 0)")} AS prev_total_sales,
       (SELECT count(DISTINCT item_id) FROM items i JOIN done USING (invoice_id), t
         WHERE i.created >= m1 AND i.created < m0) AS prev_posts_sold"""
-    return with_views(a, body, "sales", "done", "items", extra={"t": bounds(a.as_of)})
+    return with_views(a, body, "sales", "done", "items", extra={"t": moments or bounds(a.as_of)})
 
 
 def monthly_goal(a: Args) -> str:
@@ -275,16 +290,17 @@ def mtd_active_posts(a: Args) -> str:
     return with_views(a, body, "posts", extra={"t": bounds(a.as_of)})
 
 
-def _two(a: Args, source: str, measure: str, now: str, before: str, *views: str) -> str:
+def _two(a: Args, source: str, measure: str, now: str, before: str, *views: str, moments: str | None = None) -> str:
     body = f"""
     SELECT n AS {now}, p AS {before}, {rnd(zdiv("n - p", "p"), 4)} AS current_vs_last_month_pct
     FROM (SELECT {measure} FILTER ({TO_MIDNIGHT_NOW}) AS n, {measure} FILTER ({TO_MIDNIGHT_BEFORE}) AS p FROM {source}, t)"""
-    return with_views(a, body, *views, extra={"t": bounds(a.as_of)})
+    return with_views(a, body, *views, extra={"t": moments or bounds(a.as_of)})
 
 
-def mtd_active_stores(a: Args) -> str:
+def mtd_active_stores(a: Args, moments: str | None = None) -> str:
     source = "(SELECT * FROM legs WHERE status <> 'NOT_STARTED')"
-    return _two(a, source, "count(DISTINCT store_id)", "active_stores_now", "active_stores_last_month", "legs")
+    names = ("active_stores_now", "active_stores_last_month")
+    return _two(a, source, "count(DISTINCT store_id)", *names, "legs", moments=moments)
 
 
 def mtd_items_sold(a: Args) -> str:
@@ -1025,3 +1041,8 @@ def ranked_sellers(a: Args) -> str:
 
 
 ORACLES |= {"p01_contract": contract, "p60_share_of_month": shares, "p62_ranked_sellers": ranked_sellers}
+
+ORACLES |= {
+    "r01_admin_metrics_local": lambda a: admin_metrics(a, local_bounds(a.as_of, a.zone)),
+    "r08_mtd_active_stores_local": lambda a: mtd_active_stores(a, local_bounds(a.as_of, a.zone)),
+}
