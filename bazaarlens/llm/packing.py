@@ -139,6 +139,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 4096, space:
             columns = [*map(batch.column, names), pa.array(sequence), pa.array(offset)]
             yield pa.RecordBatch.from_arrays(columns, [*names, "sequence_id", "offset"])
 
-    ranked = pieces.join(counts.select("part", "length", "before"), ["part", "length"])
+    # A row per task and length: its file is small, but it grows with the data, so it is not broadcast.
+    ranked = pieces.join(counts.select("part", "length", "before").hint("merge"), ["part", "length"])
     ranked = ranked.withColumn("rank", F.col("before") + F.col("in_part"))
     return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(assign, PACKED)

@@ -2,8 +2,10 @@
 
 Trusted positives and unlabelled text train a small network that minimises the non-negative unbiased risk
     prior * loss(positives as good) + max(0, loss(unlabelled as bad) - prior * loss(positives as bad)),
-with the sigmoid loss. The prior, the share of good texts among all, is estimated from the trusted labels. Both samples
-are bounded (`SAMPLE` rows each, those with the smallest hashes), so training is a small job on the driver at any size of
+with the sigmoid loss. The prior, the share of good texts among all, is estimated from the positives and the unlabelled
+texts alone: of those that score above a threshold the good ones are as many as the prior times the share of positives
+above it, so the least ratio of both shares over thresholds bounds the prior from above, and is near it where no bad text
+scores as high. Both samples are bounded (`SAMPLE` rows each, those with the smallest hashes), so training is a small job on the driver at any size of
 the data; features and scores of all texts are computed where the texts are.
 """
 
@@ -24,6 +26,8 @@ from .storage import id_and_text
 SAMPLE = 6000
 HIDDEN, EPOCHS, BATCH, RATE, SEED = 16, 60, 512, 0.01, 11
 PRIOR_RANGE = (0.05, 0.95)
+#: Shares of the positives that the thresholds keep from which the prior is read: enough of them for a ratio.
+KEPT = np.linspace(0.3, 0.95, 27)
 #: Classes of bytes whose shares are features: lower, upper, digits, marks of sentences, other marks, space, line feed, rest.
 CLASSES = np.full(256, 7, dtype=np.int64)
 for _k, _bytes in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:?'\"()-")):
@@ -111,6 +115,21 @@ def trained(positives: np.ndarray, unlabelled: np.ndarray, prior: float, seed: i
     return model
 
 
+def estimated_prior(positives: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of good texts among the unlabelled: a network trained on one half of both samples scores the other."""
+    if len(positives) < 4 or len(unlabelled) < 4:
+        return 0.5
+    model = trained(positives[::2], unlabelled[::2], 0.5)
+    p, u = np.sort(model.score(positives[1::2])), np.sort(model.score(unlabelled[1::2]))
+    thresholds = np.quantile(p, 1 - KEPT)
+    above = [1 - np.searchsorted(x, thresholds, side="left") / len(x) for x in (u, p)]
+    ratio = above[0] / above[1]
+    at = int(ratio.argmin())
+    # The least of noisy ratios, less its standard error.
+    error = np.sqrt(sum((1 - a[at]) / max(a[at], 1e-9) / len(x) for a, x in zip(above, (u, p), strict=True)))
+    return float(np.clip(ratio[at] * (1 - error), *PRIOR_RANGE))
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo; a null id is in fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0))
@@ -125,17 +144,18 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, c
 
     Only rows outside the held-out fold train. An id is a trusted positive if all its labels say 1; null labels don't
     count. Null and empty texts get the score of a text without features. Without labels or documents to learn from
-    the network stays as it began. Repeated rows each get a row, with the same score.
+    the network stays as it began. Repeated rows each get a row, with the same score; in
+    training an id counts once, with the smallest of its feature rows. Equal scores are equal predictions. Very long texts
+    are read whole. Further columns, whatever their names, are left out.
     """
     texts = id_and_text(docs)
     apart = fold(F.col("doc_id"), folds) != held
     known = labels.select(labels["doc_id"].cast("bigint").alias("doc_id"), labels["quality"].alias("quality"))
     known = known.where(apart & F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    share = known.agg(F.avg((F.col("quality") == 1).cast("double")).alias("share")).first()["share"]
-    prior = float(np.clip(0.5 if share is None else share, *PRIOR_RANGE))
     positives = _sampled(known.where("quality = 1").select("doc_id"), SAMPLE).withColumn("kind", F.lit(1))
-    web = _sampled(texts.where(apart & F.col("doc_id").isNotNull()).select("doc_id"), SAMPLE).withColumn("kind", F.lit(0))
+    web = texts.where(apart & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    web = _sampled(web, SAMPLE).withColumn("kind", F.lit(0))
     # At most 2 * SAMPLE ids: small at any size of the data.
     chosen = F.broadcast(positives.unionAll(web))
 
@@ -146,13 +166,15 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, c
                 [part.column("doc_id"), part.column("kind"), pa.array(rows, pa.binary())], ["doc_id", "kind", "x"]
             )
 
-    sample = texts.join(chosen, "doc_id").mapInArrow(described, "doc_id bigint, kind int, x binary").collect()
+    described_rows = texts.join(chosen, "doc_id").mapInArrow(described, "doc_id bigint, kind int, x binary")
+    # One row per id and kind, however often the id is there, so 2 * SAMPLE rows at most.
+    sample = described_rows.groupBy("doc_id", "kind").agg(F.min("x").alias("x")).collect()
     sample.sort(key=lambda r: (r.doc_id, r.kind, bytes(r.x)))
     parts = [
         np.array([np.frombuffer(r.x, dtype=np.float32) for r in sample if r.kind == k], dtype=np.float64).reshape(-1, N_FEATURES)
         for k in (1, 0)
     ]
-    model = trained(*parts, prior)
+    model = trained(*parts, estimated_prior(*parts))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in portions(batches):

@@ -36,6 +36,32 @@ def test_odd_rows(spark):
     assert pu_quality.quality(docs, labels.limit(0)).count() == 5
 
 
+def test_one_id_on_a_third_of_all_rows(spark):
+    """The training sample holds an id once, so its copies neither fill it nor multiply."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    hot = docs.where("doc_id = 5").crossJoin(spark.range(500)).drop("id")
+    alone = {r.doc_id: r.score for r in pu_quality.quality(docs, labels).collect()}
+    rows = pu_quality.quality(docs.unionByName(hot), labels).collect()
+    assert len(rows) == 1500 and all(abs(r.score - alone[r.doc_id]) < 1e-9 for r in rows)
+
+
+def test_the_prior_needs_no_negatives(spark):
+    """Estimated from positives and unlabelled texts, it is near the share that the labels give."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    texts = dict(docs.select("doc_id", "text").collect())
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    ids = sorted(known)
+    share = sum(known[i] == 1 for i in ids) / len(ids)
+    good = np.array([pu_quality.features((texts[i] or "").encode()) for i in ids if known[i] == 1], dtype=np.float64)
+    web = np.array([pu_quality.features((texts[i] or "").encode()) for i in sorted(texts)[::3]], dtype=np.float64)
+    assert abs(pu_quality.estimated_prior(good, web) - share) < 0.08
+    # and follows the unlabelled side: only bad texts beside half as many good ones
+    bad = np.array([pu_quality.features((texts[i] or "").encode()) for i in ids if known[i] == 0], dtype=np.float64)
+    mixed = np.concatenate([bad, good[: len(bad) // 2]])
+    assert abs(pu_quality.estimated_prior(good[len(bad) // 2 :], mixed) - 1 / 3) < 0.12
+
+
 def test_risk_learns_from_unlabelled_text():
     rng = np.random.default_rng(0)
     good = rng.normal(0, 1, (2000, pu_quality.N_FEATURES))
