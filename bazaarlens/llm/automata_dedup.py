@@ -32,8 +32,8 @@ WINDOW, GRAM = 35, 6
 TOGETHER = 2000
 #: Segments in a group of shards, about.
 GROUP = 2000
-#: Hashes of words remembered in a Python worker.
-REMEMBERED = 500_000
+#: Hashes of words, and digests of segments, remembered in a Python worker: about 20 MB each.
+REMEMBERED, DIGESTS = 100_000, 200_000
 
 #: What str.split() of bytes cuts at: space and 09 to 0D, as in the contract.
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -209,7 +209,7 @@ def repeated_spans(table: DataFrame, window: int, gram: int) -> DataFrame:
                     new = key not in sent
                     if new:
                         sent.add(key)
-                    if len(sent) > REMEMBERED:
+                    if len(sent) > DIGESTS:
                         sent.clear()
                     keys = np.frombuffer(key, dtype="<i8").tolist()
                     out.append((s["anchor"], *keys, row, s["start"], piece if new else None))
