@@ -308,7 +308,8 @@ def removed(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     """Per document: its words, those removed, and the hash of those kept, joined by spaces.
 
     A null or empty text has no words and keeps none (the hash of nothing). Rows that repeat are texts of their own, so
-    their long sequences go from both. No rows: none."""
+    their long sequences go from both. Very long texts are read whole, and their windows count within them too. No rows:
+    none. Further columns, whatever their names, are left out."""
     table, _, spans = _with_spans(docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"]), window, gram)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,7 +341,8 @@ def without_spans(text: bytes, spans: list[dict], window: int) -> bytes:
 
 def cleaned(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """All documents with the repeated spans taken out of their texts; n_chars, where there is one, follows. Texts without
-    such spans, null ones too, stay as they are."""
+    such spans, null ones too, stay as they are; rows that repeat lose their spans both. All columns stay, whatever their
+    names. No rows: none."""
     table, row, spans = _with_spans(docs, window, gram)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -157,7 +157,8 @@ def codec(path: str) -> tuple[Codec, Pieces]:
 def encode_decode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Per document: number of ids, SHA-256 of the ids in decimal with commas between, and of the text decoded from
     them. A null text is empty: no ids, and the hash of nothing. Rows are independent of each other; repeated ones
-    stay. No shuffle."""
+    stay. Very long texts are encoded whole. No rows: none. Further columns, whatever their names, are left out. No
+    shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, pieces = codec(tokenizer)

@@ -113,7 +113,8 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, percentile: float =
     as read again.
 
     A null text is empty and has just the end id. Rows that repeat a doc_id each keep their place, next to each
-    other in the order of their texts' hashes; a null doc_id comes first. No rows: an empty dataset.
+    other in the order of their texts' hashes; a null doc_id comes first. Very long texts are a segment of
+    their own. No rows: an empty dataset. Further columns, whatever their names, are left out.
     """
     frame = id_and_text(docs).withColumn("tie", F.xxhash64("text"))
     frame = frame.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")

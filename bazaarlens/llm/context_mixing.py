@@ -337,7 +337,8 @@ def probabilities(docs: DataFrame, folds: int = 10) -> DataFrame:
 
     Texts in fold 0 (crc32 of the id as text; null ids too) are held out: nothing is learnt from them. Fold 1 trains the
     mixing weights on the counts of the others; the counts that texts are scored with cover both. A null text is empty: its only token is the end. Rows that repeat count each
-    time. Without training texts the base is that of an empty count, and the mix has no odds but even ones."""
+    time. Without training texts the base is that of an empty count, and the mix has no odds but even ones. Very long texts are read
+    whole. No rows: none. Further columns, whatever their names, are left out."""
     texts = id_and_text(docs).withColumn("fold", fold(F.col("doc_id"), folds).cast("int"))
     size = texts.agg(F.sum(F.octet_length("text").cast("bigint") + 8)).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))

@@ -276,7 +276,8 @@ def nearest(
     """(query_id, rank, vec_id, score): the k rows nearest by Euclidean distance to each row whose id is divisible by
     `every`, among all other rows; as many as there are where these are fewer.
 
-    Rows with a null id, or a vector that is null, empty, zero or holds a null or non-finite number take no part.
+    Rows with a null id, or a vector that is null, empty, zero or holds a null or non-finite number take no part. Without
+    rows there are no neighbours. Further columns, whatever their names, are left out.
     Equal rows count once; rows with the same id and another vector are rows of their own. Vectors of different
     sizes are never near each other. Ties go to the smaller id.
     """

@@ -334,7 +334,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     class_id is the smallest doc_id of the class. Texts of fewer than five words are only alike when equal; null texts
     count as empty and so are alike. Rows that repeat each get a row; rows with a null doc_id take part, and a class with
-    no other rows has a null class_id."""
+    no other rows has a null class_id. Very long texts are compared whole. No rows: none. Further columns, whatever their
+    names, are left out."""
     rows = _keyed(docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"]), "key")
     near = near_classes(rows)
     few = rows.select("doc_id", "key").join(near, "key", "left")
@@ -346,7 +347,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of every class, that with the smallest doc_id (null last, then by the hash of the text), whole and with
-    its columns as they were."""
+    its columns as they were, whatever their names. Very long texts are compared whole. No rows: none."""
     key, row = free_name(docs, "key_"), free_name(docs, "row_")
     rows = saved(_keyed(docs, key).withColumn(row, F.monotonically_increasing_id()), "keyed-documents")
     near = near_classes(rows.select(F.col(key).alias("key"), F.coalesce("text", F.lit("")).alias("text")))

@@ -112,7 +112,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 4096, space:
     """Pieces of all documents with their sequence and offset there.
 
     A null or empty text is a piece with just the end id. Rows that repeat a doc_id are documents of their own.
-    No rows: no pieces.
+    Pieces of the same length are in the order of their tasks and of the rows there. Very long texts are cut into pieces
+    of the size. No rows: no pieces. Further columns, whatever their names, are left out.
     """
     pieces = saved(pieces_of(docs, tokenizer, end_id, size, space), "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))

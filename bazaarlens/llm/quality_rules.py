@@ -154,7 +154,8 @@ def judged(rows: DataFrame, rules: str, limits: DataFrame) -> tuple[DataFrame, C
 
 def quality(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, the base counts, base_failed and kept. Rows that repeat each get a row; a null lang or
-    source is a group of its own; no rows give none."""
+    source is a group of its own; no rows give none. Null and empty texts have no words and fail. Very long texts are
+    measured whole. Further columns, whatever their names, are left out."""
     few = docs.select(
         docs["doc_id"], docs["lang"].cast("string"), docs["source"].cast("string"), docs["text"]
     )
@@ -165,7 +166,8 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with their columns as they were."""
+    """The documents that the rules keep, with their columns as they were, whatever their names. Null and empty texts go;
+    rows that repeat are judged each; very long texts are measured whole; no rows give none."""
     own = free_name(docs, "rules_")
     rows = saved(measured(docs), "quality-documents")
     limits = fences(rows.select(rows["lang"], rows["source"], rows[own].alias("rules")))

@@ -142,7 +142,9 @@ def with_spans(rows: DataFrame, scan: str, model: DataFrame) -> DataFrame:
 def secrets(docs: DataFrame) -> DataFrame:
     """Per document: counts of the base kinds, the hash of their spans, and all spans as kind:start:end.
 
-    Null and empty texts have no spans (and the hash of nothing); rows that repeat each get a row; no rows give none.
+    Null and empty texts have no spans (and the hash of nothing); rows that repeat each get a row; no rows give none. Very
+    long texts are scanned whole. Spans that start together stand in the order of their kinds. Further columns, whatever
+    their names, are left out.
     """
     rows = scanned(docs.select(docs["doc_id"], docs["text"])).drop("text")
     rows = saved(rows.withColumnRenamed("scan_", "scan"), "secret-scans")
