@@ -18,7 +18,7 @@ from bazaarlens.functions.dates import first_of_month, in_months, month_of, time
 from bazaarlens.operators.activity import both_roles
 from bazaarlens.operators.sell_through import BOOKED
 from bazaarlens.sources.marketplace import Marketplace
-from bazaarlens.state.monthly import PRINTS, MonthlyTables, prints
+from bazaarlens.state.monthly import PRINTS, MonthlyTables, prints, taken
 
 SIGNED = "seller_signed_on"
 # A fee times money has a scale of four.
@@ -61,10 +61,12 @@ class ActivityState:
     def __init__(self, spark: SparkSession, root: str):
         self.tables = MonthlyTables(spark, root, TABLES)
 
-    def refresh(self, mk: Marketplace, start: dt.date, end: dt.date) -> None:
-        """Rebuild the months from start's to end's from their own rows: by signing for sales, by creation for invoices."""
+    def refresh(self, mk: Marketplace, start: dt.date, end: dt.date, printed: DataFrame | None = None) -> None:
+        """Rebuild the months from start's to end's from their own rows: by signing for sales, by creation for invoices.
+        The sales are worked out once and stored, as several tables read them. `printed` are prints taken before: rows
+        that have changed since then differ from them, and their months are found again."""
         span = (first_of_month(start), first_of_month(end, 1))
-        sales = self._sales(mk, span).where(in_months(F.col(SIGNED), start, end))
+        sales = self.tables.staged("sales", self._sales(mk, span).where(in_months(F.col(SIGNED), start, end)))
         invoices = self._invoices(mk).where(in_months(F.col("created_at"), start, end))
         booked = sales.where(F.col("invoice_status").isin(*BOOKED))
         folded = folded_sales(booked)
@@ -84,7 +86,8 @@ class ActivityState:
             .groupBy("store_id", month_of(F.col("created_at")).alias("month"))
             .agg(F.min("created_at").alias("first_created"))
         )
-        printed = prints(sales, SIGNED, "sales").unionByName(prints(invoices, "created_at", "invoices"))
+        if printed is None:
+            printed = prints(sales, SIGNED, "sales").unionByName(prints(invoices, "created_at", "invoices"))
         self.tables.replace(
             {
                 "traders": traders, "sellers": seller_months(folded), "orders": month_orders(folded),
@@ -104,11 +107,12 @@ class ActivityState:
 
     def update(self, mk: Marketplace) -> list[tuple[dt.date, dt.date]]:
         """Rebuild the months whose rows are not those that the state was built from; returns them as runs. One scan of
-        sales and invoices, and a shuffle of one row per month and task, find them."""
+        sales and invoices, and a shuffle of one row per month and task, find them; the prints are kept with the months."""
         now = prints(self._sales(mk), SIGNED, "sales").unionByName(prints(self._invoices(mk), "created_at", "invoices"))
+        now = taken(now)
         runs = self.tables.stale_runs(now)
         for first, last in runs:
-            self.refresh(mk, first, last)
+            self.refresh(mk, first, last, now)
         return runs
 
     # What the reports read

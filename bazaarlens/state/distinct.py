@@ -16,7 +16,7 @@ from bazaarlens.functions.dates import first_of_month, in_months, month_of
 from bazaarlens.operators.activity import both_roles
 from bazaarlens.operators.sell_through import booked_sales, store_states
 from bazaarlens.sources.marketplace import Marketplace
-from bazaarlens.state.monthly import PRINTS, MonthlyTables, prints
+from bazaarlens.state.monthly import PRINTS, MonthlyTables, prints, taken
 
 SIGNED = "seller_signed_on"
 
@@ -92,12 +92,14 @@ class DistinctState:
         self.invoices = Numbers(spark, f"{root}/invoices")
         self.months = MonthlyTables(spark, f"{root}/months", self.TABLES)
 
-    def refresh(self, mk: Marketplace, start: dt.date, end: dt.date) -> None:
+    def refresh(self, mk: Marketplace, start: dt.date, end: dt.date, printed: DataFrame | None = None) -> None:
         """Rebuild the months from start's to end's. A store's state is the one it has now; a store with several
-        addresses counts in each state, one without an address in none."""
+        addresses counts in each state, one without an address in none. The sales are worked out once and stored;
+        `printed` are prints taken before, from which later changes differ."""
         span = (first_of_month(start), first_of_month(end, 1))
-        sales = self._sales(mk, span).where(in_months(F.col(SIGNED), start, end))
-        printed = prints(sales, SIGNED, "sales")
+        sales = self.months.staged("sales", self._sales(mk, span).where(in_months(F.col(SIGNED), start, end)))
+        if printed is None:
+            printed = prints(sales, SIGNED, "sales")
         sales = sales.withColumn("month", month_of(F.col(SIGNED)))
         active = both_roles(sales, "month").select("store_id", "month", "bought").distinct()
         self.stores.extend(F.col("store_id"), active)
@@ -123,10 +125,11 @@ class DistinctState:
     def update(self, mk: Marketplace, start: dt.date | None = None, end: dt.date | None = None) -> None:
         """Rebuild the months (of a range) that are not kept or whose sales have changed since."""
         span = (start and first_of_month(start), end and first_of_month(end, 1))
-        for first, last in self.months.stale_runs(prints(self._sales(mk, span), SIGNED, "sales")):
+        now = taken(prints(self._sales(mk, span), SIGNED, "sales"))
+        for first, last in self.months.stale_runs(now):
             first, last = max(first, span[0] or first), min(last, end or last)
             if first <= last:
-                self.refresh(mk, first, last)
+                self.refresh(mk, first, last, now)
 
     def over_spans(self, spans: DataFrame, metric: str, first: dt.date, last: dt.date, *groups: str) -> DataFrame:
         """Different keys of a metric in each span, a row (first_month, last_month, more columns), from the kept months

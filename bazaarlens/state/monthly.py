@@ -34,6 +34,11 @@ def prints(rows: DataFrame, time: str, relation: str) -> DataFrame:
     )
 
 
+def taken(printed: DataFrame) -> DataFrame:
+    """The prints as they are now, for several readers: two rows per month are collected."""
+    return printed.sparkSession.createDataFrame(printed.collect(), printed.schema)
+
+
 class MonthlyTables:
     """`schemas` gives the columns of each table but `month`, the partition (a DATE, never NULL)."""
 
@@ -63,6 +68,12 @@ class MonthlyTables:
         line = self.spark.createDataFrame([(number, first, last)], BATCHES)
         line.coalesce(1).write.mode("append").parquet(f"{self.root}/batches")
 
+    def staged(self, name: str, rows: DataFrame) -> DataFrame:
+        """The rows, stored for the several tables that are built from them; the next replacement stores its own there."""
+        path = f"{self.root}/staged/{name}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     def _files(self, rows: DataFrame) -> int:
         return max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 16)
 
