@@ -13,12 +13,15 @@ from pyspark.sql import SparkSession
 
 # AQE splits a hot join partition even when the operator above the join then needs one more
 # shuffle: that shuffle carries partial aggregates, the unsplit partition would carry raw rows.
-# Small shuffle partitions are merged only up to 8 MB: compressed rows grow thirty-fold in the hash tables of an
-# aggregate, so the 64 MB that Spark merges to by itself hold two GB in one task.
+# Small shuffle partitions are merged only up to 4 MB: compressed rows grow eighty-fold in the sorts and hash tables of a
+# join and an aggregate, so the 64 MB that Spark merges to by itself hold several GB in one task. Shuffles begin with many
+# partitions, which AQE merges, so that a task holds no more of a larger input; a fixed few would grow with it.
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "1000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4m",
+    "spark.sql.files.maxPartitionBytes": "32m",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",

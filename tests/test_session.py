@@ -17,3 +17,15 @@ def test_a_task_gets_a_small_piece_of_a_shuffle(spark):
     finally:
         for k, v in held.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_a_shuffle_begins_with_many_pieces_whatever_the_number_of_partitions(spark):
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        found = tune(spark) and spark.range(10).groupBy((F.col("id") % 3).alias("key")).count()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert ", 1000)" in next(line for line in plan.splitlines() if "hashpartitioning" in line)
+        assert sorted(tuple(r) for r in found.collect()) == [(0, 4), (1, 3), (2, 3)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
