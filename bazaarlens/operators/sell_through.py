@@ -111,6 +111,15 @@ def with_all_of(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.where(F.xxhash64(*columns) >= F.lit(-(2**63)))
 
 
+def with_matches(rows: DataFrame, others: DataFrame, key: str, *spread: str) -> DataFrame:
+    """Left join on the key. Rows without a key match nothing; they are dealt by the `spread` columns, as a plain join
+    would send them all to one task."""
+    dealt = F.when(F.col(key).isNull(), F.xxhash64(*spread)).otherwise(F.lit(0).cast("bigint"))
+    # Always 0, but no constant, which would not be a key of the join.
+    nought = F.pmod(F.xxhash64(key), F.lit(1).cast("bigint"))
+    return rows.withColumn("dealt", dealt).join(others.withColumn("dealt", nought), [key, "dealt"], "left").drop("dealt")
+
+
 def days_to_sale(signed: str = "seller_signed_on", created: str = "created_at") -> Column:
     return whole_days(F.col(signed), F.col(created))
 

@@ -33,6 +33,7 @@ from bazaarlens.operators.sell_through import (
     weighted_drugs,
     weighted_states,
     with_all_of,
+    with_matches,
 )
 from bazaarlens.sources.marketplace import Marketplace
 
@@ -271,8 +272,8 @@ def state_analysis(mk: Marketplace, start: dt.date, end: dt.date, min_sales: int
         sell_through(posts, sold, ["seller_id", "ndc"], ["buyer_id"])
         .join(groups, "ndc")
         .join(store_states(mk, "seller_id", "seller_state"), "seller_id")
-        .join(store_states(mk, "buyer_id", "buyer_state"), "buyer_id", "left")
     )
+    by_seller = with_matches(by_seller, store_states(mk, "buyer_id", "buyer_state"), "buyer_id", "seller_id", "ndc")
     found = regroup(by_seller, ["drug_group", "seller_state", "buyer_state"])
     return (
         found.where(F.col("sold") >= min_sales)

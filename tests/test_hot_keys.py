@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from bazaarlens.operators.churn import churn_flags
 from bazaarlens.operators.periods import trailing_pair
 from bazaarlens.operators.retention import gmv_retention
-from bazaarlens.operators.sell_through import sell_through
+from bazaarlens.operators.sell_through import sell_through, with_matches
 from bazaarlens.plans import investor, kpi, ops
 from shop import rows, shop
 
@@ -174,3 +174,23 @@ def test_sheets_from_one_pass_equal_the_single_pivots(spark, facts):
         assert ours == rows(investor.store_month_pivot(mk, fact, *RANGE))
         total = investor.store_month_fact(mk, fact, *RANGE).agg(F.sum("value")).first()[0]
         assert sum(r["Total"] for r in ours) == pytest.approx(float(total))
+
+
+def test_rows_without_a_key_are_not_joined_in_one_task(spark):
+    """As unsold listings, which have no buyer, in the report of states."""
+    rows = spark.range(4000).select(
+        F.when(F.col("id") % 4 == 0, F.col("id") % 100).alias("key"), (F.col("id") % 700).alias("a"), F.col("id").alias("b")
+    )
+    others = spark.range(50).select((F.col("id") * 2).alias("key"), F.concat(F.lit("n"), "id").alias("name"))
+    others = others.unionByName(others.limit(5)).unionByName(spark.createDataFrame([(None, "none")], others.schema))
+    held = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        found = with_matches(rows, others.hint("merge"), "key", "a", "b")
+        assert found.columns == ["key", "a", "b", "name"]
+        plain = rows.join(others, "key", "left")
+        assert sorted(map(str, found.collect())) == sorted(map(str, plain.collect()))
+        tasks = found.where("key IS NULL").groupBy(F.spark_partition_id()).count().count()
+        assert tasks > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", held)
