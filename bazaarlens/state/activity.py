@@ -61,13 +61,22 @@ class ActivityState:
     def __init__(self, spark: SparkSession, root: str):
         self.tables = MonthlyTables(spark, root, TABLES)
 
-    def refresh(self, mk: Marketplace, start: dt.date, end: dt.date, printed: DataFrame | None = None) -> None:
+    def refresh(
+        self, mk: Marketplace, start: dt.date, end: dt.date, printed: DataFrame | None = None,
+        stored: tuple[DataFrame, DataFrame] | None = None,
+    ) -> None:
         """Rebuild the months from start's to end's from their own rows: by signing for sales, by creation for invoices.
         The sales are worked out once and stored, as several tables read them. `printed` are prints taken before: rows
-        that have changed since then differ from them, and their months are found again."""
-        span = (first_of_month(start), first_of_month(end, 1))
-        sales = self.tables.staged("sales", self._sales(mk, span).where(in_months(F.col(SIGNED), start, end)))
-        invoices = self._invoices(mk).where(in_months(F.col("created_at"), start, end))
+        that have changed since then differ from them, and their months are found again. `stored` are sales and invoices
+        that the caller has stored already."""
+        if stored is None:
+            span = (first_of_month(start), first_of_month(end, 1))
+            sales = self.tables.staged("sales", self._sales(mk, span).where(in_months(F.col(SIGNED), start, end)))
+            invoices = self._invoices(mk)
+        else:
+            sales, invoices = stored
+            sales = sales.where(in_months(F.col(SIGNED), start, end))
+        invoices = invoices.where(in_months(F.col("created_at"), start, end))
         booked = sales.where(F.col("invoice_status").isin(*BOOKED))
         folded = folded_sales(booked)
         completed = F.when(F.col("invoice_status") == "COMPLETED", F.col(SIGNED))
@@ -107,12 +116,17 @@ class ActivityState:
 
     def update(self, mk: Marketplace) -> list[tuple[dt.date, dt.date]]:
         """Rebuild the months whose rows are not those that the state was built from; returns them as runs. One scan of
-        sales and invoices, and a shuffle of one row per month and task, find them; the prints are kept with the months."""
-        now = prints(self._sales(mk), SIGNED, "sales").unionByName(prints(self._invoices(mk), "created_at", "invoices"))
-        now = taken(now)
+        sales and invoices, and a shuffle of one row per month and task, find them; the prints are kept with the months.
+        A state without any month needs all rows, so these are stored first and worked out just once."""
+        sales, invoices, stored = self._sales(mk), self._invoices(mk), None
+        if not self.tables.batches():
+            sales = self.tables.staged("sales", sales.where(F.col(SIGNED).isNotNull()))
+            invoices = self.tables.staged("invoices", invoices.where("created_at IS NOT NULL"))
+            stored = (sales, invoices)
+        now = taken(prints(sales, SIGNED, "sales").unionByName(prints(invoices, "created_at", "invoices")))
         runs = self.tables.stale_runs(now)
         for first, last in runs:
-            self.refresh(mk, first, last, now)
+            self.refresh(mk, first, last, now, stored)
         return runs
 
     # What the reports read

@@ -60,3 +60,19 @@ def test_rows_that_come_between_prints_and_tables_are_found_again(spark, tmp_pat
     assert state.update(after) == [(dt.date(1998, a, 1), dt.date(1998, b, 1)) for a, b in ((1, 2), (4, 4))]
     same(after, state, "revenue", "stores")
     assert state.update(after) == []
+
+
+def test_a_new_state_works_sales_and_invoices_out_once(spark, tmp_path):
+    mk, seen = counted(spark, market(spark, SALES))
+    calls = []
+
+    class Asked(Marketplace):
+        def table(self, name, *columns, **asked):
+            calls.append(name)
+            return mk.table(name, *columns, **asked)
+
+    state = ActivityState(spark, str(tmp_path))
+    state.update(Asked(spark, {}))
+    assert 0 < seen.value <= len(SALES)
+    assert sorted(calls) == ["invoices", "sales"]
+    same(market(spark, SALES), state, "revenue", "stores")
