@@ -62,18 +62,18 @@ def benchmark_markets(
     bought = lines.groupBy(*owner, "buyer_id").agg(F.sum("lines").alias("lines"))
     met = bought.join(weighted_states(mk, "buyer_id", "buyer_state"), "buyer_id", "left")
     met = met.withColumn("lines", F.col("lines") * F.coalesce("copies", F.lit(1))).drop("copies")
-    traded = (
-        times(in_market(met.groupBy(*owner).agg(F.sum("lines").alias("lines"))), ["lines"])
-        .groupBy(*market)
-        .agg(F.sum("lines").alias("lines"))
-    )
-    # Different posts are counted by who lists them: posts with the same sellers and products, nearly always one,
-    # are a number, which counts once in each market of theirs.
+    traded = met.groupBy(*owner).agg(F.sum("lines").alias("lines"))
+    # Different posts are counted by who lists them: posts with the same sellers and products are a number. Nearly always
+    # that is one owner, whose markets differ; only what several owners share is made distinct by market.
     rows = with_all_of(lines, "buyer_id", "lines").select("post_id", "post_row", *owner).distinct()
     owners = rows.groupBy("post_id").agg(F.sort_array(F.collect_set(F.struct(*owner))).alias("owners"))
     owners = owners.groupBy("owners").agg(F.count(F.lit(1)).alias("sold"))
-    sold = (
-        in_market(owners.select("owners", "sold", F.explode("owners").alias("o")).select("owners", "sold", "o.*"))
+    # `sold` is always positive. Asked for here, the choice stays above the shuffle, which both readers then share.
+    size = F.when(F.col("sold") > 0, F.size("owners")).alias("size")
+    each = owners.select("owners", "sold", size, F.explode("owners").alias("o")).select("owners", "sold", "size", "o.*")
+    alone = each.where(F.col("size") == 1).select(*owner, "sold")
+    shared = (
+        in_market(each.where(F.col("size") > 1).drop("size"))
         .select("owners", "sold", *market)
         .distinct()
         .groupBy(*market)
@@ -87,24 +87,21 @@ def benchmark_markets(
         .groupBy(*market)
         .agg(F.count(F.lit(1)).alias("buyers"))
     )
-    # One row per seller and product before the joins; its rows are the distinct sellers.
-    unsold = (
-        listed.groupBy(*owner).agg(F.count(F.lit(1)).alias("unsold"))
-        .unionByName(rows.groupBy(*owner).agg((-F.count(F.lit(1))).alias("unsold")))
-        .groupBy(*owner)
-        .agg(F.sum("unsold").alias("unsold"))
-    )
+    # One row per seller and product before the joins, for all that adds up; its rows are the distinct sellers.
+    by_owner = listed.groupBy(*owner).agg(F.count(F.lit(1)).alias("unsold"))
+    for more in (rows.groupBy(*owner).agg((-F.count(F.lit(1))).alias("unsold")), traded, alone):
+        by_owner = by_owner.unionByName(more, allowMissingColumns=True)
+    by_owner = by_owner.groupBy(*owner).agg(*[F.sum(p).alias(p) for p in ("lines", "sold", "unsold")])
     listings = (
-        times(in_market(unsold), ["unsold"])
+        times(in_market(by_owner), ["lines", "unsold"])
         .groupBy(*market)
-        .agg(F.sum("unsold").alias("unsold"), F.count("seller_id").alias("sellers"))
+        .agg(*[F.sum(p).alias(p) for p in ("lines", "sold", "unsold")], F.count("seller_id").alias("sellers"))
     )
     # Adding up two partial frames instead of joining them keeps groups with a NULL key.
     parts = ("lines", "sold", "buyers", "unsold", "sellers")
     merged = (
-        traded.unionByName(sold, allowMissingColumns=True)
+        listings.unionByName(shared, allowMissingColumns=True)
         .unionByName(buyers, allowMissingColumns=True)
-        .unionByName(listings, allowMissingColumns=True)
         .groupBy(*market)
         .agg(*[F.coalesce(F.sum(p), F.lit(0)).alias(p) for p in parts])
         .withColumn("total", F.col("lines") + F.col("unsold"))

@@ -110,3 +110,20 @@ def test_report_counts_rows_as_joins_do(both, name):
     want = sorted(map(cells, cursor.fetchall()), key=repr)
     assert sorted((cells(r) for r in frame.select(*[f"`{n}`" for n in names]).collect()), key=repr) == want
     assert want
+
+
+def test_posts_that_several_sellers_share_count_once_in_a_market(spark):
+    """And posts of one seller, which are counted without making them distinct, once in each of the seller's markets."""
+    posts = [{"post_id": p, "seller_id": s, "ndc": n} for p, s, n in (
+        (1, 2, 1), (1, 3, 1), (1, 4, 1), (2, 2, 1), (2, 2, 1), (3, 3, 1), (4, None, 1), (4, 2, 1), (5, 2, None), (5, None, 1), (6, 4, 1))]
+    made = shop(
+        spark, posts=posts, drugs=[{}, {}],
+        sales=[{"invoice_id": i, "buyer_id": 10 + i} for i in range(1, 7)],
+        invoice_items=[{"invoice_item_id": str(i), "invoice_id": i, "post_id": i} for i in range(1, 6)],
+        stores=[{"store_id": s, "address_id": a} for s, a in ((2, 1), (3, 1), (4, 2), (2, 2))],
+        addresses=[{"address_id": 1, "state": "CA"}, {"address_id": 2, "state": "NY"}],
+    )
+    found = {r["State"]: r for r in reports.benchmark_markets(made, START, END, 1, 0.0).collect()}
+    # CA: posts 1, 2, 4 of seller 2 and 1, 3 of seller 3; NY: 1, 2, 4 of seller 2 and 1, 6 of seller 4. Products twice.
+    assert {s: (r["Total Posts"], r["Total Sold"], r["Seller Stores"]) for s, r in found.items()} == {
+        "CA": (12, 4, 2), "NY": (12, 3, 2)}
