@@ -182,7 +182,7 @@ def test_rows_without_a_key_are_not_joined_in_one_task(spark):
         F.when(F.col("id") % 4 == 0, F.col("id") % 100).alias("key"), (F.col("id") % 700).alias("a"), F.col("id").alias("b")
     )
     others = spark.range(50).select((F.col("id") * 2).alias("key"), F.concat(F.lit("n"), "id").alias("name"))
-    others = others.unionByName(others.limit(5)).unionByName(spark.createDataFrame([(None, "none")], others.schema))
+    others = others.unionByName(others.limit(5)).unionByName(spark.createDataFrame([(None, "none")], "key bigint, name string"))
     held = spark.conf.get("spark.sql.adaptive.enabled")
     try:
         spark.conf.set("spark.sql.adaptive.enabled", "false")
