@@ -12,7 +12,7 @@ from bazaarlens.functions.formats import short_month
 from bazaarlens.functions.ratios import filled, hundredth, ratio_or_null, rounded
 from bazaarlens.operators.activity import is_new, split_new_existing, with_first_month
 from bazaarlens.operators.savings import savings_lenient
-from bazaarlens.operators.sell_through import booked_sales, included_items, included_per_invoice
+from bazaarlens.operators.sell_through import booked_sales, included_items
 from bazaarlens.sources.marketplace import Marketplace
 
 SIGNED = "seller_signed_on"
@@ -89,8 +89,11 @@ def sellers_kpi(mk: Marketplace, start: dt.date, end: dt.date) -> DataFrame:
     """As for buyers, with net revenue; the seller counts are decimals."""
     sales = _range_sales(mk, start, end, "seller_id", "subtotal", "fee_percent")
     fee = F.coalesce(F.col("fee_percent"), F.lit(0).cast("decimal(1,0)"))
+    # Items are counted behind the join: counted before it, a task would hold a group for nearly every item it scans.
+    lines = included_items(mk, "invoice_id").join(sales, "invoice_id")
     per_seller = (
-        sales.join(included_per_invoice(mk), "invoice_id")
+        lines.groupBy(*sales.columns)
+        .agg(F.count(F.lit(1)).alias("items"))
         .groupBy("seller_id", "month")
         .agg(
             F.sum(F.col("subtotal") * F.col("rows")).alias("gmv"),

@@ -145,6 +145,9 @@ class _OrderTables:
             orders = self._read("orders", "o_orderkey", "o_orderdate").withColumnRenamed("o_orderkey", "l_orderkey")
             lines = lines.join(orders.hint("merge"), "l_orderkey")
             found.append(F.min("o_orderdate").alias("first_sold"))
+        else:
+            # Few lines share a listing, so a task that groups what it scans would hold nearly all of it.
+            lines = lines.repartition("l_partkey", "l_suppkey")
         posts = lines.groupBy("l_partkey", "l_suppkey").agg(*found)
         if "created_at" in asked:
             posts = posts.withColumn("created_at", F.col("first_sold") - _days(F.col("l_partkey") % 60, 7))

@@ -7,6 +7,7 @@ import pytest
 from bazaarlens import Marketplace
 from bazaarlens.plans.catalog import PLANS, ReportArgs
 from bazaarlens.session import RUNTIME_SETTINGS, tune
+from bazaarlens.sources.order_tables import marketplace_from_orders
 from shop import shop
 
 ARGS = ReportArgs()
@@ -84,3 +85,25 @@ def test_pivot_runs_no_job_for_its_labels(spark, stored):
 def test_tune_sets_the_runtime_settings(spark):
     tune(spark)
     assert {k: spark.conf.get(k) for k in RUNTIME_SETTINGS} == RUNTIME_SETTINGS
+
+
+@pytest.mark.parametrize("name", ["t06_kpi_buyers_formatted", "r31_kpi_sellers"])
+def test_key_figures_group_no_scanned_lines(spark, name):
+    """A scan's task is as large as the file's row groups: what it groups before a shuffle, it holds."""
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        text = plan(PLANS[name](marketplace_from_orders(tune(spark), "/root/testdata/sf0.001"), ARGS))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    path, seen = [], 0
+    for line in text.splitlines():
+        if not (found := re.search(r"[A-Za-z]", line)):
+            continue
+        path = [(at, node) for at, node in path if at < found.start()] + [(found.start(), line)]
+        if "FileScan" in line and "l_suppkey" in line:
+            seen += 1
+            above = [node for _, node in path]
+            last = max(i for i, node in enumerate(above) if "Exchange" in node)
+            assert not any("Aggregate" in node for node in above[last:]), text
+    assert seen >= 2
