@@ -1,31 +1,35 @@
 """Text probabilities by online logistic mixing of context predictors.
 
 A byte is coded by the bits of a Huffman code, so that common bytes need few. Several predictors know, from the training
-texts, how often each bit followed a context (two bytes, four bytes, the word so far). The counts are a Spark table with a
-row for every context and node of the code, which grows with the texts: as with the words below, a block's distinct
-contexts are shuffled to their totals and back to the block. Contexts of bytes are exact, words 54-bit hashes. Their log-odds are mixed with weights, of which a gate (which long contexts are known) chooses a set; the
-weights are refined block by block along each text. The sum over bits is the probability of the whole text.
-
-Beside it stands a base: the words' own frequencies. Words are counted for blocks of documents, and only each block's
-distinct words are shuffled, on to their totals and back to the block. Words are told apart by 64-bit hashes.
+texts, how often each bit followed a context (two bytes, four bytes, the word so far). The counts grow with the texts: a
+block's distinct pairs of a context and a symbol are shuffled to their totals and back to the block, packed, one row for a
+block and a part of all contexts. Symbols stand in the order of the code, so what is below a node of a context is a range of
+its pairs. Contexts of bytes are exact, words 54-bit hashes. Their log-odds are mixed with weights, of which a gate (which long
+contexts are known) chooses a set; the weights are refined block by block along each text. The sum over bits is the
+probability of the whole text.
+
+Beside it stands a base: the words' own frequencies. Words are counted for blocks of documents, and each block's distinct
+words are shuffled in the same way, on to their totals and back to the block. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import heapq
+import struct
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automata_dedup import WordHashes
 from .pu_quality import fold
-from .rows import portions, raw
-from .storage import bucketed, id_and_text, saved
+from .rows import PORTION, portions, raw
+from .storage import bucketed, id_and_text
 
 #: Slots of a plain Coder, which hashes its contexts, for trials on few texts; a block's coder has a slot for each context.
 SLOT_BITS = 19
@@ -39,13 +43,25 @@ PRIOR = 0.4
 STEP_BITS, TRAIN_RATE, TEXT_RATE = 4096, 2.0, 0.6
 #: Bytes of text that are mixed together in a task, about.
 TOGETHER = 1 << 17
+#: Bytes of text whose contexts are told apart together: their arrays stay small.
+AT_ONCE = 1 << 18
 #: Bytes of text in a block of documents, about.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 48 << 20
 #: Distinct contexts and symbols held from several portions before they are added up.
 HELD = 1 << 20
 END = 256
 #: Name of the end among the words.
 END_WORD = b"\n"
+#: Number of the words among the tables.
+WORDS = ORDERS
+#: Blocks whose pairs are added up together, about.
+BLOCKS_TOGETHER = 1
+
+VISITS = "block bigint, kind int, part int, n bigint, keys binary, counts binary, counts_1 binary"
+TOTALS = (
+    "block bigint, kind int, n bigint, keys binary, own binary, leaves binary, leaves_1 binary, "
+    "others binary, others_1 binary, total bigint, words bigint"
+)
 
 
 def huffman(counts: np.ndarray) -> list[list[tuple[int, int]]]:
@@ -69,13 +85,39 @@ def huffman(counts: np.ndarray) -> list[list[tuple[int, int]]]:
 
 
 def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted distinct numbers, place of each number among them)"""
+    """(distinct numbers, place of each number among them)"""
     found = pa.array(x).dictionary_encode()
-    values = found.dictionary.to_numpy(zero_copy_only=False)
-    order = np.argsort(values)
-    rank = np.empty(len(order), dtype=np.int64)
-    rank[order] = np.arange(len(order))
-    return values[order], rank.take(found.indices.to_numpy(zero_copy_only=False))
+    return found.dictionary.to_numpy(zero_copy_only=False), found.indices.to_numpy(zero_copy_only=False)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, those of one place together, compressed."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int, kind: type = np.int64) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * size, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
+
+
+def packed_keys(x: np.ndarray) -> bytes:
+    """Of ascending numbers: the steps from one context to the next, and by number its lowest 9 bits and whether its context
+    is another than the last one's."""
+    context = x >> np.uint64(9)
+    new = np.diff(context, prepend=~context[:1]) != 0
+    low = (x & np.uint64(511)).astype(np.uint16) | new.astype(np.uint16) << np.uint16(9)
+    context = context[new]
+    contexts = packed(np.diff(context, prepend=np.uint64(0)))
+    return struct.pack("<QQ", len(context), len(contexts)) + contexts + packed(low)
+
+
+def unpacked_keys(data: bytes, n: int) -> np.ndarray:
+    m, size = struct.unpack_from("<QQ", data)
+    context = np.cumsum(unpacked(data[16 : 16 + size], m, np.uint64), dtype=np.uint64)
+    low = unpacked(data[16 + size :], n, np.uint16)
+    return context[np.cumsum(low >> 9) - 1] << np.uint64(9) | (low & np.uint16(511))
 
 
 class Coder:
@@ -86,6 +128,16 @@ class Coder:
         self.first = np.concatenate([[0], np.cumsum(self.size)[:-1]])
         self.node = np.array([n for c in code for n, _ in c], dtype=np.uint64)
         self.bit = np.array([b for c in code for _, b in c], dtype=np.uint8)
+        # Symbols in the order of their bits: those below a node stand together, from `middle` on those after a 1.
+        self.symbol = np.array(sorted(range(len(code)), key=lambda s: [b for _, b in code[s]]))
+        self.rank = np.empty(len(code), dtype=np.uint64)
+        self.rank[self.symbol] = np.arange(len(code))
+        middle: dict[int, int] = {}
+        for rank, s in enumerate(self.symbol.tolist()):
+            for n, b in code[s]:
+                if b:
+                    middle.setdefault(n, rank)
+        self.middle = np.array([middle[n] for n in range(len(middle))], dtype=np.uint64)
 
     def slot(self, keys: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -94,7 +146,8 @@ class Coder:
         return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
     def pairs(self, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
-        """(symbols, by table the context of each with the symbol in the lowest 9 bits), of the texts one after the other."""
+        """(symbols, by table the context of each with the symbol's rank in the lowest 9 bits), of the texts one after the
+        other."""
         # Every text is followed by its end and four empty places, which no context looks across.
         data = np.frombuffer(b"".join(t + b"\0\0\0\0\0" for t in texts), dtype=np.uint8)
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
@@ -122,15 +175,20 @@ class Coder:
             total = np.cumsum(np.where(letter, term ^ (term >> np.uint64(31)), np.uint64(0)), dtype=np.uint64)
             word = (total - total[start]) >> np.uint64(10)
         real = before[4:] > 0
-        symbols = before[4:][real] - np.uint64(1)
-        return symbols.astype(np.int64), [(context[real] << nine) | symbols for context in (pair, long, word)]
+        symbols = (before[4:][real] - np.uint64(1)).astype(np.int64)
+        rank = self.rank.take(symbols)
+        return symbols, [(context[real] << nine) | rank for context in (pair, long, word)]
 
-    def paths(self, table: int, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(key of context and node of each step, its bit, first step of each pair, steps of each pair)"""
-        symbols = (pairs & np.uint64(511)).astype(np.int64)
+    def steps(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of each step among those of all symbols, first step of each pair, steps of each pair)"""
+        symbols = self.symbol.take((pairs & np.uint64(511)).astype(np.int64))
         size = self.size[symbols]
         begin = np.cumsum(size) - size
-        where = np.arange(int(size.sum())) + np.repeat(self.first[symbols] - begin, size)
+        return np.arange(int(size.sum())) + np.repeat(self.first[symbols] - begin, size), begin, size
+
+    def paths(self, table: int, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(key of context and node of each step, its bit, first step of each pair, steps of each pair)"""
+        where, begin, size = self.steps(pairs)
         context = (np.uint64(table) << np.uint64(62)) | ((pairs >> np.uint64(9)) << np.uint64(8))
         return np.repeat(context, size) | self.node.take(where), self.bit.take(where), begin, size
 
@@ -139,27 +197,37 @@ class Coder:
         symbols, pairs = self.pairs(texts)
         size = self.size[symbols]
         last = np.cumsum(size)
-        step = np.arange(last[-1])
-        slots = []
-        for k in range(ORDERS):
-            found, place = distinct(pairs[k])
-            keys, bit, begin, _ = self.paths(k, found)
-            at = np.repeat(begin.take(place) - (last - size), size)
-            at += step
-            slots.append(self.slot(keys).astype(np.int32).take(at))
+        kind = np.int32 if last[-1] < 1 << 31 else np.int64
+        step = np.arange(last[-1], dtype=kind)
+        begin = (last - size).astype(kind)
+        slots = [self.places(k, pairs[k], begin, size, step) for k in range(ORDERS)]
+        bit = self.bit.take(np.repeat(self.first.astype(kind).take(symbols) - begin, size) + step)
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
-        return bit.take(at), slots, np.concatenate([[0], last[np.cumsum(sizes + 1) - 1]])
+        return bit, slots, np.concatenate([[0], last[np.cumsum(sizes + 1) - 1]])
+
+    def places(self, table: int, pairs: np.ndarray, begin: np.ndarray, size: np.ndarray, step: np.ndarray) -> np.ndarray:
+        """The slot of each bit in a table; each pair's first bit, how many bits it has, and the bits' numbers are given."""
+        found, place = distinct(pairs)
+        keys, _, first, _ = self.paths(table, found)
+        return self.slot(keys).astype(np.int32).take(np.repeat(first.take(place) - begin, size) + step)
 
 
 class BlockCoder(Coder):
-    """A coder whose slots are the places of the keys given, in ascending order: no two contexts share one."""
+    """A coder for the texts of a block: a slot for each step of its pairs. Pairs come in ascending order, by table, with
+    their first slots."""
 
-    def __init__(self, code: list[list[tuple[int, int]]], keys: np.ndarray):
+    def __init__(self, code: list[list[tuple[int, int]]], pairs: list[np.ndarray], first: list[np.ndarray]):
         super().__init__(code)
-        self.keys = keys
+        self.known, self.first_slot = pairs, first
 
-    def slot(self, keys: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.keys, keys)
+    def places(self, table: int, pairs: np.ndarray, begin: np.ndarray, size: np.ndarray, step: np.ndarray) -> np.ndarray:
+        found, place = distinct(pairs)
+        order = np.argsort(found)
+        first = np.empty(len(found), dtype=self.first_slot[table].dtype)
+        first[order] = self.first_slot[table].take(np.searchsorted(self.known[table], found[order]))
+        at = np.repeat(first.take(place) - begin, size)
+        at += step
+        return at
 
 
 def counted(coder: Coder, groups: Iterator[list[bytes]]) -> np.ndarray:
@@ -174,17 +242,17 @@ def counted(coder: Coder, groups: Iterator[list[bytes]]) -> np.ndarray:
 
 def _added(x: np.ndarray, n: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(ascending distinct numbers, sums of each row of n over them)"""
-    order = np.argsort(x, kind="stable")
+    order = np.argsort(x)
     x = x[order]
     first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
     return x[first], np.array([np.add.reduceat(row[order], first) for row in n])
 
 
-def visited(
-    coder: Coder, groups: Iterator[tuple[list[bytes], list[int]]]
-) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By table (keys, zeros, ones) of all texts of the groups, which come with their folds. zeros and ones have two rows:
-    those of folds above 1, and those of fold 1; fold 0 just names its keys."""
+def visited_pairs(
+    coder: Coder, groups: Iterable[tuple[list[bytes], list[int]]]
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(table, ascending pairs, counts) by table of all texts of the groups, which come with their folds. Counts have two
+    rows: those of folds above 1, and those of fold 1; fold 0 just names its pairs."""
     held: list[list] = [[] for _ in range(ORDERS)]
 
     def add(k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -194,19 +262,64 @@ def visited(
 
     for texts, folds in groups:
         _, pairs = coder.pairs(texts)
-        fold_ = np.repeat(np.array(folds), np.array([len(t) + 1 for t in texts]))
+        kind = np.repeat(np.minimum(np.array(folds), 2), np.array([len(t) + 1 for t in texts]))
         for k in range(ORDERS):
             found, place = distinct(pairs[k])
-            held[k].append((found, np.array([np.bincount(place[m], minlength=len(found)) for m in (fold_ > 1, fold_ == 1)])))
+            n = np.bincount(kind * len(found) + place, minlength=3 * len(found)).reshape(3, -1)
+            held[k].append((found, n[[2, 1]]))
             if sum(len(x) for x, _ in held[k][1:]) > HELD:
                 add(k)
     for k in range(ORDERS):
         if held[k]:
             found, n = add(k)
             held[k] = []
-            keys, bit, _, size = coder.paths(k, found)
-            keys, n = _added(keys, (np.repeat(row, size) * (bit == b) for b in (0, 1) for row in n))
-            yield keys, n[:2], n[2:]
+            yield k, found, n
+
+
+def visited(
+    coder: Coder, groups: Iterable[tuple[list[bytes], list[int]]]
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By table (keys, zeros, ones) of contexts and nodes, of all texts of the groups."""
+    for k, found, n in visited_pairs(coder, groups):
+        keys, bit, _, size = coder.paths(k, found)
+        keys, n = _added(keys, (np.repeat(row, size) * (bit == b) for b in (0, 1) for row in n))
+        yield keys, n[:2], n[2:]
+
+
+def branches(coder: Coder, every: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(counts of each pair, counts of the branch not taken at each step of each pair) of some of all ascending pairs, whose
+    counts are given in rows."""
+    before = np.zeros((len(counts), len(every) + 1), dtype=np.int64)
+    np.cumsum(counts, axis=1, out=before[:, 1:])
+    at = np.searchsorted(every, pairs)
+    leaves = counts[:, at]
+    context = pairs >> np.uint64(9) << np.uint64(9)
+    symbols = coder.symbol.take((pairs & np.uint64(511)).astype(np.int64))
+    size, first = coder.size[symbols], coder.first[symbols]
+    begin = np.cumsum(size) - size
+    others = np.zeros((len(counts), int(size.sum())), dtype=np.int64)
+    # Pairs of a context, then those below each node on the way, stand from low to high.
+    new = np.flatnonzero(np.diff(every >> np.uint64(9), prepend=~every[:1]))
+    which = np.searchsorted(new, at, side="right")
+    low, high = new[which - 1], np.append(new, len(every))[which]
+    depth, active = 0, np.flatnonzero(high - low > 1)
+    while len(active):
+        step, a, b = first[active] + depth, low[active], high[active]
+        one = coder.bit[step] == 1
+        middle = np.searchsorted(every, context[active] | coder.middle[coder.node[step].astype(np.int64)])
+        others[:, begin[active] + depth] = np.where(one, before[:, middle] - before[:, a], before[:, b] - before[:, middle])
+        low[active], high[active] = np.where(one, middle, a), np.where(one, b, middle)
+        depth, active = depth + 1, active[high[active] - low[active] > 1]
+    return leaves, others
+
+
+def both(coder: Coder, pairs: np.ndarray, leaves: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(zeros, ones) at each step of the pairs, from their counts and those of the branches not taken."""
+    where, begin, size = coder.steps(pairs)
+    past = np.cumsum(others)
+    taken = np.repeat(leaves + past[begin + size - 1], size) - past
+    one = coder.bit.take(where) == 1
+    return np.where(one, others, taken), np.where(one, taken, others)
 
 
 def log_odds(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -224,40 +337,69 @@ def mixed(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(natural log probability of each text and its end, bits of each, weights after each).
 
-    All texts start from the weights given. Step by step, the next bits of all texts that have some are mixed together,
-    each with its text's own weights, which are then refined."""
+    All texts start from the weights given. Step by step, the next bits of a text are mixed with its own weights, which are
+    then refined."""
     bit, slots, first = coder.bits(texts)
     n, size = len(texts), np.diff(first)
-    own = np.tile(weights, (n, 1)).astype(np.float32)  # [text and gate, table and a constant]
+    x = np.ones((ORDERS + 1, len(bit)), dtype=np.float32)
+    for k in range(ORDERS):
+        odds[k].take(slots[k], out=x[k], mode="clip")
+    del slots
+    own = np.tile(weights, (n, 1)).astype(np.float32).reshape(n, GATES, ORDERS + 1)
     total = np.zeros(n)
-    # Texts are looked up all at once, and mixed in groups whose numbers stay in the processor's cache.
+    for i in np.flatnonzero(size > STEP_BITS).tolist():
+        for at in range(int(first[i]), int(first[i + 1]), STEP_BITS):
+            now = slice(at, min(at + STEP_BITS, int(first[i + 1])))
+            some, one = x[:, now], bit[now].astype(np.float32)
+            gate = _gates(some)
+            error, log_p = _surprise(_mix(own[i], some, gate), one)
+            total[i] += log_p.sum(dtype=np.float64)
+            pull = (gate * error) @ some.T
+            own[i] += rate * pull / (gate.sum(axis=1, keepdims=True) + 64)
+    # Texts of a single step all meet the weights given, so they are mixed together.
     group = np.cumsum([len(t) for t in texts]) // TOGETHER
-    for g, at in ((g, at) for g in np.unique(group) for at in range(0, int(size[group == g].max()), STEP_BITS)):
-        active = np.flatnonzero((size > at) & (group == g))
-        low = active[0]
-        begin = first[active] + at
-        end = np.minimum(begin + STEP_BITS, first[active + 1])
-        lengths = end - begin
-        places = np.repeat(begin - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-        one = bit.take(places).astype(np.float32)
-        x = [odds[k].take(slots[k].take(places)) for k in range(ORDERS)]
-        key = np.repeat((active - low) * GATES, lengths)
-        key += x[1] != 0
-        key += 2 * (x[2] != 0)
-        now = own[low * GATES : (active[-1] + 1) * GATES]
-        z = now[:, ORDERS].take(key)
-        for k in range(ORDERS):
-            z += now[:, k].take(key) * x[k]
-        np.clip(z, -14, 14, out=z)
-        p = 1 / (1 + np.exp(-z))
-        error = one - p
-        log_p = np.log(1 - np.abs(error))
-        total[active] += np.add.reduceat(log_p, np.cumsum(lengths) - lengths, dtype=np.float64)
-        seen = np.bincount(key, minlength=len(now)) + 64.0
+    short = np.flatnonzero(size <= STEP_BITS)
+    for own_texts in np.split(short, np.flatnonzero(np.diff(group[short])) + 1):
+        if not len(own_texts):
+            continue
+        lengths = size[own_texts]
+        begin = np.cumsum(lengths) - lengths
+        places = np.repeat(first[own_texts] - begin, lengths) + np.arange(lengths.sum())
+        some = x[:, places]
+        gate = _gates(some)
+        error, log_p = _surprise(_mix(weights.astype(np.float32), some, gate), bit.take(places).astype(np.float32))
+        total[own_texts] = np.add.reduceat(log_p, begin, dtype=np.float64)
+        key = np.repeat(np.arange(len(own_texts)) * GATES, lengths) + gate.argmax(axis=0)
+        seen = np.bincount(key, minlength=GATES * len(own_texts)) + 64.0
         for k in range(ORDERS + 1):
-            pull = np.bincount(key, weights=error * x[k] if k < ORDERS else error, minlength=len(now))
-            now[:, k] += (rate * pull / seen).astype(np.float32)
-    return total, size, own.reshape(n, GATES, ORDERS + 1)
+            pull = np.bincount(key, weights=error * some[k], minlength=GATES * len(own_texts))
+            own[own_texts, :, k] += (rate * pull / seen).astype(np.float32).reshape(-1, GATES)
+    return total, size, own
+
+
+def _gates(x: np.ndarray) -> np.ndarray:
+    """[gate, bit] 1 for the gate of each bit, by what is known of the two long contexts."""
+    out = np.empty((GATES, x.shape[1]), dtype=np.float32)
+    a, b = ((x[k] != 0).astype(np.float32) for k in (1, 2))
+    np.multiply(a, b, out=out[3])
+    np.subtract(a, out[3], out=out[1])
+    np.subtract(b, out[3], out=out[2])
+    np.subtract(1 - a, out[2], out=out[0])
+    return out
+
+
+def _mix(weights: np.ndarray, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    """Log-odds of each bit."""
+    each = weights @ x
+    each *= gate
+    return each.sum(axis=0)
+
+
+def _surprise(z: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(error, log probability) of each bit from its mixed log-odds."""
+    np.clip(z, -14, 14, out=z)
+    error = one - 1 / (1 + np.exp(-z))
+    return error, np.log(1 - np.abs(error))
 
 
 def _code(texts: DataFrame) -> list[list[tuple[int, int]]]:
@@ -279,44 +421,140 @@ def _code(texts: DataFrame) -> list[list[tuple[int, int]]]:
     return huffman(counts)
 
 
-def _counts(table: DataFrame, coder: Coder) -> DataFrame:
-    """(block, key, zeros, ones, all_zeros, all_ones, own) for the keys of each block's texts: the counts of the whole
-    corpus without fold 1 and with it, and whether texts of fold 1 in the block have the key."""
+def _visits(table: DataFrame, coder: Coder, parts: int) -> DataFrame:
+    """The distinct pairs of each block, and its words, packed, a row for each part of them."""
 
     def visits(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups = ((raw(p.column("text")), p.column("fold").to_pylist()) for p in portions(batches))
-        for keys, zeros, ones in visited(coder, groups):
-            for at in range(0, len(keys), 50_000):
-                part = slice(at, at + 50_000)
-                columns = [keys[part].view(np.int64), zeros[0, part], ones[0, part], zeros[1, part], ones[1, part]]
-                columns = [np.full(len(columns[0]), key[0].as_py()), *columns]
-                names = ["block", "key", "zeros", "ones", "zeros_1", "ones_1"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
-
-    schema = "block bigint, key bigint, zeros bigint, ones bigint, zeros_1 bigint, ones_1 bigint"
-    found = table.select("block", "fold", "text").groupBy("block").applyInArrow(visits, schema)
-    # A key has a row per block at most, however common it is.
-    same = Window.partitionBy("key")
-    zeros, ones = F.sum("zeros").over(same).alias("zeros"), F.sum("ones").over(same).alias("ones")
-    every = [F.sum(F.col(c) + F.col(f"{c}_1")).over(same).alias(f"all_{c}") for c in ("zeros", "ones")]
-    own = (F.col("zeros_1") + F.col("ones_1") > 0).alias("own")
-    return saved(found.select("block", "key", zeros, ones, *every, own), "context-counts")
-
-
-def _known(code: list[list[tuple[int, int]]], counts: pa.Table) -> tuple[BlockCoder, list[np.ndarray]]:
-    """The coder of a block and its odds, by table."""
-    keys, zeros, ones = (counts.column(c).to_numpy() for c in ("key", "zeros", "ones"))
-    keys = keys.view(np.uint64)
-    order = np.argsort(keys)
-    return BlockCoder(code, keys[order]), [log_odds(zeros[order], ones[order])] * ORDERS
-
-
-def _weights(table: DataFrame, counts: DataFrame, code: list[list[tuple[int, int]]]) -> np.ndarray:
+        held, train = set(), Counter()
+
+        def groups() -> Iterator[tuple[list[bytes], list[int]]]:
+            for part in portions(batches, limit=AT_ONCE):
+                texts, folds = raw(part.column("text")), part.column("fold").to_pylist()
+                for fold_, text in zip(folds, texts, strict=True):
+                    own = text.lower().split()
+                    own.append(END_WORD)
+                    if fold_:
+                        train.update(own)
+                    else:
+                        held.update(own)
+                yield texts, folds
+
+        def rows(kind: int, keys: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            part = keys if kind == WORDS else keys >> np.uint64(9)
+            with np.errstate(over="ignore"):
+                part = ((part * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts)
+            order = np.argsort(part, kind="stable")
+            ends = np.cumsum(np.bincount(part.astype(np.int64), minlength=parts))
+            for p, chosen in enumerate(np.split(order, ends[:-1])):
+                if len(chosen):
+                    columns = [packed_keys(keys[chosen]), packed(n[0, chosen]), packed(n[1, chosen])]
+                    values = [key[0].as_py(), kind, p, len(chosen), *columns]
+                    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 3]
+                    names = ["block", "kind", "part", "n", "keys", "counts", "counts_1"]
+                    columns = [pa.array([v], k) for v, k in zip(values, kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+        for k, pairs, n in visited_pairs(coder, groups()):
+            yield from rows(k, pairs, n)
+        held.difference_update(list(train))
+        n = np.zeros((2, len(train) + len(held)), dtype=np.int64)
+        n[0, : len(train)] = list(train.values())
+        yield from rows(WORDS, *_added(WordHashes().of([*train, *held]), n))
+
+    return table.select("block", "fold", "text").groupBy("block").applyInArrow(visits, VISITS)
+
+
+def _totals(table: DataFrame, coder: Coder, parts: int) -> DataFrame:
+    """For each block and part what its pairs and words have in the whole corpus, without fold 1 and of fold 1: their counts
+    and, for pairs, those of the branches not taken. total and words: of all words of a part, in one of its rows."""
+
+    def totals(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = key[0].as_py()
+        rows = [r for batch in batches for r in batch.to_pylist()]
+        keys = [unpacked_keys(r["keys"], r["n"]) for r in rows]
+        counts = [np.array([unpacked(r[c], r["n"]) for c in ("counts", "counts_1")]) for r in rows]
+        every, sums = _added(np.concatenate(keys), np.concatenate(counts, axis=1))
+        total, words = (int(sums[0].sum()), int((sums[0] > 0).sum())) if kind == WORDS else (0, 0)
+        for r, x, n in zip(rows, keys, counts, strict=True):
+            if kind == WORDS:
+                leaves, others = sums[:, np.searchsorted(every, x)], sums[:, :0]
+            else:
+                leaves, others = branches(coder, every, sums, x)
+            columns = [packed(n[1] > 0), *map(packed, leaves), *map(packed, others)]
+            values = [r["block"], kind, r["n"], r["keys"], *columns, total, words]
+            total = words = 0
+            kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 6, pa.int64(), pa.int64()]
+            names = ["block", "kind", "n", "keys", "own", "leaves", "leaves_1", "others", "others_1", "total", "words"]
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
+
+    # A pair has a place per block at most, however common it is.
+    found = _visits(table, coder, parts).groupBy("kind", "part").applyInArrow(totals, TOTALS)
+    return bucketed(found, "block", "context-counts")
+
+
+def _row(coder: Coder, r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs, whether texts of fold 1 in the block have them, counts without fold 1 and of fold 1, those of the branches not
+    taken at their steps) of a row of totals."""
+    pairs = unpacked_keys(r["keys"], r["n"])
+    steps = int(coder.size[coder.symbol.take((pairs & np.uint64(511)).astype(np.int64))].sum())
+    leaves = np.array([unpacked(r[c], r["n"]) for c in ("leaves", "leaves_1")])
+    others = np.array([unpacked(r[c], steps) for c in ("others", "others_1")])
+    return pairs, unpacked(r["own"], r["n"], np.bool_), leaves, others
+
+
+def _counts(table: DataFrame, coder: Coder, parts: int = 3) -> DataFrame:
+    """(block, key, zeros, ones, all_zeros, all_ones, own) for contexts and nodes of each block's texts, as plain rows: the
+    counts of the whole corpus without fold 1 and with it, and whether texts of fold 1 in the block have the key."""
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in (r for batch in batches for r in batch.to_pylist()):
+            pairs, own, leaves, others = _row(coder, r)
+            keys, _, _, size = coder.paths(r["kind"], pairs)
+            columns = [*both(coder, pairs, leaves[0], others[0]), *both(coder, pairs, leaves.sum(0), others.sum(0))]
+            found, first = np.unique(keys, return_index=True)
+            own = np.isin(found, keys[np.repeat(own, size)])
+            columns = [np.full(len(found), r["block"]), found.view(np.int64), *(c[first] for c in columns), own]
+            names = ["block", "key", "zeros", "ones", "all_zeros", "all_ones", "own"]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    schema = "block bigint, key bigint, zeros bigint, ones bigint, all_zeros bigint, all_ones bigint, own boolean"
+    return _totals(table, coder, parts).where(F.col("kind") < WORDS).mapInArrow(plain, schema)
+
+
+def _known(code: list[list[tuple[int, int]]], totals: pa.Table, training: bool) -> tuple[BlockCoder, list[np.ndarray]]:
+    """The coder of a block and its odds, by table; for training just the pairs of fold 1, with the counts of the others."""
+    coder = Coder(code)
+    all_pairs, all_first, odds = [], [], []
+    kinds = totals.column("kind")
+    for k in range(ORDERS):
+        held, slots = [(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32))], 0
+        chosen = totals.filter(pc.equal(kinds, k))
+        for r in (chosen.slice(i, 1).to_pylist()[0] for i in range(chosen.num_rows)):
+            pairs, own, leaves, others = _row(coder, r)
+            if training:
+                size = coder.steps(pairs)[2]
+                pairs, leaves, others = pairs[own], leaves[0, own], others[0, np.repeat(own, size)]
+            else:
+                leaves, others = leaves.sum(0), others.sum(0)
+            if len(pairs):
+                held.append((pairs, coder.steps(pairs)[1] + slots, log_odds(*both(coder, pairs, leaves, others))))
+                slots += len(others)
+        pairs, first, x = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.argsort(pairs)
+        all_pairs.append(pairs[order])
+        all_first.append(first[order].astype(np.int32 if slots < 1 << 31 else np.int64))
+        odds.append(x)
+    return BlockCoder(code, all_pairs, all_first), odds
+
+
+def _weights(table: DataFrame, totals: DataFrame, code: list[list[tuple[int, int]]]) -> np.ndarray:
     """Weights refined along the texts of fold 1 in each block, averaged by their bits."""
 
     def train(left: pa.Table, right: pa.Table) -> pa.Table:
         weights, bits = first_weights(), 0
-        coder, odds = _known(code, right)
+        if not left.num_rows:
+            return pa.table({"i": pa.array([], pa.int64()), "weighted": pa.array([], pa.float64()), "bits": pa.array([], pa.int64())})
+        coder, odds = _known(code, right, True)
         for part in portions(iter(left.to_batches()), limit=TOGETHER):
             _, n, each = mixed(coder, odds, weights, raw(part.column("text")), TRAIN_RATE)
             weights = np.average(each, axis=0, weights=n).astype(np.float32)
@@ -325,7 +563,7 @@ def _weights(table: DataFrame, counts: DataFrame, code: list[list[tuple[int, int
         return pa.table({"i": np.arange(len(flat)), "weighted": flat * bits, "bits": np.full(len(flat), bits)})
 
     texts = table.where("fold = 1").select("block", "text").groupBy("block")
-    rows = texts.cogroup(counts.where("own").groupBy("block")).applyInArrow(train, "i bigint, weighted double, bits bigint")
+    rows = texts.cogroup(totals.where(F.col("kind") < WORDS).groupBy("block")).applyInArrow(train, "i bigint, weighted double, bits bigint")
     out = first_weights()
     for r in rows.groupBy("i").agg((F.sum("weighted") / F.sum("bits")).alias("w")).collect():
         out.ravel()[r.i] = r.w
@@ -341,50 +579,36 @@ def probabilities(docs: DataFrame, folds: int = 10) -> DataFrame:
     whole. No rows: none. Further columns, whatever their names, are left out."""
     texts = id_and_text(docs).withColumn("fold", fold(F.col("doc_id"), folds).cast("int"))
     size = texts.agg(F.sum(F.octet_length("text").cast("bigint") + 8)).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    texts = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(blocks)))
-    table = bucketed(texts, "block", "documents-by-block")
 
-    code = _code(table)
-    counts = _counts(table, Coder(code))
-    weights = _weights(table, counts, code)
+    def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A block is the next documents of a task, so no text is moved for it.
+        block, held = TaskContext.get().partitionId() << 32, 0
+        for part in portions(batches, limit=min(PORTION, BLOCK_BYTES)):
+            n = (pc.sum(pc.binary_length(part.column("text"))).as_py() or 0) + 8 * part.num_rows
+            if held and held + n > 1.5 * BLOCK_BYTES:
+                block, held = block + 1, 0
+            held += n
+            yield part.append_column("block", pa.array(np.full(part.num_rows, block)))
 
-    def words(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, train = set(), Counter()
-        for part in portions(batches):
-            for fold_, text in zip(part.column("fold").to_pylist(), raw(part.column("text")), strict=True):
-                own = text.lower().split()
-                own.append(END_WORD)
-                if fold_:
-                    train.update(own)
-                else:
-                    held.update(own)
-        held.difference_update(list(train))
-        names = [*train, *held]
-        n = np.zeros(len(names), dtype=np.int32)
-        n[: len(train)] = list(train.values())
-        hashes = WordHashes().of(names).view(np.int64)
-        for at in range(0, len(names), 50_000):
-            m = len(n[at : at + 50_000])
-            columns = [pa.array([key[0].as_py()] * m, pa.int64()), pa.array(hashes[at : at + m]), pa.array(n[at : at + m])]
-            yield pa.RecordBatch.from_arrays(columns, ["block", "word", "n"])
-
-    found = table.select("block", "fold", "text").groupBy("block").applyInArrow(words, "block bigint, word bigint, n int")
-    # A word has a row per block at most, however common it is.
-    same = Window.partitionBy("word")
-    found = found.withColumn("c", F.sum("n").over(same)).withColumn("first", F.min("block").over(same) == F.col("block"))
-    found = saved(found.select("block", "word", "c", "first"), "word-counts")
-    totals = found.where("first AND c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    total, distinct = totals["n"] or 0, totals["v"]
+    # Small tasks are done together: the larger a block, the fewer pairs it shares with others.
+    texts = texts.coalesce(max(1, -(-size // BLOCK_BYTES))).mapInArrow(in_blocks, "doc_id bigint, text string, fold int, block bigint")
+    table = bucketed(texts, "block", "documents-by-block", dealt=True)
+
+    code = _code(table)
+    totals = _totals(table, Coder(code), max(1, -(-size // (BLOCKS_TOGETHER * BLOCK_BYTES))))
+    weights = _weights(table, totals, code)
+    sums = totals.agg(F.sum("total").alias("n"), F.sum("words").alias("v")).first()
+    total, distinct = sums["n"] or 0, sums["v"] or 0
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        words = right.filter(pc.is_null(right.column("zeros")))
-        known = dict(zip(words.column("key").to_numpy().view(np.uint64).tolist(), words.column("c").to_pylist(), strict=True))
-        coder, odds = _known(code, right.filter(pc.is_valid(right.column("zeros"))))
+        known: dict[int, int] = {}
+        for r in right.filter(pc.equal(right.column("kind"), WORDS)).to_pylist():
+            known.update(zip(unpacked_keys(r["keys"], r["n"]).tolist(), unpacked(r["leaves"], r["n"]).tolist(), strict=True))
+        coder, odds = _known(code, right, False)
         hashes = WordHashes()
         out: list[tuple] = []
         floor = total + 0.1 * (distinct + 1)
-        for part in portions(iter(left.to_batches())):
+        for part in portions(iter(left.to_batches()), limit=AT_ONCE):
             texts = raw(part.column("text"))
             log_p = mixed(coder, odds, weights, texts, TEXT_RATE)[0] / np.log(10)
             for doc_id, fold_, text, p in zip(
@@ -404,7 +628,4 @@ def probabilities(docs: DataFrame, folds: int = 10) -> DataFrame:
         "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
         "base_score double, score double"
     )
-    none = F.lit(None).cast("bigint")
-    known = found.select("block", F.col("word").alias("key"), "c", none.alias("zeros"), none.alias("ones"))
-    known = known.unionAll(counts.select("block", "key", none.alias("c"), "all_zeros", "all_ones"))
-    return table.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(score, schema)
+    return table.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(score, schema)

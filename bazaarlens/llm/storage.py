@@ -28,12 +28,14 @@ def saved(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def bucketed(frame: DataFrame, key: str, name: str) -> DataFrame:
-    """The frame as a table in the shared folder, dealt out and sorted by a key: later joins on it don't move it."""
+def bucketed(frame: DataFrame, key: str, name: str, dealt: bool = False) -> DataFrame:
+    """The frame as a table in the shared folder, dealt out and sorted by a key: later joins on it don't move it. dealt: a
+    task has but a few keys, and all rows of each, so they are written where they are."""
     spark = frame.sparkSession
     table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
     buckets = min(100_000, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    writer = frame.repartition(buckets, key).write.option("compression", "zstd").bucketBy(buckets, key).sortBy(key)
+    frame = frame if dealt else frame.repartition(buckets, key)
+    writer = frame.write.option("compression", "zstd").bucketBy(buckets, key).sortBy(key)
     writer.option("path", f"{shared_folder(spark)}/{table}").format("parquet").saveAsTable(table)
     return spark.table(table)
 

@@ -136,3 +136,23 @@ def test_all_training_texts_count(spark):
     size = lambda folds: sum(len(code[b]) for _, f, t in rows if f in folds for b in [*t.encode(), cm.END])
     assert got["sum(all_zeros)"] + got["sum(all_ones)"] == cm.ORDERS * size((1, 2, 3, 4))
     assert got["sum(zeros)"] + got["sum(ones)"] == cm.ORDERS * size((2, 3, 4))
+
+
+def test_blocks_send_packed_pairs(spark):
+    """A row for each block and part, not for each context and node; and one block's counts are those of all."""
+    texts = [f"{w} {w}s and the {w} of {i % 17}" for i, w in enumerate(["house", "horse", "é", "", "mouse"] * 40)]
+    rows = [(i % 4, i % 5, t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "block bigint, fold int, text string")
+    coder = cm.Coder(cm.huffman(np.ones(257)))
+    assert cm._totals(frame, coder, 3).count() <= 4 * 3 * (cm.ORDERS + 1)
+    one = spark.createDataFrame([(0, f, t) for _, f, t in rows], "block bigint, fold int, text string")
+    counts = [set(cm._counts(f, coder, p).drop("block", "own").distinct().collect()) for f, p in ((frame, 3), (one, 1))]
+    assert counts[0] == counts[1] and len(counts[0]) > 500
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 1000):
+        x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) >> rng.integers(0, 60, n).astype(np.uint64))
+        assert (cm.unpacked_keys(cm.packed_keys(x), len(x)) == x).all()
+        assert (cm.unpacked(cm.packed(x), len(x), np.uint64) == x).all()
